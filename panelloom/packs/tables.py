@@ -1,0 +1,23 @@
+"""Reader of the fixed-value text tables of a pack."""
+
+from __future__ import annotations
+
+from panelloom.pack import ColumnSpec
+
+
+def read_table(text: str) -> list[tuple[str, ...]]:
+    """Rows of a `a | b | c` table; cells are stripped, blank lines skipped."""
+    lines = (line for line in text.strip().splitlines() if line.strip())
+    return [tuple(cell.strip() for cell in line.split("|")) for line in lines]
+
+
+def read_columns(text: str) -> tuple[ColumnSpec, ...]:
+    return tuple(
+        ColumnSpec(name, tuple(a.strip() for a in aliases.split(",") if a.strip()), kind, label, unit)
+        for name, kind, unit, label, aliases in read_table(text)
+    )
+
+
+def read_labels(text: str) -> dict[str, tuple[str, str]]:
+    """name -> (label, unit)."""
+    return {name: (label, unit) for name, unit, label in read_table(text)}
