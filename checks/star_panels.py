@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from checks.shape import steady_round
 from panelloom.packs import campaigns, inventory
 
 
@@ -36,8 +37,8 @@ def inventory_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.sum(F.when(flag.isin("A", "N"), qty).otherwise(0.0)).alias("giris_miktar"),
             F.sum(F.when(flag.isin("R", "N"), qty).otherwise(0.0)).alias("cikis_miktar"),
-            F.round(F.avg(unit * (0.55 + 4 * F.col("l_discount"))), 4).alias("birim_maliyet_tl"),
-            F.round(F.avg(ext / qty), 4).alias("birim_satis_tl"),
+            steady_round(F.avg(unit * (0.55 + 4 * F.col("l_discount"))), 4).alias("birim_maliyet_tl"),
+            steady_round(F.avg(ext / qty), 4).alias("birim_satis_tl"),
         )
     )
     panel = with_supplier(spark, sf_dir, cells).select(
@@ -68,11 +69,11 @@ def campaign_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy("l_suppkey", month(ship).alias("donem"), F.month(ship).alias("m"))
         .agg(
-            F.round(F.sum(ext * F.col("l_discount")), 2).alias("harcama_tl"),
-            F.round(F.sum(revenue), 2).alias("gelir_tl"),
+            F.round(F.sum(ext * F.col("l_discount")), 4).alias("harcama_tl"),
+            F.round(F.sum(revenue), 4).alias("gelir_tl"),
             F.sum(qty).alias("tiklama"),
             F.count_if(F.col("l_linestatus") == "F").cast("double").alias("donusum"),
-            F.round(1 + F.avg(qty) / 20, 4).alias("frekans"),
+            steady_round(1 + F.avg(qty) / 20, 4).alias("frekans"),
         )
     )
     reach = 0.5 + ((7 * F.col("l_suppkey") + F.col("m")) % 11) / 10.0

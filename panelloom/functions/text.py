@@ -29,48 +29,54 @@ def blank_to_null(x: Column) -> Column:
     return F.when(stripped != "", stripped)
 
 
-def fixed(x: Column, decimals: int, thousands: str = "") -> Column:
-    """Half-even decimal text; `thousands` is the group separator."""
-    text = F.translate(F.format_number(x, decimals), ",", thousands)
-    return (
-        F.when(F.isnan(x), "nan")
-        .when(x == float("inf"), "inf")
-        .when(x == float("-inf"), "-inf")
-        .otherwise(text)
-    )
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def fixed_sql(x: str, decimals: int, thousands: str = "") -> str:
+    """SQL for half-even decimal text; `thousands` is the group separator.
 
-def money(x: Column) -> Column:
-    return F.concat(fixed(x, 0, "."), F.lit(" TL"))
+    The texts are long, and one SQL string is far cheaper to build than a tree
+    of Column calls.
+    """
+    shown = f"translate(format_number({x}, {decimals}), ',', '{thousands}')"
+    return (
+        f"CASE WHEN isnan({x}) THEN 'nan' WHEN {x} = double('inf') THEN 'inf' "
+        f"WHEN {x} = double('-inf') THEN '-inf' ELSE {shown} END"
+    )
 
 
-def sample_value(x: Column, is_number: bool) -> Column:
-    shown = fixed(x, 2, " ") if is_number else x.cast("string")
-    return F.coalesce(shown, F.lit("None"))
+def sample_sql(name: str, is_number: bool) -> str:
+    """A cell as shown in the samples of a quality issue."""
+    shown = fixed_sql(f"`{name}`", 2, " ") if is_number else f"string(`{name}`)"
+    return f"coalesce({shown}, 'None')"
 
 
 def number(name: str) -> Column:
-    """A numeric column in a text or an impact formula, where null counts as 0."""
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    """A numeric column in an impact formula, where null counts as 0."""
+    return F.expr(f"coalesce(double(`{name}`), 0D)")
 
 
 def render(template: str) -> Column:
     """Turn "{column:.1f} ..." into one concat expression.
 
     Formats: `.Nf` decimals, `tl` money, `d` whole number, none = text as is.
+    Null numbers show as 0.
     """
     parts = []
     for literal, name, spec, _ in Formatter().parse(template):
         if literal:
-            parts.append(F.lit(literal))
+            parts.append(quoted(literal))
         if name is None:
             continue
+        value = f"coalesce(double(`{name}`), 0D)"
         if spec == "tl":
-            parts.append(money(number(name)))
+            parts += [fixed_sql(value, 0, "."), "' TL'"]
         elif spec == "d":
-            parts.append(number(name).cast("bigint").cast("string"))
+            parts.append(f"string(bigint({value}))")
         elif spec:
-            parts.append(fixed(number(name), int(spec.strip(".f"))))
+            parts.append(fixed_sql(value, int(spec.strip(".f"))))
         else:
-            parts.append(F.coalesce(F.col(name).cast("string"), F.lit("None")))
-    return F.concat(*parts)
+            parts.append(f"coalesce(string(`{name}`), 'None')")
+    return F.expr(f"concat({', '.join(parts)})")

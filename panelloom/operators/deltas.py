@@ -4,22 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelloom.functions.text import quoted
 from panelloom.model import METRIC_VALUE
 from panelloom.operators.summaries import periods
 from panelloom.pack import ReportPack
 
 
-def metric_value(
-    name: str | Column, label: str, value: Column, unit: str, entity: Column, period: Column
-) -> Column:
-    return F.struct(
-        (F.lit(name) if isinstance(name, str) else name).alias("metric"),
-        F.lit(label).alias("label"),
-        value.cast("double").alias("value"),
-        F.lit(unit).alias("unit"),
-        entity.cast("string").alias("entity"),
-        period.cast("string").alias("period"),
-    ).cast(METRIC_VALUE)
+def metric_value(name: str, label: str, value: str, unit: str, entity: str, period: str) -> str:
+    """SQL of one metric record; value, entity and period are SQL expressions."""
+    return (
+        f"named_struct('metric', '{name}', 'label', {quoted(label)}, 'value', double({value}), "
+        f"'unit', {quoted(unit)}, 'entity', string({entity}), 'period', string({period}))"
+    )
 
 
 def changes(series: DataFrame, pack: ReportPack) -> DataFrame:
@@ -79,31 +75,30 @@ def new_risks(risks: DataFrame) -> DataFrame:
 
 
 def period_deltas(
-    summary: DataFrame, series: DataFrame, risks: DataFrame, pack: ReportPack
+    summary: DataFrame, series: DataFrame, onsets: DataFrame, pack: ReportPack
 ) -> DataFrame:
     """One row per period: metrics, movers up and down, newly seen risk codes.
 
+    `onsets` needs the code and first_seen_period of every finding.
+
     Every side has one row per period before the joins.
     """
-    period = F.col(pack.period)
     metrics = []
     for a in pack.period_aggregates:
-        none = F.lit(None)
         label, unit = pack.describe(a.name)
-        item = metric_value(a.name, label, F.col(a.name), unit, none, none)
-        metrics.append(F.when(F.col(a.name).isNotNull(), item))
+        item = metric_value(a.name, label, f"`{a.name}`", unit, "NULL", "NULL")
+        metrics.append(f"CASE WHEN `{a.name}` IS NOT NULL THEN {item} END")
+    period = F.col(pack.period)
     base = summary.select(
         period.alias("period"),
         F.lag(period).over(Window.orderBy(period)).alias("previous_period"),
-        F.array_compact(F.array(*metrics)).alias("metrics"),
+        F.expr(f"array_compact(array({', '.join(metrics)}))").alias("metrics"),
     )
 
     label, unit = pack.describe(pack.trend_column)
     name = f"{pack.trend_column}_change"
-    item = metric_value(
-        name, f"{label} değişimi", F.col("change"), unit, F.col("entity"), F.col("period")
-    )
-    listed = F.struct("rank", item.alias("item"))
+    item = metric_value(name, f"{label} değişimi", "change", unit, "entity", "period")
+    listed = F.struct("rank", F.expr(item).alias("item"))
 
     def side(direction: str) -> Column:
         # at most n entries per period
@@ -119,7 +114,7 @@ def period_deltas(
     no_codes = F.array().cast("array<string>")
     return (
         base.join(movers, "period", "left")
-        .join(new_risks(risks), "period", "left")
+        .join(new_risks(onsets), "period", "left")
         .select(
             "period",
             "previous_period",

@@ -4,64 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelloom.model import METRIC_VALUE, severity_rank
+from panelloom.functions.text import quoted
+from panelloom.model import severity_rank
 from panelloom.pack import ReportPack, RiskRule
 
 
 def evidence_of(rule: RiskRule, pack: ReportPack) -> Column:
     """The rule's non-null metrics as an array of metric values."""
-    entity = F.col(pack.entity)
     items = []
     for name in rule.evidence:
         label, unit = pack.describe(name)
-        value = F.col(name).cast("double")
-        item = F.struct(
-            F.lit(name).alias("metric"),
-            F.lit(label).alias("label"),
-            value.alias("value"),
-            F.lit(unit).alias("unit"),
-            entity.alias("entity"),
-            F.lit(None).cast("string").alias("period"),
-        ).cast(METRIC_VALUE)
-        items.append(F.when(value.isNotNull(), item))
-    return F.array_compact(F.array(*items))
+        items.append(
+            f"CASE WHEN `{name}` IS NOT NULL THEN named_struct('metric', '{name}', "
+            f"'label', {quoted(label)}, 'value', double(`{name}`), 'unit', {quoted(unit)}, "
+            f"'entity', `{pack.entity}`, 'period', string(NULL)) END"
+        )
+    return F.expr(f"array_compact(array({', '.join(items)}))")
+
+
+def matches(pack: ReportPack) -> list[Column]:
+    """Per rule, whether it holds for an entity-summary row; null counts as no."""
+    return [rule.when(pack.panel) for rule in pack.risks]
 
 
 def finding(rule: RiskRule, order: int, pack: ReportPack) -> Column:
-    p = pack.panel
-    impact = rule.impact(p) if rule.impact else F.lit(None)
-    first_seen = F.col(rule.first_seen) if rule.first_seen else F.lit(None)
+    impact = rule.impact(pack.panel) if rule.impact else F.lit(None)
+    first_seen = f"string(`{rule.first_seen}`)" if rule.first_seen else "string(NULL)"
     return F.struct(
-        F.lit(order).alias("rule_no"),
-        F.lit(rule.code).alias("code"),
-        F.lit(rule.title).alias("title"),
-        F.lit(rule.severity).alias("severity"),
-        rule.narrative(p).alias("narrative"),
-        F.lit(rule.recommendation).alias("recommendation"),
+        F.expr(f"{order} AS rule_no"),
+        F.expr(f"{quoted(rule.code)} AS code"),
+        F.expr(f"{quoted(rule.title)} AS title"),
+        F.expr(f"{quoted(rule.severity)} AS severity"),
+        rule.narrative(pack.panel).alias("narrative"),
+        F.expr(f"{quoted(rule.recommendation)} AS recommendation"),
         evidence_of(rule, pack).alias("evidence"),
         impact.cast("double").alias("financial_impact_tl"),
-        first_seen.cast("string").alias("first_seen_period"),
+        F.expr(f"{first_seen} AS first_seen_period"),
     )
 
 
 def risk_table(entities: DataFrame, pack: ReportPack) -> DataFrame:
     """One row per (entity, matching rule), from a single pass over the summary."""
-    p = pack.panel
     hits = [
-        F.when(rule.when(p), finding(rule, order, pack)) for order, rule in enumerate(pack.risks)
+        F.when(holds, finding(rule, order, pack))
+        for order, (rule, holds) in enumerate(zip(pack.risks, matches(pack)))
     ]
-    dims = [x for d in pack.dimensions for x in (F.lit(d), F.coalesce(F.col(d), F.lit("")))]
+    dims = ", ".join(f"'{d}', coalesce(`{d}`, '')" for d in pack.dimensions)
     exploded = entities.select(
-        F.col(pack.entity).alias("entity"),
-        F.coalesce(F.nullif(F.col(pack.label), F.lit("")), F.col(pack.entity)).alias(
-            "entity_label"
-        ),
-        F.create_map(*dims).alias("dimensions"),
+        F.expr(f"`{pack.entity}` AS entity"),
+        F.expr(f"coalesce(nullif(`{pack.label}`, ''), `{pack.entity}`) AS entity_label"),
+        F.expr(f"map({dims}) AS dimensions"),
         F.explode(F.array_compact(F.array(*hits))).alias("hit"),
     )
     return exploded.select("hit.*", "entity", "entity_label", "dimensions")
 
 
+def risk_onsets(entities: DataFrame, pack: ReportPack) -> DataFrame:
+    """(code, first_seen_period) of every finding: the risk table without its texts."""
+    hits = []
+    for rule, holds in zip(pack.risks, matches(pack)):
+        seen = f"string(`{rule.first_seen}`)" if rule.first_seen else "string(NULL)"
+        item = F.expr(f"named_struct('code', {quoted(rule.code)}, 'first_seen_period', {seen})")
+        hits.append(F.when(holds, item))
+    return entities.select(F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("hit.*")
+
+
 def risk_order() -> list[Column]:
     """Severity, then impact (null as 0) from large to small, entity, rule."""
     return [
@@ -119,10 +126,7 @@ def prioritised_entities(entities: DataFrame, pack: ReportPack, n: int = 40) ->
     An entity is risky if any rule matches its own summary row, so no join with
     the risk table is needed.
     """
-    p = pack.panel
-    risky = F.lit(False)
-    for rule in pack.risks:
-        risky = risky | F.coalesce(rule.when(p), F.lit(False))
+    risky = F.exists(F.array(*matches(pack)), lambda holds: F.coalesce(holds, F.lit(False)))
     return (
         entities.withColumn("risky", risky).orderBy(F.desc("risky"), F.asc(pack.entity)).limit(n)
     )
