@@ -42,15 +42,18 @@ class Panel:
     entity: str
     period: str
     label: str
+    # Optional column that splits an entity's rows into separate histories. A hash
+    # exchange on the entity alone still serves the windows.
+    split: str | None = None
 
     # -- windows -----------------------------------------------------------
     @property
-    def history(self) -> WindowSpec:
-        return Window.partitionBy(self.entity).orderBy(self.period)
+    def whole(self) -> WindowSpec:
+        return Window.partitionBy(*[k for k in (self.entity, self.split) if k])
 
     @property
-    def whole(self) -> WindowSpec:
-        return Window.partitionBy(self.entity)
+    def history(self) -> WindowSpec:
+        return self.whole.orderBy(self.period)
 
     def previous(self, x: Column) -> Column:
         return F.lag(x).over(self.history)

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelloom.functions.panel import ROW, ROWS
+from panelloom.functions.panel import ROW, ROWS, Panel
 from panelloom.pack import ReportPack
 
 
-def build_series(panel: DataFrame, pack: ReportPack, helpers: bool = True) -> DataFrame:
+def build_series(frame: DataFrame, pack: ReportPack, panel: Panel | None = None) -> DataFrame:
     """Add the pack's metrics and the row position to a clean panel.
 
     Pack order is dependency order within each stage. All windows partition by
     entity, so they share one exchange. `__` columns are internal.
     """
-    p = pack.panel
+    p = panel or pack.panel
     for metric in pack.metrics:
         if not metric.window:
-            panel = panel.withColumn(metric.name, metric.build(p))
-    panel = panel.withColumns(
+            frame = frame.withColumn(metric.name, metric.build(p))
+    frame = frame.withColumns(
         {
             ROW: F.row_number().over(p.history) - 1,
             ROWS: F.count(F.lit(1)).over(p.whole),
@@ -26,10 +26,8 @@ def build_series(panel: DataFrame, pack: ReportPack, helpers: bool = True) -> Da
     )
     for metric in pack.metrics:
         if metric.window:
-            panel = panel.withColumn(metric.name, metric.build(p))
-    if helpers:
-        panel = panel.withColumns({h.name: h.build(p) for h in pack.helpers})
-    return panel
+            frame = frame.withColumn(metric.name, metric.build(p))
+    return frame.withColumns({h.name: h.build(p) for h in pack.helpers}) if pack.helpers else frame
 
 
 def public_columns(frame: DataFrame) -> DataFrame:
