@@ -384,20 +384,10 @@ def campaign_narratives(spark, sf_dir):
 RISK_ORDER = "ORDER BY severity_rank, coalesce(impact, 0) DESC, entity, rule_no"
 
 
-@register(
-    "top01_risk_order",
-    f"{INV_RSK} SELECT code, entity, row_number() OVER ({RISK_ORDER}) AS position FROM risks",
-)
+@register("top01_risk_order", f"{INV_RSK} {RISK_SELECT} FROM risks {RISK_ORDER}")
 def risk_order(spark, sf_dir):
-    """Position in the global risk order, from a sort and its partition offsets."""
-    ordered = risks.ordered_risks(risks_of(INV, spark, sf_dir).drop("evidence", "narrative"))
-    return ordered.selectExpr(
-        "code",
-        "entity",
-        "row_number() OVER (ORDER BY map('kritik', 0, 'yuksek', 1, 'orta', 2, 'dusuk', 3, "
-        "'bilgi', 4)[severity], coalesce(financial_impact_tl, 0D) DESC, entity, rule_no) "
-        "AS position",
-    )
+    ordered = risks.ordered_risks(risks_of(INV, spark, sf_dir))
+    return tidy(ordered.select(*RISK_COLUMNS))
 
 
 @register("top02_top_risks", f"{INV_RSK} {RISK_SELECT} FROM risks {RISK_ORDER} LIMIT 8")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelloom.functions import encoding as enc
 from panelloom.functions.text import quoted
 from panelloom.model import EmptyDatasetError, IngestionError
+from panelloom.sources.storage import store
 
 SEQ = "__seq"  # position of a row in the input: (file, block, row)
 BOM = "\ufeff"
@@ -94,7 +95,7 @@ def scan_csv(spark: SparkSession, path: str) -> RawScan:
     splittable unless one holds a line break inside quotes.
     """
     try:
-        audit = audit_files(spark, path)
+        audit = store(audit_files(spark, path), "audit")
         kinds = ["encoding", "verdict", "header", "quoted_breaks"]
         # one row per distinct kind of file; a clean export has exactly one
         groups = audit.groupBy(*kinds).agg(F.count(F.lit(1)).alias("files")).collect()
