@@ -43,7 +43,12 @@ def dirty_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, style = F.col("h"), F.col("h") % 4
     stock = F.col("donem_sonu_stok") + F.when(F.col("copy") == 2, 11.0).otherwise(0.0)
     sold = F.when(h % 103 == 0, -F.col("cikis_miktar")).otherwise(F.col("cikis_miktar"))
-    price = spell(steady_round(F.col("birim_satis_tl"), 2), 2, style)
+    price_value = steady_round(F.col("birim_satis_tl"), 2)
+    price = spell(price_value, 2, style)
+    # every 107th row sells at cost
+    cost = F.when(h % 107 == 0, price_value).otherwise(
+        steady_round(F.col("birim_maliyet_tl"), 2)
+    )
     return rows.select(
         "stok_kodu",
         F.when(h % 211 != 0, F.col("urun_adi")).alias("Urun Adi"),
@@ -55,7 +60,7 @@ def dirty_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(h % 19 != 0, spell(F.col("giris_miktar"), 0, style)).alias("giris"),
         F.when(h % 23 != 0, spell(sold, 0, style)).alias("cikis"),
         F.when(h % 17 != 0, spell(stock, 0, style)).alias("son_stok"),
-        spell(steady_round(F.col("birim_maliyet_tl"), 2), 2, style).alias("birim-maliyet"),
+        spell(cost, 2, style).alias("birim-maliyet"),
         F.when(h % 101 == 0, "abc").otherwise(price).alias("satis_fiyati"),
         F.lit("x").alias("note"),
         (F.col("s") * 1000000 + F.col("k") * 10 + F.col("copy")).alias(SEQ),
@@ -78,7 +83,8 @@ typed AS (
       AS cikis_miktar,
     CASE WHEN h % 17 <> 0 THEN donem_sonu_stok + CASE WHEN copy = 2 THEN 11 ELSE 0 END END
       AS donem_sonu_stok,
-    round(birim_maliyet_tl + 1.2345678e-6, 2) AS birim_maliyet_tl,
+    round(CASE WHEN h % 107 = 0 THEN birim_satis_tl ELSE birim_maliyet_tl END + 1.2345678e-6, 2)
+      AS birim_maliyet_tl,
     CASE WHEN h % 101 <> 0 THEN round(birim_satis_tl + 1.2345678e-6, 2) END AS birim_satis_tl,
     s * 1000000 + k * 10 + copy AS seq
   FROM copied),

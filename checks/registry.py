@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import analysis_queries, ingest_queries
+from checks import analysis_queries, ingest_queries, result_queries
 
-MODULES = (analysis_queries, ingest_queries)
+MODULES = (analysis_queries, ingest_queries, result_queries)
 
 
 def all_queries() -> dict:

@@ -266,9 +266,9 @@ CARRIERS = ("actions", "top_risks", "opportunities", "strategic_actions")
 
 def collect_evidence(documents: DataFrame, doc_id: str, payload: str) -> DataFrame:
     """One row per evidence item of JSON documents, in document order."""
-    parsed = documents.select(doc_id, F.from_json(payload, PAYLOAD).alias("doc"))
-    nested = [f"flatten(transform(coalesce(doc.{c}, array()), x -> x.evidence))" for c in CARRIERS]
-    lists = [f"coalesce({x}, array())" for x in (*nested, "doc.evidence")]
+    parsed = documents.select(doc_id, F.from_json(payload, PAYLOAD).alias("__payload"))
+    nested = [f"flatten(transform(coalesce(__payload.{c}, array()), x -> x.evidence))" for c in CARRIERS]
+    lists = [f"coalesce({x}, array())" for x in (*nested, "__payload.evidence")]
     return parsed.selectExpr(doc_id, f"posexplode(concat({', '.join(lists)})) AS (pos, item)").select(
         doc_id, "pos", "item.*"
     )
@@ -276,9 +276,9 @@ def collect_evidence(documents: DataFrame, doc_id: str, payload: str) -> DataFra
 
 def without_evidence(documents: DataFrame, doc_id: str, payload: str) -> DataFrame:
     """Actions and highlights that carry no evidence; there should be none."""
-    parsed = documents.select(doc_id, F.from_json(payload, PAYLOAD).alias("doc"))
+    parsed = documents.select(doc_id, F.from_json(payload, PAYLOAD).alias("__payload"))
     bare = ", ".join(
-        f"transform(filter(coalesce(doc.{c}, array()), x -> coalesce(size(x.evidence), 0) <= 0), "
+        f"transform(filter(coalesce(__payload.{c}, array()), x -> coalesce(size(x.evidence), 0) <= 0), "
         f"x -> struct('{c}' AS part, x.title AS title))"
         for c in CARRIERS
     )
