@@ -127,7 +127,7 @@ tested AS (
   SELECT *, flagged OR coalesce(lag(flagged) OVER w, false) AS exempt,
     lag(donem_sonu_stok) OVER w AS before,
     donem_sonu_stok - (lag(donem_sonu_stok) OVER w + giris_miktar - cikis_miktar) AS gap,
-    (birim_maliyet_tl / lag(birim_maliyet_tl) OVER w - 1) * 100 AS cost_change
+    (birim_maliyet_tl - lag(birim_maliyet_tl) OVER w) / lag(birim_maliyet_tl) OVER w * 100 AS cost_change
   FROM (SELECT *, giris_miktar__imputed OR cikis_miktar__imputed OR donem_sonu_stok__imputed
           AS flagged FROM checked WHERE complete)
   WINDOW w AS (PARTITION BY stok_kodu ORDER BY donem)),

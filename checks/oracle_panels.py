@@ -46,7 +46,7 @@ def pct(x: str, entity: str) -> str:
     now = f"coalesce({x}, {before})"
     return (
         f"100 * CASE WHEN {before} IS NULL THEN NULL WHEN {before} <> 0 "
-        f"THEN {now} / {before} - 1 WHEN {now} > 0 THEN CAST('inf' AS DOUBLE) "
+        f"THEN ({now} - {before}) / {before} WHEN {now} > 0 THEN CAST('inf' AS DOUBLE) "
         f"WHEN {now} < 0 THEN CAST('-inf' AS DOUBLE) ELSE CAST('nan' AS DOUBLE) END"
     )
 

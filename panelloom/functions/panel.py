@@ -78,7 +78,7 @@ class Panel:
         )
         now = F.coalesce(x, before)
         change = (
-            F.when(before != 0, now / before - 1)
+            F.when(before != 0, (now - before) / before)
             .when(before.isNull() | now.isNull(), F.lit(None).cast("double"))
             .when(now > 0, F.lit(float("inf")))
             .when(now < 0, F.lit(float("-inf")))

@@ -267,7 +267,10 @@ CARRIERS = ("actions", "top_risks", "opportunities", "strategic_actions")
 def collect_evidence(documents: DataFrame, doc_id: str, payload: str) -> DataFrame:
     """One row per evidence item of JSON documents, in document order."""
     parsed = documents.select(doc_id, F.from_json(payload, PAYLOAD).alias("__payload"))
-    nested = [f"flatten(transform(coalesce(__payload.{c}, array()), x -> x.evidence))" for c in CARRIERS]
+    nested = [
+        f"flatten(transform(coalesce(__payload.{c}, array()), x -> coalesce(x.evidence, array())))"
+        for c in CARRIERS
+    ]
     lists = [f"coalesce({x}, array())" for x in (*nested, "__payload.evidence")]
     return parsed.selectExpr(doc_id, f"posexplode(concat({', '.join(lists)})) AS (pos, item)").select(
         doc_id, "pos", "item.*"

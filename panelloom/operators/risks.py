@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelloom.functions.text import quoted
 from panelloom.model import severity_rank
+from panelloom.operators.quality import usable
 from panelloom.pack import ReportPack, RiskRule
 
 
@@ -43,8 +47,22 @@ def finding(rule: RiskRule, order: int, pack: ReportPack) -> Column:
     )
 
 
+def usable_rules(entities: DataFrame, pack: ReportPack) -> ReportPack:
+    """The pack without the rules the summary cannot evaluate; those are logged.
+
+    Dropping such a rule silently would read as "no risk".
+    """
+    try:
+        entities.select(*matches(pack))
+        return pack
+    except AnalysisException:
+        kept = usable(entities, {r.code: r.when(pack.panel) for r in pack.risks})
+        return replace(pack, risks=tuple(r for r in pack.risks if r.code in kept))
+
+
 def risk_table(entities: DataFrame, pack: ReportPack) -> DataFrame:
     """One row per (entity, matching rule), from a single pass over the summary."""
+    pack = usable_rules(entities, pack)
     hits = [
         F.when(holds, finding(rule, order, pack))
         for order, (rule, holds) in enumerate(zip(pack.risks, matches(pack)))
@@ -61,6 +79,7 @@ def risk_table(entities: DataFrame, pack: ReportPack) -> DataFrame:
 
 def risk_onsets(entities: DataFrame, pack: ReportPack) -> DataFrame:
     """(code, first_seen_period) of every finding: the risk table without its texts."""
+    pack = usable_rules(entities, pack)
     hits = []
     for rule, holds in zip(pack.risks, matches(pack)):
         seen = f"string(`{rule.first_seen}`)" if rule.first_seen else "string(NULL)"
@@ -126,6 +145,7 @@ def prioritised_entities(entities: DataFrame, pack: ReportPack, n: int = 40) ->
     An entity is risky if any rule matches its own summary row, so no join with
     the risk table is needed.
     """
+    pack = usable_rules(entities, pack)
     risky = F.exists(F.array(*matches(pack)), lambda holds: F.coalesce(holds, F.lit(False)))
     return (
         entities.withColumn("risky", risky).orderBy(F.desc("risky"), F.asc(pack.entity)).limit(n)
