@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import oracle_panels as sql
 from checks.shape import rounded, split_infinite, split_infinite_sql, tidy, whole
-from checks.star_panels import campaign_panel, inventory_panel, month, table
+from checks.star_panels import campaign_panel, inventory_panel, table
 from panelloom.functions.panel import ROW
 from panelloom.operators import deltas, risks, summaries
 from panelloom.operators.series import build_series, public_columns
@@ -556,7 +556,7 @@ def snapshot_pair(spark, sf_dir):
 def event_panel(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     return (
-        events.groupBy(F.col("user_id").cast("string").alias("kampanya_id"), month(F.col("ts")).alias("donem"))
+        events.groupBy(F.col("user_id").cast("string").alias("kampanya_id"), F.date_format("ts", "yyyy-MM").alias("donem"))
         .agg(
             F.concat(F.lit("user "), F.first("user_id")).alias("kampanya_adi"),
             F.lit("events").alias("platform"),

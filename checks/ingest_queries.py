@@ -17,7 +17,7 @@ from checks.dirty_rows import (
 from checks.shape import rounded, tidy, whole
 from checks.star_panels import inventory_panel, table
 from panelloom.functions import encoding as enc
-from panelloom.functions.numbers import to_double, to_long
+from panelloom.functions.numbers import read_numbers
 from panelloom.operators import coerce as co, dedup, quality
 from panelloom.operators.impute import impute
 from panelloom.operators.series import build_series
@@ -97,9 +97,9 @@ def number_spellings(spark, sf_dir):
         "l_partkey",
         "l_suppkey",
         F.col("l_shipdate").cast("date").alias("shipped"),
-        to_double(text).alias("value"),
+        text.alias("value"),
     )
-    shown = tidy(read, 2)
+    shown = tidy(read_numbers(read, {"value": "double"}), 2)
     return shown.groupBy(*shown.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -114,7 +114,8 @@ def integer_cast(spark, sf_dir):
     text = F.when(F.col("line") % 5 == 0, F.lit("12.34.56")).otherwise(
         spell(F.col("l_extendedprice"), 2, F.col("line") % 4)
     )
-    value = to_long(text)
+    value = F.col("value")
+    lines = read_numbers(lines.withColumn("value", text), {"value": "bigint"})
     return lines.groupBy(F.col("line").alias("l_linenumber")).agg(
         F.sum(value).alias("total"), F.count_if(value.isNull()).alias("unreadable")
     )

@@ -101,7 +101,7 @@ judged AS (
 def checked_claims(spark, sf_dir):
     result = analyze(inventory_panel(spark, sf_dir), INV)
     claims = claims_of(result)
-    return grounding.verify(claims, grounding.fact_index(result, claims))
+    return grounding.verify(claims, grounding.written_facts(result, claims))
 
 
 @register(
@@ -140,7 +140,8 @@ def fact_index(spark, sf_dir):
     chosen = ("giris_miktar", "cikis_miktar", "donem_sonu_stok", "ciro_tl", "kapama_ay", "marj_yuzde")
     facts = grounding.fact_index(result)
     both = F.col("entity").isNotNull() & F.col("period").isNotNull()
-    return tidy(facts.filter(both & F.col("metric").isin(*chosen)))
+    chosen_facts = facts.filter(both & F.col("metric").isin(*chosen))
+    return tidy(chosen_facts.drop("written"))
 
 
 @register(

@@ -13,7 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def month(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    """First day of the month: cheap to group by, formatted after the aggregate."""
+    return F.trunc(ts.cast("date"), "MM")
+
+
+def period_text(first_day: str) -> Column:
+    return F.date_format(first_day, "yyyy-MM")
 
 
 def with_supplier(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def inventory_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag, unit = F.col("l_returnflag"), F.col("l_extendedprice") / F.col("l_quantity")
     cells = (
         table(spark, sf_dir, "lineitem")
-        .groupBy("l_suppkey", month(F.col("l_shipdate")).alias("donem"))
+        .groupBy("l_suppkey", month(F.col("l_shipdate")).alias("month"))
         .agg(
             F.sum(F.when(flag.isin("A", "N"), qty).otherwise(0.0)).alias("giris_miktar"),
             F.sum(F.when(flag.isin("R", "N"), qty).otherwise(0.0)).alias("cikis_miktar"),
@@ -46,7 +51,7 @@ def inventory_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("urun_adi"),
         F.col("n_name").alias("kategori"),
         F.col("r_name").alias("depo"),
-        "donem",
+        period_text("month").alias("donem"),
         "giris_miktar",
         "cikis_miktar",
         "birim_maliyet_tl",
@@ -67,7 +72,7 @@ def campaign_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     revenue = F.when(F.col("l_returnflag") == "A", 4 * ext * F.col("l_tax")).otherwise(0.0)
     cells = (
         table(spark, sf_dir, "lineitem")
-        .groupBy("l_suppkey", month(ship).alias("donem"), F.month(ship).alias("m"))
+        .groupBy("l_suppkey", month(ship).alias("month"))
         .agg(
             F.round(F.sum(ext * F.col("l_discount")), 4).alias("harcama_tl"),
             F.round(F.sum(revenue), 4).alias("gelir_tl"),
@@ -76,13 +81,13 @@ def campaign_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             steady_round(1 + F.avg(qty) / 20, 4).alias("frekans"),
         )
     )
-    reach = 0.5 + ((7 * F.col("l_suppkey") + F.col("m")) % 11) / 10.0
+    reach = 0.5 + ((7 * F.col("l_suppkey") + F.month("month")) % 11) / 10.0
     return with_supplier(spark, sf_dir, cells).select(
         F.col("l_suppkey").cast("string").alias("kampanya_id"),
         F.col("s_name").alias("kampanya_adi"),
         F.col("r_name").alias("platform"),
         F.col("n_name").alias("urun_kategorisi"),
-        "donem",
+        period_text("month").alias("donem"),
         "harcama_tl",
         F.round(30 * F.col("tiklama") * reach, 2).alias("gosterim"),
         "tiklama",

@@ -55,21 +55,21 @@ def undo_cp1252(x: str) -> str:
 
 
 def repaired(x: str) -> str:
-    """SQL: the repaired text where repair is safe and raises the score, else null."""
-    fixed = undo_cp1252(x)
-    return f"CASE WHEN {turkish_score(fixed)} > {turkish_score(x)} THEN {fixed} END"
+    """SQL: the repaired text where repair is safe and raises the score, else null.
+
+    The array binds the round trip to a name, so it is worked out once.
+    """
+    better = f"{turkish_score('f')} > {turkish_score(x)}"
+    return f"get(filter(array({undo_cp1252(x)}), f -> {better}), 0)"
 
 
-def repair_mojibake(x: Column | str) -> Column:
+def repair_mojibake(name: str) -> Column:
     """Column transform: repair each text on its own, leave the others as they are.
 
     The repair is only worked out for texts that carry a telltale pair.
     """
-    name = x if isinstance(x, str) else None
-    if name is None:
-        raise TypeError("pass the column name")
-    ref = f"`{name}`"
-    return F.expr(f"CASE WHEN {has_mojibake(ref)} THEN coalesce({repaired(ref)}, {ref}) ELSE {ref} END")
+    x = f"`{name}`"
+    return F.expr(f"CASE WHEN {has_mojibake(x)} THEN coalesce({repaired(x)}, {x}) ELSE {x} END")
 
 
 def turkish_from_latin1(x: str, keep_controls: bool = False) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from panelloom.functions.text import without_blanks
 
 # Accepted spellings, most specific first. A separator followed by
 # exactly three digits is a thousands separator, so "12.500" is 12500.
@@ -16,10 +18,16 @@ SPELLINGS = (
     (r"^-?\d+(\.\d+)?$", None, None),  # 12500, 12.5
 )
 
+# Fixed value: the common spellings no separator rule applies to, tried first.
+UNAMBIGUOUS = r"^-?\d+(\.(\d{1,2}|\d{4,}))?$"
+
 
-def plain_number(text: Column) -> Column:
-    """Rewrite any accepted spelling as digits with a point; null otherwise."""
-    compact = F.regexp_replace(text, r"(?U)\s", "")
+def plain_number(compact: Column) -> Column:
+    """Rewrite any accepted spelling as digits with a point; null otherwise.
+
+    `compact` is a text without blanks. It is read many times here, so it should
+    be a column of an earlier projection, not an expression.
+    """
     result = F.lit(None).cast("string")
     for pattern, drop, point in reversed(SPELLINGS):
         rewritten = compact
@@ -27,12 +35,17 @@ def plain_number(text: Column) -> Column:
             # one translate: the decimal mark becomes a point, the group mark vanishes
             rewritten = F.translate(compact, (point or "") + (drop or ""), "." if point else "")
         result = F.when(compact.rlike(pattern), rewritten).otherwise(result)
-    return result
-
+    return F.when(compact.rlike(UNAMBIGUOUS), compact).otherwise(result)
 
-def to_double(text: Column) -> Column:
-    return plain_number(text).try_cast("double")
 
+def read_numbers(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Turn text columns into numbers; `kinds` maps a column to its Spark type.
 
-def to_long(text: Column) -> Column:
-    return to_double(text).try_cast("bigint")
+    The blank-free text is a projection of its own, worked out once per cell.
+    """
+    rows = rows.withColumns({n: without_blanks(F.col(n)) for n in kinds})
+    read = {}
+    for name, kind in kinds.items():
+        value = plain_number(F.col(name)).try_cast("double")
+        read[name] = value if kind == "double" else value.try_cast(kind)
+    return rows.withColumns(read)

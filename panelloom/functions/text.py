@@ -19,14 +19,24 @@ def fold_name(name: Column) -> Column:
     return strip(folded)
 
 
+# The characters with the Unicode White_Space property.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(x: Column) -> Column:
-    """Strip every Unicode blank at both ends; SQL trim knows only the space."""
-    return F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    """Strip every Unicode blank at both ends; plain trim knows only the space."""
+    return F.btrim(x, F.lit(WHITE_SPACE))
+
+
+def without_blanks(x: Column) -> Column:
+    return F.translate(x, WHITE_SPACE, "")
 
 
 def blank_to_null(x: Column) -> Column:
-    stripped = strip(x)
-    return F.when(stripped != "", stripped)
+    return F.nullif(strip(x), F.lit(""))
 
 
 def quoted(text: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelloom.functions.numbers import to_double, to_long
+from panelloom.functions.numbers import read_numbers
 from panelloom.functions.text import blank_to_null
 from panelloom.model import DECIMAL, INTEGER, SchemaMismatchError
 from panelloom.pack import ReportPack
@@ -31,13 +31,10 @@ def unknown_columns(headers, pack: ReportPack) -> list[str]:
 
 def coerce(rows: DataFrame, pack: ReportPack) -> DataFrame:
     """Clean text, read numbers in any accepted spelling; unreadable becomes null."""
-    readers = {DECIMAL: to_double, INTEGER: to_long}
-    typed = {}
-    for spec in pack.columns:
-        if spec.name in rows.columns:
-            cleaned = blank_to_null(F.col(spec.name))
-            typed[spec.name] = readers.get(spec.kind, lambda x: x)(cleaned)
-    return rows.withColumns(typed)
+    present = [c for c in pack.columns if c.name in rows.columns]
+    cleaned = rows.withColumns({c.name: blank_to_null(F.col(c.name)) for c in present})
+    types = {DECIMAL: "double", INTEGER: "bigint"}
+    return read_numbers(cleaned, {c.name: types[c.kind] for c in present if c.is_number})
 
 
 def missing_counts(pack: ReportPack, columns) -> dict[str, Column]:

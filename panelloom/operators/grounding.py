@@ -122,11 +122,21 @@ def risk_facts(result: AnalysisResult) -> list[DataFrame]:
     ]
 
 
-def fact_index(result: AnalysisResult, claims: DataFrame | None = None) -> DataFrame:
-    """Every computed number under its key, the last one written where several are.
+def last_written(facts: DataFrame) -> DataFrame:
+    """One row per key: the fact written last."""
+    return facts.groupBy("metric", "entity", "period").agg(
+        F.max_by("value", "written").alias("value"), F.max("written").alias("written")
+    )
+
 
-    With `claims`, only entities some claim names are unpivoted: the series is by
-    far the largest source and a check touches little of it.
+def written_facts(result: AnalysisResult, claims: DataFrame | None = None) -> DataFrame:
+    """Every computed number with its key and writing order.
+
+    A key appears at most once per source: the summary sources, which write some
+    keys once a period, are reduced here; series and entity rows are unique up to
+    spelling and are by far the most, so they are not sorted again.
+
+    With `claims`, only entities some claim names are unpivoted.
     """
     pack = result.pack
     series, entities = result.series_rows, result.entity_rows
@@ -135,21 +145,26 @@ def fact_index(result: AnalysisResult, claims: DataFrame | None = None) -> DataF
         same = fold_name(F.col(pack.entity)) == F.col("__named")
         series = series.join(named, same, "left_semi")
         entities = entities.join(named, same, "left_semi")
-    parts = [
+    summaries = [
         *period_facts(result),
-        *entity_facts(entities, pack),
         *dimension_facts(result),
-        *series_facts(series, pack),
         *headline_facts(result),
         *delta_facts(result),
         *risk_facts(result),
     ]
-    written = reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
-    return (
-        written.withColumn("entity", fold_name(F.col("entity")))
-        .groupBy("metric", "entity", "period")
-        .agg(F.max_by("value", "written").alias("value"))
-    )
+    rows = [*series_facts(series, pack), *entity_facts(entities, pack)]
+    return last_written(keyed(summaries)).unionByName(keyed(rows))
+
+
+def keyed(parts: list[DataFrame]) -> DataFrame:
+    """Stacked facts under their folded names, without empty values."""
+    facts = reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
+    return facts.withColumn("entity", fold_name(F.col("entity")))
+
+
+def fact_index(result: AnalysisResult, claims: DataFrame | None = None) -> DataFrame:
+    """The whole index with one row per key."""
+    return last_written(written_facts(result, claims))
 
 
 def rungs() -> Column:
@@ -173,6 +188,7 @@ def rungs() -> Column:
 def look_up(claims: DataFrame, facts: DataFrame) -> DataFrame:
     """Add `expected`: the value of the first key of the ladder that has one.
 
+    `facts` may hold a key more than once; the one written last counts.
     Keys without an entity are shared by many claims, so their few facts are
     repeated over salts and the claims spread over them.
     """
@@ -188,6 +204,7 @@ def look_up(claims: DataFrame, facts: DataFrame) -> DataFrame:
         F.col("entity").alias("f_entity"),
         F.col("period").alias("f_period"),
         F.col("value").alias("f_value"),
+        F.col("written").alias("f_written"),
         F.explode(F.coalesce(copies, F.array(F.lit(0)))).alias("f_salt"),
     )
     hit = (
@@ -196,11 +213,12 @@ def look_up(claims: DataFrame, facts: DataFrame) -> DataFrame:
         & F.col("key.period").eqNullSafe(F.col("f_period"))
         & (F.col("salt") == F.col("f_salt"))
     )
-    rung = F.when(F.col("f_value").isNotNull(), F.col("key.rung"))
+    best = F.struct((-F.col("key.rung")).alias("near"), F.col("f_written").alias("written"))
+    ranked = F.when(F.col("f_value").isNotNull(), best)
     return (
         tried.join(spread, hit, "left")
         .groupBy(*claims.columns)
-        .agg(F.min_by("f_value", rung).alias("expected"))
+        .agg(F.max_by("f_value", ranked).alias("expected"))
     )
 
 

@@ -57,7 +57,7 @@ def test_restricting_to_claimed_entities_changes_nothing(spark):
     claims = spark.createDataFrame(
         [("a", "son_stok", "DEAD", None, 500.0), ("b", "toplam_cikis", None, "2026-01", 1.0)], CLAIM
     )
-    narrow = grounding.verify(claims, grounding.fact_index(result, claims)).collect()
+    narrow = grounding.verify(claims, grounding.written_facts(result, claims)).collect()
     full = grounding.verify(claims, grounding.fact_index(result)).collect()
     assert sorted(narrow) == sorted(full)
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.functions.numbers import to_double, to_long
+from panelloom.functions.numbers import read_numbers
 from panelloom.functions.text import fixed_sql, fold_name, render, strip
 
 SPELLINGS = {
@@ -29,13 +29,14 @@ SPELLINGS = {
 
 def test_number_spellings(spark):
     rows = spark.createDataFrame([(k,) for k in SPELLINGS], "t string")
-    read = {r["t"]: r["v"] for r in rows.select("t", to_double(F.col("t")).alias("v")).collect()}
+    read = read_numbers(rows.withColumn("v", F.col("t")), {"v": "double"})
+    read = {r["t"]: r["v"] for r in read.collect()}
     assert read == SPELLINGS
 
 
 def test_integer_cast(spark):
     rows = spark.createDataFrame([("1.234,56",), ("x",)], "t string")
-    assert [r[0] for r in rows.select(to_long(F.col("t"))).collect()] == [1234, None]
+    assert [r[0] for r in read_numbers(rows, {"t": "bigint"}).collect()] == [1234, None]
 
 
 def test_strip_and_fold(spark):
