@@ -449,7 +449,7 @@ def prioritised(spark, sf_dir):
 
 # -- deltas ---------------------------------------------------------------------
 def changes_sql(entity: str, label: str, x: str) -> str:
-    """Two-period self join, the relational form of the reference pivot."""
+    """Two-period self join: what a pivot on the two periods gives."""
     return f""", cal AS (
   SELECT donem AS period, lag(donem) OVER (ORDER BY donem) AS previous_period
   FROM (SELECT DISTINCT donem FROM series)),

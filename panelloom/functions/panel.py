@@ -14,6 +14,9 @@ from pyspark.sql import Column, Window, WindowSpec, functions as F
 
 ROW = "__row"  # 0-based position of the row within its entity
 ROWS = "__rows"  # number of rows of the entity
+SEEN_PERIOD = "__seen_period"  # period and label of the entity's previous row
+SEEN_LABEL = "__seen_label"
+CHANGE = "__change"  # change of the trend column against that row
 
 
 class _Columns:

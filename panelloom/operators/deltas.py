@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelloom.functions.panel import CHANGE, SEEN_LABEL, SEEN_PERIOD
 from panelloom.functions.text import quoted
 from panelloom.model import METRIC_VALUE
 from panelloom.operators.summaries import periods
@@ -22,11 +23,9 @@ def changes(series: DataFrame, pack: ReportPack) -> DataFrame:
     """Change of the trend column per entity between consecutive global periods.
 
     The predecessor must be the global previous period and carry the same label;
-    a label change or a missing month gives no row. One lag over the entity
-    window replaces the two-period pivot.
+    a label change or a missing month gives no row. The series already knows each
+    row's predecessor, so neither a pivot nor a shuffle of the series is needed.
     """
-    p = pack.panel
-    x = F.col(pack.trend_column)
     calendar = periods(series, pack).select(
         F.col("period").alias("__p"), F.col("previous_period").alias("__pp")
     )
@@ -34,15 +33,15 @@ def changes(series: DataFrame, pack: ReportPack) -> DataFrame:
         F.col(pack.entity).alias("entity"),
         F.col(pack.label).alias("label"),
         F.col(pack.period).alias("period"),
-        (x - p.previous(x)).alias("change"),
-        p.previous(F.col(pack.period)).alias("__seen"),
-        p.previous(F.col(pack.label)).alias("__label"),
-    ).filter(F.col("change").isNotNull() & F.col("label").eqNullSafe(F.col("__label")))
+        F.col(CHANGE).alias("change"),
+        SEEN_PERIOD,
+        SEEN_LABEL,
+    ).filter(F.col("change").isNotNull() & F.col("label").eqNullSafe(F.col(SEEN_LABEL)))
     # Periods match YYYY-MM, so the calendar has at most a million short rows.
     return (
         moved.join(
             F.broadcast(calendar),
-            (F.col("period") == F.col("__p")) & (F.col("__seen") == F.col("__pp")),
+            (F.col("period") == F.col("__p")) & (F.col(SEEN_PERIOD) == F.col("__pp")),
         )
         .select("entity", "label", "period", F.col("__pp").alias("previous_period"), "change")
     )

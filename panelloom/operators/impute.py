@@ -14,9 +14,10 @@ def impute(panel: DataFrame, pack: ReportPack) -> DataFrame:
 
     Adds per target `<target>__imputed`, and `__conflict_<target>` plus the two
     estimates where a rule also estimates backwards. One pass, all windows on
-    the entity.
+    the entity; the sort is asked for up front so that medians and lags share it.
     """
     p = pack.panel
+    panel = panel.repartition(pack.entity).sortWithinPartitions(pack.entity, pack.period)
     for rule in pack.imputation:
         if rule.target not in panel.columns:
             continue

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelloom.functions.panel import ROW, ROWS, Panel
+from panelloom.functions.panel import CHANGE, ROW, ROWS, SEEN_LABEL, SEEN_PERIOD, Panel
 from panelloom.pack import ReportPack
 
 
@@ -12,7 +12,9 @@ def build_series(frame: DataFrame, pack: ReportPack, panel: Panel | None = None)
     """Add the pack's metrics and the row position to a clean panel.
 
     Pack order is dependency order within each stage. All windows partition by
-    entity, so they share one exchange. `__` columns are internal.
+    entity, so they share one exchange. `__` columns are internal: what later steps
+    need from an entity's other rows is kept here, so that a stored series is never
+    shuffled by entity again for it.
     """
     p = panel or pack.panel
     for metric in pack.metrics:
@@ -27,7 +29,15 @@ def build_series(frame: DataFrame, pack: ReportPack, panel: Panel | None = None)
     for metric in pack.metrics:
         if metric.window:
             frame = frame.withColumn(metric.name, metric.build(p))
-    return frame.withColumns({h.name: h.build(p) for h in pack.helpers}) if pack.helpers else frame
+    trend = F.col(pack.trend_column)
+    return frame.withColumns(
+        {
+            SEEN_PERIOD: p.previous(F.col(pack.period)),
+            SEEN_LABEL: p.previous(F.col(pack.label)),
+            CHANGE: trend - p.previous(trend),
+            **{h.name: h.build(p) for h in pack.helpers},
+        }
+    )
 
 
 def public_columns(frame: DataFrame) -> DataFrame:
