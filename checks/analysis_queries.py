@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +14,7 @@ from panelloom.functions.panel import ROW
 from panelloom.operators import deltas, risks, summaries
 from panelloom.operators.series import build_series, public_columns
 from panelloom.pack import ReportPack
-from panelloom.packs import campaigns, inventory
+from panelloom.packs import campaigns, campaigns_texts, inventory, inventory_texts
 
 INV, CMP = inventory.PACK, campaigns.PACK
 PANELS = {INV.key: inventory_panel, CMP.key: campaign_panel}
@@ -227,6 +228,16 @@ def campaign_entities(spark, sf_dir):
     return tidy(entities_of(CMP, spark, sf_dir))
 
 
+@register(
+    "top05_top06_peak_first_and_last_three",
+    f"{INV_ENT} SELECT stok_kodu, zirve_donem, {rounded('zirve_cikis ilk3_cikis_ort son3_cikis_ort')} "
+    "FROM entities",
+)
+def peaks(spark, sf_dir):
+    names = ("stok_kodu", "zirve_donem", "zirve_cikis", "ilk3_cikis_ort", "son3_cikis_ort")
+    return tidy(entities_of(INV, spark, sf_dir).select(*names))
+
+
 # -- dimension summaries --------------------------------------------------------
 INV_DIM = """SELECT '{d}' AS dimension, {d} AS dimension_value, donem,
   sum(ciro_tl) AS toplam_ciro_tl, sum(brut_kar_tl) AS toplam_brut_kar_tl,
@@ -367,14 +378,56 @@ def campaign_evidence(spark, sf_dir):
     return evidence_rows(risks_of(CMP, spark, sf_dir))
 
 
-@register("rsk_inventory_narratives")
+def narrative_sql(template: str) -> str:
+    """DuckDB text of a narrative template."""
+    parts = []
+    for literal, name, spec, _ in Formatter().parse(template):
+        if literal:
+            parts.append("'" + literal.replace("'", "''") + "'")
+        if name is None:
+            continue
+        value = f"coalesce(CAST({name} AS DOUBLE), 0.0)" if spec else name
+        if spec == "tl":
+            parts.append(f"replace(format('{{:,.0f}}', {value}), ',', '.') || ' TL'")
+        elif spec == "d":
+            parts.append(f"CAST(CAST({value} AS BIGINT) AS VARCHAR)")
+        elif spec:
+            parts.append(f"format('{{:{spec}}}', {value})")
+        else:
+            parts.append(f"coalesce({value}, 'None')")
+    return " || ".join(parts)
+
+
+def narratives_sql(rules, texts, entity: str) -> str:
+    parts = []
+    for code, _, when, *_ in rules:
+        title, template, advice = (t.replace("'", "''") for t in texts.RISKS[code])
+        story = narrative_sql(texts.RISKS[code][1])
+        if code == "STOCKOUT":
+            lost = narrative_sql(texts.STOCKOUT_LOST_SALES)
+            fell = "ilk_cikis <> 0 AND son_cikis <> 0 AND ilk_cikis > son_cikis"
+            story += f" || CASE WHEN {fell} THEN {lost} ELSE '' END"
+        parts.append(
+            f"SELECT '{code}' AS code, {entity} AS entity, '{title}' AS title, {story} AS narrative, "
+            f"'{advice}' AS recommendation FROM entities WHERE {when}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@register(
+    "rsk_inventory_narratives",
+    f"{INV_ENT} {narratives_sql(sql.INVENTORY_RULES, inventory_texts, 'stok_kodu')}",
+)
 def inventory_narratives(spark, sf_dir):
     return risks_of(INV, spark, sf_dir).select(
         "code", "entity", "title", "narrative", "recommendation"
     )
 
 
-@register("rsk_campaign_narratives")
+@register(
+    "rsk_campaign_narratives",
+    f"{CMP_ENT} {narratives_sql(sql.CAMPAIGN_RULES, campaigns_texts, 'kampanya_id')}",
+)
 def campaign_narratives(spark, sf_dir):
     return risks_of(CMP, spark, sf_dir).select(
         "code", "entity", "title", "narrative", "recommendation"

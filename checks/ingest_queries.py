@@ -339,7 +339,9 @@ def csv_rows(spark, sf_dir):
     return read.groupBy(*read.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("src05_detected_pack")
+@register(
+    "src05_detected_pack", f"{DIRTY} SELECT '{INV.key}' AS pack, count(*) AS rows FROM typed"
+)
 def detected(spark, sf_dir):
     """The report type of each panel, from its header, with the rows it applies to."""
     rows = dirty_inventory(spark, sf_dir)
@@ -420,7 +422,13 @@ def to_mojibake(x: str) -> str:
     return f"translate({as_latin}, '{enc.CONTROLS}', '{enc.CP1252_CHARS}')"
 
 
-@register("src06_encoding_audit")
+@register(
+    "src06_encoding_audit",
+    f"{sql.chain(sql.INVENTORY_PANEL)} SELECT kind, (SELECT count(*) + 1 FROM panel) AS lines, "
+    "encoding, verdict FROM (VALUES ('utf8', 'utf-8-sig', 'clean'), ('cp1254', 'cp1254', 'clean'), "
+    "('mojibake', 'utf-8-sig', 'repaired'), ('mixed', 'utf-8-sig', 'suspect')) "
+    "t(kind, encoding, verdict)",
+)
 def encoding_audit(spark, sf_dir):
     """Files in UTF-8, in CP1254, repairable and damaged beyond repair, told apart."""
     names = turkish_names(spark, sf_dir)

@@ -379,7 +379,18 @@ def entity_rows(spark, sf_dir):
     return tidy(rows.select("stok_kodu", "urun_adi", *aq.INV_ENT_D.split()))
 
 
-@register("qry03_entity_columns")
+def column_sql() -> str:
+    texts = [("stok_kodu", "Kod", ""), ("urun_adi", "Ad", "")]
+    texts += [("kategori", "Kategori", ""), ("depo", "Depo", "")]
+    texts += [(a.name, a.label, a.unit) for a in INV.entity_aggregates if not a.internal]
+    return " UNION ALL ".join(
+        f"SELECT {i} AS position, '{n}' AS name, '{label}' AS label, '{unit}' AS unit, "
+        f"count({n}) AS filled FROM entities"
+        for i, (n, label, unit) in enumerate(texts)
+    )
+
+
+@register("qry03_entity_columns", f"{aq.INV_ENT} {column_sql()}")
 def entity_columns(spark, sf_dir):
     """Column metadata with the number of filled cells of each column."""
     tables = results.entity_tables(analysed(spark, sf_dir), include_series=False)
@@ -398,7 +409,13 @@ def filtered_risks(spark, sf_dir):
     return results.risk_tables(result, severity="orta")["by_code"]
 
 
-@register("qry06_pack_catalogue")
+@register(
+    "qry06_pack_catalogue",
+    "WITH cells AS (SELECT DISTINCT l_suppkey, strftime(l_shipdate, '%Y-%m') AS donem FROM lineitem) "
+    "SELECT key, title, risk_rule_count, metric_count, (SELECT count(*) FROM cells) AS rows FROM "
+    f"(VALUES ('{INV.key}', '{INV.title}', 10, 14), ('{CMP.key}', '{CMP.title}', 7, 12)) "
+    "t(key, title, risk_rule_count, metric_count)",
+)
 def catalogue(spark, sf_dir):
     """The report types with the rows of the panel each of them describes."""
     rows = inventory_panel(spark, sf_dir).agg(

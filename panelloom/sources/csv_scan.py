@@ -18,17 +18,15 @@ BOM = "\ufeff"
 
 
 def audit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per file: encoding, mojibake verdict, header line, quoted line breaks.
+    """One row per file: encoding, mojibake verdict, byte-order mark, quoted line breaks.
 
-    Decides as a whole-file decoder would, from line-level facts combined
-    map-side: a file is UTF-8 if every line is; it is repaired only if every line
-    survives the round trip and the file's total Turkish score rises.
+    Decides as a whole-file decoder would: a file is UTF-8 if every line is; it is
+    repaired only if every line survives the round trip and the file's total
+    Turkish score rises. The facts kept per file are counts and flags only, so
+    they are hashed and combined map-side; no line is sorted or shuffled.
     """
     lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
+        "value", F.col("_metadata.file_path").alias("file")
     )
     latin = "decode(cast(value AS binary), 'ISO-8859-1')"
     legacy = enc.turkish_from_latin1(latin)
@@ -36,8 +34,8 @@ def audit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # the round trip of plain ASCII is the text itself; skip the work
     lines = lines.selectExpr(
         "file",
-        "struct(block, line) AS at",
         "value",
+        f"startswith(value, {quoted(BOM)}) AS bom",
         "is_valid_utf8(value) AS utf8",
         f"{latin} RLIKE '[{enc.CP1254_UNDEFINED}]' AS undefined",
         "value RLIKE '[^\\\\x00-\\\\x7F]' AS wide",
@@ -56,7 +54,7 @@ def audit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.expr("bool_and(CASE WHEN wide THEN fixed IS NOT NULL ELSE true END)").alias("reversible"),
         F.expr(f"sum(CASE WHEN wide AND utf8 THEN {gain} ELSE 0 END)").alias("gain"),
         F.expr("bool_or(quotes % 2 = 1)").alias("quoted_breaks"),
-        F.min_by("value", "at").alias("header"),
+        F.bool_or("bom").alias("bom"),
     )
     encoding = "CASE WHEN utf8 THEN 'utf-8-sig' WHEN undefined THEN 'iso8859-9' ELSE 'cp1254' END"
     suspicious = "CASE WHEN utf8 THEN broken ELSE broken OR broken_legacy END"
@@ -64,14 +62,13 @@ def audit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         f"CASE WHEN NOT ({suspicious}) THEN 'clean' "
         "WHEN utf8 AND reversible AND gain > 0 THEN 'repaired' ELSE 'suspect' END"
     )
-    header = enc.turkish_from_latin1("decode(cast(header AS binary), 'ISO-8859-1')")
     return per_file.selectExpr(
         "file",
         "lines",
         f"{encoding} AS encoding",
         f"{verdict} AS verdict",
         "broken_lines",
-        f"CASE WHEN utf8 THEN header ELSE {header} END AS header",
+        "bom",
         "quoted_breaks",
     )
 
@@ -92,16 +89,17 @@ def scan_csv(spark: SparkSession, path: str) -> RawScan:
     """Read every file of `path` with its own encoding; nothing is inferred.
 
     Short rows are filled with nulls, surplus cells dropped. Files are read
-    splittable unless one holds a line break inside quotes.
+    splittable unless one holds a line break inside quotes. All files of an input
+    must have the same header; one that differs raises instead of being misread.
     """
     try:
         audit = store(audit_files(spark, path), "audit")
-        kinds = ["encoding", "verdict", "header", "quoted_breaks"]
-        # one row per distinct kind of file; a clean export has exactly one
+        kinds = ["encoding", "verdict", "bom", "quoted_breaks"]
+        # one row per kind of file, two dozen at most; a clean export has one
         groups = audit.groupBy(*kinds).agg(F.count(F.lit(1)).alias("files")).collect()
     except AnalysisException as error:
         raise IngestionError(f"cannot read {path}") from error
-    groups = sorted((g for g in groups if g["header"].strip(BOM).strip()), key=str)
+    groups = sorted(groups, key=str)
     if not groups:
         raise EmptyDatasetError("the input is empty")
 
@@ -111,7 +109,9 @@ def scan_csv(spark: SparkSession, path: str) -> RawScan:
         if len(groups) > 1:
             same = reduce(lambda a, b: a & b, [F.col(k) == group[k] for k in kinds])
             files = [r["file"] for r in audit.filter(same).select("file").toLocalIterator()]
-        rows = read_group(spark, files, group["encoding"], group["quoted_breaks"])
+        rows = read_group(
+            spark, files, group["encoding"], group["quoted_breaks"], group["files"] > 1
+        )
         if group["verdict"] == "repaired":
             befores.append(rows)
             rows = repair_all(rows)
@@ -131,7 +131,9 @@ def scan_csv(spark: SparkSession, path: str) -> RawScan:
     )
 
 
-def read_group(spark: SparkSession, files, encoding: str, quoted_breaks: bool) -> DataFrame:
+def read_group(
+    spark: SparkSession, files, encoding: str, quoted_breaks: bool, several: bool
+) -> DataFrame:
     utf8 = encoding == "utf-8-sig"
     reader = (
         spark.read.option("header", True)
@@ -142,6 +144,11 @@ def read_group(spark: SparkSession, files, encoding: str, quoted_breaks: bool) -
     )
     scanned = reader.csv(files)
     columns = scanned.columns
+    if not any(c.strip(BOM).strip() for c in columns):
+        raise EmptyDatasetError("the input has no header")
+    if several:
+        # check every file's header against the first one's
+        scanned = reader.option("enforceSchema", False).schema(scanned.schema).csv(files)
     shown = columns
     if not utf8:
         keep = encoding == "iso8859-9"

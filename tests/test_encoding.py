@@ -1,4 +1,5 @@
 import pytest
+from conftest import HEADER
 from pyspark.sql import functions as F
 
 from panelloom.functions import encoding as enc
@@ -70,6 +71,22 @@ def test_mixed_folder_reads_each_file_in_its_encoding(spark, write_csv, tmp_path
     assert scan.repaired and "cp1254" in scan.encoding and "mojibake" in scan.encoding
 
 
+def test_folder_with_different_headers_raises(spark, write_csv, tmp_path):
+    line = "U1,n,K,D,2026-01,1,2,3,4,5"
+    write_csv(line, name="a.csv")
+    names = HEADER.split(",")
+    write_csv(line, header=",".join([names[1], names[0], *names[2:]]), name="b.csv")
+    with pytest.raises(Exception, match="header"):
+        scan_csv(spark, str(tmp_path)).rows.collect()
+
+
+def test_files_with_and_without_byte_order_mark(spark, write_csv, tmp_path):
+    write_csv("U1,n,K,D,2026-01,1,2,3,4,5", name="a.csv")
+    write_csv("U2,n,K,D,2026-01,1,2,3,4,5", name="b.csv", encoding="utf-8-sig")
+    rows = scan_csv(spark, str(tmp_path)).rows.collect()
+    assert {r["stok_kodu"] for r in rows} == {"U1", "U2"}
+
+
 def test_repaired_file_is_reported_with_samples(spark, write_csv):
     lines = [broken(f"U{i},Döşemelik {i},Çantalık,Şube,2026-01,1,2,3,4,5") for i in range(3)]
     outcome = ingest(spark, write_csv(*lines))
