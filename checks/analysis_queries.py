@@ -353,6 +353,27 @@ for _no, _rule in enumerate(CMP.risks, 11):
     risk_query(f"rsk{_no:02d}_{_rule.code.lower()}", CMP, CMP_RSK, _rule.code)
 
 
+# Real volumes are far above the dying-product limit, so this one looks at a panel
+# with a 64th of them (an exact binary scale).
+THIN = ("giris_miktar", "cikis_miktar", "donem_sonu_stok")
+THIN_SERIES = sql.INVENTORY_SERIES.replace(
+    "FROM panel)",
+    f"FROM (SELECT * REPLACE ({', '.join(f'{c} / 64 AS {c}' for c in THIN)}) FROM panel))",
+)
+
+
+@register(
+    "rsk10_dying_sku",
+    f"{sql.chain(sql.INVENTORY_PANEL, THIN_SERIES, sql.INVENTORY_ENTITIES, sql.INVENTORY_RISKS)} "
+    f"{RISK_SELECT} FROM risks WHERE code = 'DYING_SKU'",
+)
+def dying_products(spark, sf_dir):
+    thin = inventory_panel(spark, sf_dir).withColumns({c: F.col(c) / 64 for c in THIN})
+    entities = summaries.entity_summary(build_series(thin, INV), INV)
+    found = risks.risk_table(entities, INV).filter("code = 'DYING_SKU'")
+    return tidy(found.select(*RISK_COLUMNS))
+
+
 def evidence_rows(found: DataFrame) -> DataFrame:
     rows = found.select("code", "entity", F.posexplode("evidence").alias("pos", "item"))
     return tidy(rows.select("code", "entity", "pos", "item.metric", "item.value"))
