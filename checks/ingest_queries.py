@@ -24,7 +24,7 @@ from panelloom.operators.series import build_series
 from panelloom.packs import campaigns, inventory
 from panelloom.packs.registry import detect_pack
 from panelloom.plans.ingest import ingest
-from panelloom.plans.results import pack_catalogue, quality_table
+from panelloom.plans.results import quality_table
 from panelloom.sources import csv_scan
 from panelloom.sources.storage import new_path
 
