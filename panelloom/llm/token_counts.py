@@ -2,8 +2,8 @@
 
 A text is cut into special strings and pre-tokens; its count is the sum of the pre-tokens'
 lengths in tokens. Lengths come from two tiers on the map side: a broadcast table of the
-pre-tokens that are frequent in the first `table_rows` documents (a bounded read that
-changes only speed), and a cache in each worker, bounded by `cached` entries, that encodes
+pre-tokens that are frequent in the first `table_rows` documents of at most ROW_BYTES (a
+bounded read that changes only speed), and a cache in each worker, bounded by `cached` entries, that encodes
 a miss with the tokenizer itself. No pre-token is ever shuffled.
 
 Texts with characters beyond the Latin blocks go to the tokenizer whole, so that counts do
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +28,7 @@ PRE_TOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+ROW_BYTES = 16_384
 BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
 
 
@@ -76,24 +76,18 @@ class Lengths(dict):
 
 
 def frequent_lengths(
-    docs: DataFrame, file: str, text: str = "text", table_rows: int = 1000, table_size: int = 20_000
+    docs: DataFrame, file: str, text: str = "text", table_rows: int = 500, table_size: int = 20_000
 ) -> dict[str, int]:
-    """The first tier: at most `table_size` pre-tokens of at most `table_rows` rows."""
+    """The first tier: at most `table_size` pre-tokens of `table_rows` rows of at most ROW_BYTES.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, seen = Lengths(file, {}, 1_000_000), Counter()
-        for batch in batches:
-            for t in batch.column("text"):
-                seen.update(lengths.pieces(t.as_py()))
-        best = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:table_size]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(best, pa.string()), pa.array([lengths[p] for p in best], pa.int32())],
-            names=["piece", "n"],
-        )
-
-    some = docs.select(F.col(text).alias("text")).where("text is not null").limit(table_rows)
-    rows = some.coalesce(1).mapInArrow(counted, "piece string, n int").collect()
-    return {r["piece"]: r["n"] for r in rows}
+    Spark reads only as many partitions as it takes to find the rows.
+    """
+    short = docs.select(F.col(text).alias("text")).where(F.octet_length("text") <= ROW_BYTES)
+    lengths, seen = Lengths(file, {}, table_size), Counter()
+    for row in short.take(table_rows):
+        seen.update(lengths.pieces(row["text"]))
+    best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:table_size]
+    return {piece: lengths[piece] for piece, _ in best}
 
 
 def count_tokens(
@@ -101,7 +95,7 @@ def count_tokens(
     file: str,
     text: str = "text",
     limit: int = 512,
-    table_rows: int = 1000,
+    table_rows: int = 500,
     table_size: int = 20_000,
     cached: int = 300_000,
 ) -> DataFrame:
