@@ -9,17 +9,20 @@ links.
 1. One pass over the texts counts n-grams in the sketch, summed as streams of chunks.
 2. A second pass writes each document's set size, class, histogram and prefix.
 3. For each prefix n-gram held by several classes, all of them are paired with the smallest
-   and the largest class (class ids are hashes): two stars instead of all pairs of a group.
-   Pairs that pass the length and suffix filters are verified once.
+   class (class ids are hashes): a star instead of all pairs of a group. Pairs that pass the
+   length and suffix filters are verified once.
 4. Components of these links are contracted. Where a prefix n-gram still meets several
-   components, members outside its largest one are paired with everything of another
-   component, through the length, positional and suffix filters, and verified once. Pairs
-   inside a component cannot change it, so groups of copies stay linear and no link
-   between components is missed.
-
-The suffix filter compares histograms of the sets over fixed ranges of the hash: the sum of
-differences is a lower bound of the symmetric difference. Sets for verification are made
-again from the texts of the classes concerned only.
+   components, members outside its largest one are paired with one member of it.
+5. Where an n-gram still meets several components, members outside its largest one are
+   joined with everything of another component through the length, positional and suffix
+   filters, and verified once. Pairs inside a component cannot change it, so groups of
+   copies stay linear and no link between components is missed.
+
+The suffix filter compares two summaries of the sets, both lower bounds of the symmetric
+difference: a histogram over fixed ranges of the hash (sum of differences), which tells
+large sets apart, and the parities of 256 cells of the hash (cells that differ), which tells
+small ones apart. Sets for verification are made again from the texts of the classes
+concerned only.
 
 Defined cases: null or empty texts have size 0 and link with nothing; fewer words than an
 n-gram: the whole sequence is the only one; rows with a null doc_id take part, but never
@@ -45,8 +48,11 @@ from panelloom.sources.storage import store
 SKETCH_BITS = 20
 CHUNK_BITS = 12
 BINS = 16
-#: The histogram's columns, four counts of 16 bits (at most 65,535 each) in each.
-PACKED = ("bins0", "bins1", "bins2", "bins3")
+CELLS = 256
+#: The histogram's columns, four counts of 16 bits (at most 65,535 each) in each, and the parities'.
+HISTOGRAM = ("bins0", "bins1", "bins2", "bins3")
+PARITIES = ("bits0", "bits1", "bits2", "bits3")
+PACKED = (*HISTOGRAM, *PARITIES)
 
 
 def texts_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -99,6 +105,34 @@ def class_of(grams: np.ndarray) -> int:
     return int(mixed(whole + np.uint64(len(grams))).view(np.int64)[0])
 
 
+def summary_of(grams: np.ndarray) -> np.ndarray:
+    """The values of PACKED."""
+    counts = np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=BINS)
+    parity = np.bincount((grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    bits = np.packbits(parity.astype(np.uint8), bitorder="little")
+    return np.concatenate([np.minimum(counts, 0xFFFF).astype("<u2").view("<i8"), bits.view("<i8")])
+
+
+def maybe_similar(a: str, b: str, percent: int) -> Column:
+    """The length and suffix filters for sides whose columns are prefixed a_ and b_."""
+
+    def bin_of(column: str, i: int) -> Column:
+        return F.shiftrightunsigned(column, 16 * i).bitwiseAND(F.lit(0xFFFF))
+
+    sizes = F.col(f"{a}_size"), F.col(f"{b}_size")
+    in_bins = sum(
+        F.abs(bin_of(f"{a}_{c}", i) - bin_of(f"{b}_{c}", i)) for c in HISTOGRAM for i in range(BINS // len(HISTOGRAM))
+    )
+    in_cells = sum(F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in PARITIES)
+    # |x - y| + |y - x| <= (1 - t) / (1 + t) * (|x| + |y|), in whole numbers
+    most = (100 - percent) * (sizes[0] + sizes[1])
+    return (
+        (F.least(*sizes) * 100 >= F.greatest(*sizes) * percent)
+        & (in_cells * (100 + percent) <= most)
+        & (in_bins * (100 + percent) <= most)
+    )
+
+
 def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, size, cls, histogram and prefix (rarest first) of every document."""
     rarity = texts.sparkSession.sparkContext.broadcast(gram_counts(texts, n))
@@ -110,8 +144,7 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
             for grams in shingle_sets(batch.column("text"), n):
                 sizes.append(len(grams))
                 classes.append(class_of(grams))
-                counted = np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=BINS)
-                bins.append(np.minimum(counted, 0xFFFF).astype("<u2").view("<i8"))
+                bins.append(summary_of(grams))
                 length = len(grams) - -(-percent * len(grams) // 100) + 1 if len(grams) else 0
                 order = np.lexsort((grams, counts[counters_of(grams)]))[:length]
                 kept.append(grams[order].view(np.int64))
@@ -127,7 +160,7 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return store(texts.mapInArrow(made, layout), "prefixes")
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def sets_of(texts: DataFrame, wanted: DataFrame, n: int, repeated: bool) -> DataFrame:
     """cls, grams of the wanted classes (columns cls, doc_id), from the texts again."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,57 +176,44 @@ def sets_of(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     wanted = side_of_join(wanted.select(F.col("doc_id").alias("of"), "cls"))
     chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "cls")
-    return chosen.mapInArrow(made, "cls long, grams array<long>").dropDuplicates(["cls"])
+    if repeated:  # rows that share id and text: texts are short of their sets, so drop those
+        chosen = chosen.dropDuplicates(["cls", "text"])
+    return chosen.mapInArrow(made, "cls long, grams array<long>")
 
 
-def linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of distinct pairs (x, y) of classes those with the required similarity, each verified once."""
-    t = percent / 100
-    sides = [classes.drop("doc_id").select(*[F.col(c).alias(f"{s}_{c}") for c in classes.columns if c != "doc_id"]) for s in "xy"]
-    sides = [side.withColumnRenamed(f"{s}_cls", s) for s, side in zip("xy", sides)]
+def sided(frame: DataFrame, side: str, *columns: str) -> DataFrame:
+    return frame.select(*[F.col(c).alias(f"{side}_{c}") for c in columns])
 
-    def bin_of(column: str, i: int) -> Column:
-        return F.shiftrightunsigned(column, 16 * i).bitwiseAND(F.lit(0xFFFF))
 
-    apart = sum(F.abs(bin_of(f"x_{b}", i) - bin_of(f"y_{b}", i)) for b in PACKED for i in range(BINS // len(PACKED)))
-    most_apart = (1 - t) / (1 + t) * (F.col("x_size") + F.col("y_size")) + 1e-6
+def linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int, repeated: bool) -> DataFrame:
+    """Of distinct pairs (x, y) of classes those with the required similarity, each verified once."""
+    sides = [sided(classes, s, "cls", "size", *PACKED).withColumnRenamed(f"{s}_cls", s) for s in "xy"]
     open_pairs = store(
         pairs.join(sides[0], "x")
         .join(sides[1], "y")
-        .where(F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent)
-        .where(apart <= most_apart)
+        .where(maybe_similar("x", "y", percent))
         .select("x", "y", "x_size", "y_size"),
         "open_pairs",
     )
     members = open_pairs.select(F.col("x").alias("cls")).union(open_pairs.select("y")).distinct()
     wanted = store(members.join(classes.select("cls", "doc_id"), "cls"), "wanted_classes")
-    sets = store(sets_of(texts, wanted, n), "wanted_sets")
+    sets = store(sets_of(texts, wanted, n, repeated), "wanted_sets")
     both = open_pairs.join(sets.select(F.col("cls").alias("x"), F.col("grams").alias("x_grams")), "x").join(
         sets.select(F.col("cls").alias("y"), F.col("grams").alias("y_grams")), "y"
     )
     common = F.size(F.array_intersect("x_grams", "y_grams"))
-    return store(
-        both.select("x", "y", "x_size", "y_size", common.alias("common"))
-        .where(F.col("common") * 100 >= percent * (F.col("x_size") + F.col("y_size") - F.col("common")))
-        .select("x", "y"),
-        "class_links",
+    links = both.select("x", "y", "x_size", "y_size", common.alias("common")).where(
+        F.col("common") * 100 >= percent * (F.col("x_size") + F.col("y_size") - F.col("common"))
     )
+    return store(links.select("x", "y"), "class_links")
 
 
-def star_pairs(grams: DataFrame) -> DataFrame:
-    """Pairs of each class with the smallest and the largest class of a shared n-gram."""
-    both = F.explode(F.array("low", "high")).alias("other")
-    return (
-        grams.select("cls", both)
-        .where("cls <> other")
-        .select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y"))
-        .distinct()
-    )
+def ordered_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct()
 
 
-def remaining_pairs(grams: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that share a prefix n-gram."""
-    t = percent / 100
+def in_mixed_grams(grams: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of n-grams that meet several components: with their component and the gram's largest."""
     rows = grams.groupBy("gram", "cls", "size", "place").agg(F.count("*").alias("n")).drop("n")
     rows = store(
         rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
@@ -201,30 +221,35 @@ def remaining_pairs(grams: DataFrame, comps: DataFrame, percent: int) -> DataFra
         ),
         "grams_of_components",
     )
-    sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("n"), F.min("cls").alias("first"))
     mains = (
         sizes.groupBy("gram")
-        .agg(F.max_by("component", "n").alias("main"), F.count("*").alias("components"))
+        .agg(F.max_by("component", "n").alias("main"), F.max_by("first", "n").alias("center"), F.count("*").alias("components"))
         .where("components > 1")
+        .drop("components")
     )
-    mains = store(mains.select("gram", "main"), "mixed_grams")
-    rows = store(rows.join(side_of_join(mains), "gram"), "mixed_rows")
-    left = rows.where("component <> main").select(
-        "gram", "main", *[F.col(c).alias(f"a_{c}") for c in ("cls", "size", "place", "component")]
-    )
-    right = rows.select("gram", *[F.col(c).alias(f"b_{c}") for c in ("cls", "size", "place", "component")])
+    return store(rows.join(side_of_join(store(mains, "mixed_grams")), "gram"), "mixed_rows")
+
+
+def remaining_pairs(mixed_rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that share a prefix n-gram and pass all filters."""
+    t = percent / 100
+    full = mixed_rows.join(classes.select("cls", *PACKED), "cls")
+    columns = ("gram", "cls", "size", "place", "component", *PACKED)
+    left = sided(full.where("component <> main"), "a", *columns, "main")
+    right = sided(full, "b", *columns)
     must = F.ceil(F.lit(t / (1 + t)) * (F.col("a_size") + F.col("b_size")) - 1e-6)
     reach = F.least("a_place", "b_place") + 1 + F.least(
         F.col("a_size") - F.col("a_place") - 1, F.col("b_size") - F.col("b_place") - 1
     )
     condition = (
-        (F.col("a_component") != F.col("b_component"))
-        & ((F.col("b_component") == F.col("main")) | (F.col("a_cls") < F.col("b_cls")))
-        & (F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
+        (F.col("a_gram") == F.col("b_gram"))
+        & (F.col("a_component") != F.col("b_component"))
+        & ((F.col("b_component") == F.col("a_main")) | (F.col("a_cls") < F.col("b_cls")))
         & (reach >= must)
+        & maybe_similar("a", "b", percent)
     )
-    joined = left.join(right.withColumnRenamed("gram", "b_gram"), (F.col("gram") == F.col("b_gram")) & condition)
-    return joined.select(F.least("a_cls", "b_cls").alias("x"), F.greatest("a_cls", "b_cls").alias("y")).distinct()
+    return ordered_pairs(left.join(right, condition), "a_cls", "b_cls")
 
 
 def near_duplicates(
@@ -234,17 +259,31 @@ def near_duplicates(
     texts = texts_of(docs, doc_id, text)
     rows = prefixes(texts, n, percent)
     filled = rows.where("size > 0")
+    repeated = not filled.groupBy("doc_id", "cls").count().where("count > 1").isEmpty()
     of_class = filled.groupBy("cls", "size").agg(F.min("doc_id").alias("doc_id"), *[F.max(b).alias(b) for b in PACKED])
     classes = store(of_class, "classes")
 
     grams = filled.select("cls", "size", F.posexplode("prefix").alias("place", "gram"))
-    shared = grams.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
+    shared = (
+        grams.groupBy("gram")
+        .agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
+        .where("low <> high")
+        .drop("high")
+    )
     grams = store(grams.join(side_of_join(store(shared, "shared_grams")), "gram"), "grams")
 
-    first = linked(star_pairs(grams), classes, texts, n, percent)
-    stars = components(first)
-    second = linked(remaining_pairs(grams, stars, percent), classes, texts, n, percent)
-    comps = stars if second.isEmpty() else components(first.union(second))
+    links = linked(ordered_pairs(grams, "cls", "low"), classes, texts, n, percent, repeated)
+    comps = components(links)
+    for star in (True, False):
+        rows_left = in_mixed_grams(grams, comps)
+        if star:
+            pairs = ordered_pairs(rows_left.where("component <> main"), "cls", "center")
+        else:
+            pairs = remaining_pairs(rows_left, classes, percent)
+        more = linked(pairs, classes, texts, n, percent, repeated)
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = components(links)
 
     named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls")
