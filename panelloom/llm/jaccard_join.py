@@ -19,9 +19,10 @@ links.
    copies stay linear and no link between components is missed.
 
 The suffix filter compares two summaries of the sets, both lower bounds of the symmetric
-difference: a histogram over fixed ranges of the hash (sum of differences), which tells
-large sets apart, and the parities of 256 cells of the hash (cells that differ), which tells
-small ones apart. Sets for verification are made again from the texts of the classes
+difference: a histogram over fixed ranges of the hash (sum of differences) and the parities
+of 256 cells of the hash (cells that differ). Pairs that pass are filtered again by
+histograms whose number of ranges follows the set's size, which tells long texts apart
+too, so that whole sets travel for hardly more pairs than are links. Sets for verification are made again from the texts of the classes
 concerned only.
 
 Defined cases: null or empty texts have size 0 and link with nothing; fewer words than an
@@ -33,6 +34,7 @@ empty result; other columns are ignored; texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +115,32 @@ def summary_of(grams: np.ndarray) -> np.ndarray:
     return np.concatenate([np.minimum(counts, 0xFFFF).astype("<u2").view("<i8"), bits.view("<i8")])
 
 
+def fine_histogram(grams: np.ndarray) -> np.ndarray:
+    """Counts over 2^k ranges of the hash, eight to sixteen n-grams a range on average."""
+    k = max(len(grams) // 8, 1).bit_length() - 1
+    cells = (grams >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(grams), dtype=np.int64)
+    return np.bincount(cells, minlength=1 << k)
+
+
+def finely_similar(a: str, b: str, a_size: str, b_size: str, percent: int) -> Column:
+    """The suffix filter on fine histograms; the longer one is halved to the shorter's ranges.
+
+    Sizes within the length filter differ by less than 2, so by one halving at most.
+    """
+
+    def halved(x: str) -> Column:
+        places = F.sequence(F.lit(0), F.size(x) - 1, F.lit(2))
+        return F.transform(places, lambda i: F.get(x, i) + F.get(x, i + 1))
+
+    def fitted(x: str, other: str) -> Column:
+        return F.when(F.size(x) > F.size(other), halved(x)).otherwise(F.col(x))
+
+    apart = F.aggregate(
+        F.zip_with(fitted(a, b), fitted(b, a), lambda p, q: F.abs(p - q)), F.lit(0), lambda total, d: total + d
+    )
+    return apart * (100 + percent) <= (100 - percent) * (F.col(a_size) + F.col(b_size))
+
+
 def maybe_similar(a: str, b: str, percent: int) -> Column:
     """The length and suffix filters for sides whose columns are prefixed a_ and b_."""
 
@@ -140,23 +168,25 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = rarity.value
         for batch in batches:
-            sizes, classes, bins, kept = [], [], [], []
+            sizes, classes, bins, fine, kept = [], [], [], [], []
             for grams in shingle_sets(batch.column("text"), n):
                 sizes.append(len(grams))
                 classes.append(class_of(grams))
                 bins.append(summary_of(grams))
+                fine.append(fine_histogram(grams))
                 length = len(grams) - -(-percent * len(grams) // 100) + 1 if len(grams) else 0
                 order = np.lexsort((grams, counts[counters_of(grams)]))[:length]
                 kept.append(grams[order].view(np.int64))
             packed = np.array(bins, dtype=np.int64).reshape(-1, len(PACKED)).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
-                 *[pa.array(b, pa.int64()) for b in packed], pa.array(kept, pa.list_(pa.int64()))],
-                names=["doc_id", "size", "cls", *PACKED, "prefix"],
+                 *[pa.array(b, pa.int64()) for b in packed], pa.array(fine, pa.list_(pa.int32())),
+                 pa.array(kept, pa.list_(pa.int64()))],
+                names=["doc_id", "size", "cls", *PACKED, "fine", "prefix"],
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    layout = f"doc_id {kind}, size long, cls long, {', '.join(f'{b} long' for b in PACKED)}, prefix array<long>"
+    layout = f"doc_id {kind}, size long, cls long, {', '.join(f'{b} long' for b in PACKED)}, fine array<int>, prefix array<long>"
     return store(texts.mapInArrow(made, layout), "prefixes")
 
 
@@ -185,27 +215,53 @@ def sided(frame: DataFrame, side: str, *columns: str) -> DataFrame:
     return frame.select(*[F.col(c).alias(f"{side}_{c}") for c in columns])
 
 
-def linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int, repeated: bool) -> DataFrame:
-    """Of distinct pairs (x, y) of classes those with the required similarity, each verified once."""
-    sides = [sided(classes, s, "cls", "size", *PACKED).withColumnRenamed(f"{s}_cls", s) for s in "xy"]
-    open_pairs = store(
-        pairs.join(sides[0], "x")
-        .join(sides[1], "y")
-        .where(maybe_similar("x", "y", percent))
-        .select("x", "y", "x_size", "y_size"),
-        "open_pairs",
-    )
-    members = open_pairs.select(F.col("x").alias("cls")).union(open_pairs.select("y")).distinct()
-    wanted = store(members.join(classes.select("cls", "doc_id"), "cls"), "wanted_classes")
-    sets = store(sets_of(texts, wanted, n, repeated), "wanted_sets")
-    both = open_pairs.join(sets.select(F.col("cls").alias("x"), F.col("grams").alias("x_grams")), "x").join(
-        sets.select(F.col("cls").alias("y"), F.col("grams").alias("y_grams")), "y"
-    )
-    common = F.size(F.array_intersect("x_grams", "y_grams"))
-    links = both.select("x", "y", "x_size", "y_size", common.alias("common")).where(
-        F.col("common") * 100 >= percent * (F.col("x_size") + F.col("y_size") - F.col("common"))
-    )
-    return store(links.select("x", "y"), "class_links")
+def members_of(pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    members = pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct()
+    return store(members.join(classes.select("cls", "doc_id"), "cls"), name)
+
+
+def with_sides(pairs: DataFrame, of_class: DataFrame, column: str) -> DataFrame:
+    for side in "xy":
+        pairs = pairs.join(of_class.select(F.col("cls").alias(side), F.col(column).alias(f"{side}_{column}")), side)
+    return pairs
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What verification reads: texts, stored rows of `prefixes`, their classes."""
+
+    texts: DataFrame
+    rows: DataFrame
+    classes: DataFrame
+    repeated: bool
+    n: int
+    percent: int
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (x, y) of classes those with the required similarity, each verified once."""
+        sides = [sided(self.classes, s, "cls", "size", *PACKED).withColumnRenamed(f"{s}_cls", s) for s in "xy"]
+        maybe = store(
+            pairs.join(sides[0], "x")
+            .join(sides[1], "y")
+            .where(maybe_similar("x", "y", self.percent))
+            .select("x", "y", "x_size", "y_size"),
+            "maybe_pairs",
+        )
+        wanted = side_of_join(members_of(maybe, self.classes, "maybe_classes").select("cls", F.col("doc_id").alias("of")))
+        fine = self.rows.select("doc_id", "cls", "fine").join(wanted, "cls").where(F.col("doc_id").eqNullSafe(F.col("of")))
+        fine = fine.dropDuplicates(["cls"]) if self.repeated else fine
+        open_pairs = store(
+            with_sides(maybe, store(fine.select("cls", "fine"), "fine_histograms"), "fine")
+            .where(finely_similar("x_fine", "y_fine", "x_size", "y_size", self.percent))
+            .select("x", "y", "x_size", "y_size"),
+            "open_pairs",
+        )
+        wanted = members_of(open_pairs, self.classes, "wanted_classes")
+        sets = store(sets_of(self.texts, wanted, self.n, self.repeated), "wanted_sets")
+        common = F.size(F.array_intersect("x_grams", "y_grams"))
+        links = with_sides(open_pairs, sets, "grams").select("x", "y", "x_size", "y_size", common.alias("common"))
+        most = F.col("x_size") + F.col("y_size") - F.col("common")
+        return store(links.where(F.col("common") * 100 >= self.percent * most).select("x", "y"), "class_links")
 
 
 def ordered_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -272,7 +328,8 @@ def near_duplicates(
     )
     grams = store(grams.join(side_of_join(store(shared, "shared_grams")), "gram"), "grams")
 
-    links = linked(ordered_pairs(grams, "cls", "low"), classes, texts, n, percent, repeated)
+    corpus = Corpus(texts, rows, classes, repeated, n, percent)
+    links = corpus.linked(ordered_pairs(grams, "cls", "low"))
     comps = components(links)
     for star in (True, False):
         rows_left = in_mixed_grams(grams, comps)
@@ -280,7 +337,7 @@ def near_duplicates(
             pairs = ordered_pairs(rows_left.where("component <> main"), "cls", "center")
         else:
             pairs = remaining_pairs(rows_left, classes, percent)
-        more = linked(pairs, classes, texts, n, percent, repeated)
+        more = corpus.linked(pairs)
         if not more.isEmpty():
             links = links.union(more)
             comps = components(links)
