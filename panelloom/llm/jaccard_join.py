@@ -57,6 +57,13 @@ PARITIES = ("bits0", "bits1", "bits2", "bits3")
 PACKED = (*HISTOGRAM, *PARITIES)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker holds few sets at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -70,7 +77,7 @@ def gram_counts(texts: DataFrame, n: int) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = list(shingle_sets(batch.column("text"), n))
             if sets:
                 counts += np.bincount(counters_of(np.concatenate(sets)), minlength=len(counts))
@@ -167,7 +174,7 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = rarity.value
-        for batch in batches:
+        for batch in in_slices(batches):
             sizes, classes, bins, fine, kept = [], [], [], [], []
             for grams in shingle_sets(batch.column("text"), n):
                 sizes.append(len(grams))
@@ -194,7 +201,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, n: int, repeated: bool) -> Data
     """cls, grams of the wanted classes (columns cls, doc_id), from the texts again."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             grams = list(shingle_sets(batch.column("text"), n))
             own = [class_of(g) for g in grams]
             keep = [i for i, (a, b) in enumerate(zip(own, batch.column("cls").to_pylist())) if a == b]
