@@ -167,6 +167,8 @@ def standard_rules() -> tuple[Rule, ...]:
         for priority, use in USES
         for label, keyword, name in NAMES
     ]
+    titles = [(label, keyword, name) for label, keyword, name in NAMES if "license" in name]
+    rules += [Rule(label, keyword, 2, name) for label, keyword, name in titles]
     rules += [Rule(label, "cc", 3, tag) for label, tag in TAGS]
     rules += [Rule(label, keyword, 4, notice) for label, keyword, notice in NOTICES]
     return tuple(rules)
