@@ -291,7 +291,7 @@ def in_mixed_grams(grams: DataFrame, comps: DataFrame) -> DataFrame:
         .where("components > 1")
         .drop("components")
     )
-    return store(rows.join(side_of_join(store(mains, "mixed_grams")), "gram"), "mixed_rows")
+    return store(rows.join(store(mains, "mixed_grams"), "gram"), "mixed_rows")
 
 
 def remaining_pairs(mixed_rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -333,7 +333,7 @@ def near_duplicates(
         .where("low <> high")
         .drop("high")
     )
-    grams = store(grams.join(side_of_join(store(shared, "shared_grams")), "gram"), "grams")
+    grams = store(grams.join(store(shared, "shared_grams"), "gram"), "grams")
 
     corpus = Corpus(texts, rows, classes, repeated, n, percent)
     links = corpus.linked(ordered_pairs(grams, "cls", "low"))
@@ -355,7 +355,7 @@ def near_duplicates(
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = store(named.join(smallest, "component").select("cls", "component_id"), "named_classes")
     out = rows.select("doc_id", "size", F.when(F.col("size") > 0, F.col("cls")).alias("cls"))
-    return out.join(side_of_join(named), "cls", "left").select(
+    return out.join(named, "cls", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
