@@ -190,8 +190,11 @@ def look_up(claims: DataFrame, facts: DataFrame) -> DataFrame:
 
     `facts` may hold a key more than once; the one written last counts.
     Keys without an entity are shared by many claims, so their few facts are
-    repeated over salts and the claims spread over them.
+    repeated over salts and the claims spread over them. Equal claims are looked up
+    once and all returned.
     """
+    columns = claims.columns
+    claims = claims.groupBy(*columns).agg(F.count("*").alias("__copies"))
     salt = F.when(F.col("key.entity").isNull(), F.pmod(F.xxhash64("claim_id"), F.lit(SALTS)))
     tried = (
         claims.withColumn("__e", fold_name(F.col("entity")))
@@ -215,11 +218,13 @@ def look_up(claims: DataFrame, facts: DataFrame) -> DataFrame:
     )
     best = F.struct((-F.col("key.rung")).alias("near"), F.col("f_written").alias("written"))
     ranked = F.when(F.col("f_value").isNotNull(), best)
-    return (
+    found = (
         tried.join(spread, hit, "left")
         .groupBy(*claims.columns)
         .agg(F.max_by("f_value", ranked).alias("expected"))
     )
+    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
+    return found.select(*columns, "expected", every).drop("__copy")
 
 
 def verify(claims: DataFrame, facts: DataFrame) -> DataFrame:

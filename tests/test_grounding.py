@@ -62,6 +62,14 @@ def test_restricting_to_claimed_entities_changes_nothing(spark):
     assert sorted(narrow) == sorted(full)
 
 
+def test_repeated_claims_all_count(spark, facts):
+    row = ("a", "son_stok", "DEAD", None, 500.0)
+    claims = spark.createDataFrame([row] * 3 + [("a", "magic", None, None, 1.0)] * 2, CLAIM)
+    got = grounding.verify(claims, facts).collect()
+    assert sorted(r["verified"] for r in got) == [False, False, True, True, True]
+    assert grounding.grounding_report(grounding.verify(claims, facts)).first()["total_evidence"] == 5
+
+
 def test_last_risk_in_order_gives_the_impact(spark):
     # two risks of one entity: the later one in the risk order is the fact
     result = analyze(spark.createDataFrame(ROWS, PACK.schema), PACK)
