@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ from panelloom.llm.shingles import mixed, shingle_sets
 from panelloom.sources.storage import store
 
 SKETCH_BITS = 20
-CHUNK_BITS = 12
+CHUNK_BITS = 8
 BINS = 16
 CELLS = 256
 #: The histogram's columns, four counts of 16 bits (at most 65,535 each) in each, and the parities'.
@@ -57,11 +58,16 @@ PARITIES = ("bits0", "bits1", "bits2", "bits3")
 PACKED = (*HISTOGRAM, *PARITIES)
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a worker holds few sets at a time."""
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of about `size` bytes of text or one row, so that a worker holds few sets at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), "right"))
+            to = min(max(full, at + 1), at + rows)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def texts_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -82,13 +88,14 @@ def gram_counts(texts: DataFrame, n: int) -> np.ndarray:
             if sets:
                 counts += np.bincount(counters_of(np.concatenate(sets)), minlength=len(counts))
         if counts.any():
-            yield chunks(dict(enumerate(counts.reshape(-1, 1 << CHUNK_BITS))))
+            parts = enumerate(counts.astype(np.int32).reshape(-1, 1 << CHUNK_BITS))
+            yield chunks({chunk: part for chunk, part in parts if part.any()})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-                part = np.frombuffer(data.as_buffer(), dtype=np.int64)
+                part = np.frombuffer(data.as_buffer(), dtype=np.int32).astype(np.int64)
                 sums[chunk] = sums[chunk] + part if chunk in sums else part
         if sums:
             yield chunks(sums)
