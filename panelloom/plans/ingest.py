@@ -86,7 +86,7 @@ def ingest(spark: SparkSession, path: str, pack_key: str | None = None) -> Inges
     if scan.repaired:
         samples = repair_samples(scan.before_repair)
         found.add("ENCODING_REPAIRED", len(samples), samples)
-    elif scan.suspect:
+    if scan.suspect:
         found.add("ENCODING_SUSPECT", 0)
     return ingest_rows(scan.rows, pack, SEQ, found, scan.encoding, scan.repaired)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelloom.functions import encoding as enc
 from panelloom.functions.text import quoted
-from panelloom.model import EmptyDatasetError, IngestionError
+from panelloom.model import EmptyDatasetError, IngestionError, SchemaMismatchError
 from panelloom.sources.storage import store
 
 SEQ = "__seq"  # position of a row in the input: (file, block, row)
@@ -116,6 +116,8 @@ def scan_csv(spark: SparkSession, path: str) -> RawScan:
             befores.append(rows)
             rows = repair_all(rows)
         parts.append(rows)
+    if any(rows.columns != parts[0].columns for rows in parts):
+        raise SchemaMismatchError("the files of the input differ in their header")
     rows = union_all(parts)
     labels = []
     for g in groups:

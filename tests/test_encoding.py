@@ -3,6 +3,7 @@ from conftest import HEADER
 from pyspark.sql import functions as F
 
 from panelloom.functions import encoding as enc
+from panelloom.model import SchemaMismatchError
 from panelloom.plans.ingest import ingest
 from panelloom.sources.csv_scan import audit_files, scan_csv
 
@@ -80,6 +81,24 @@ def test_folder_with_different_headers_raises(spark, write_csv, tmp_path):
         scan_csv(spark, str(tmp_path)).rows.collect()
 
 
+def test_folder_with_different_headers_in_other_encodings_raises(spark, write_csv, tmp_path):
+    line = "U1,n,K,Şube,2026-01,1,2,3,4,5"
+    write_csv(line, name="a.csv")
+    names = HEADER.split(",")
+    header = ",".join([names[1], names[0], *names[2:]])
+    write_csv(line, header=header, name="b.csv", encoding="cp1254")
+    with pytest.raises(SchemaMismatchError, match="header"):
+        scan_csv(spark, str(tmp_path))
+
+
+def test_suspect_file_is_reported_next_to_a_repaired_one(spark, write_csv, tmp_path):
+    line = "{},Döşemelik,Çantalık,Şube,2026-01,1,2,3,4,5"
+    write_csv(broken(line.format("U1")), name="a.csv")
+    write_csv(broken(line.format("U2")), line.format("U3"), name="b.csv")
+    codes = {r["code"] for r in ingest(spark, str(tmp_path)).issues.collect()}
+    assert {"ENCODING_REPAIRED", "ENCODING_SUSPECT"} <= codes
+
+
 def test_files_with_and_without_byte_order_mark(spark, write_csv, tmp_path):
     write_csv("U1,n,K,D,2026-01,1,2,3,4,5", name="a.csv")
     write_csv("U2,n,K,D,2026-01,1,2,3,4,5", name="b.csv", encoding="utf-8-sig")
