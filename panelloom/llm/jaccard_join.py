@@ -8,11 +8,13 @@ links.
 
 1. One pass over the texts counts n-grams in the sketch, summed as streams of chunks.
 2. A second pass writes each document's set size, class, histogram and prefix.
-3. For each prefix n-gram held by several classes, all of them are paired with the smallest
-   class (class ids are hashes): a star instead of all pairs of a group. Pairs that pass the
-   length and suffix filters are verified once.
+3. For each prefix n-gram held by several classes, all of them are paired with one class
+   that has it earliest: a star instead of all pairs of a group. Edited copies have rare
+   n-grams of their own in front, their original has none, so originals become centers.
+   Which of equals is taken does not change the result. Pairs that pass the length and
+   suffix filters are verified once.
 4. Components of these links are contracted. Where a prefix n-gram still meets several
-   components, members outside its largest one are paired with one member of it.
+   components, members outside its largest one are paired with that one's earliest member.
 5. Where an n-gram still meets several components, members outside its largest one are
    joined with everything of another component through the length, positional and suffix
    filters, and verified once. Pairs inside a component cannot change it, so groups of
@@ -291,10 +293,10 @@ def in_mixed_grams(grams: DataFrame, comps: DataFrame) -> DataFrame:
         ),
         "grams_of_components",
     )
-    sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("n"), F.min("cls").alias("first"))
+    sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("n"), F.min_by("cls", "place").alias("center"))
     mains = (
         sizes.groupBy("gram")
-        .agg(F.max_by("component", "n").alias("main"), F.max_by("first", "n").alias("center"), F.count("*").alias("components"))
+        .agg(F.max_by("component", "n").alias("main"), F.max_by("center", "n").alias("center"), F.count("*").alias("components"))
         .where("components > 1")
         .drop("components")
     )
@@ -336,14 +338,14 @@ def near_duplicates(
     grams = filled.select("cls", "size", F.posexplode("prefix").alias("place", "gram"))
     shared = (
         grams.groupBy("gram")
-        .agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
+        .agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min_by("cls", "place").alias("center"))
         .where("low <> high")
-        .drop("high")
+        .drop("low", "high")
     )
     grams = store(grams.join(store(shared, "shared_grams"), "gram"), "grams")
 
     corpus = Corpus(texts, rows, classes, repeated, n, percent)
-    links = corpus.linked(ordered_pairs(grams, "cls", "low"))
+    links = corpus.linked(ordered_pairs(grams, "cls", "center"))
     comps = components(links)
     for star in (True, False):
         rows_left = in_mixed_grams(grams, comps)
