@@ -92,7 +92,8 @@ def test_risk_order_and_filters(result):
         r["code"] for r in ordered[:3]
     ]
     with pytest.raises(ValueError):
-        risks.top_risks(result.risks, 51)
+        risks.top_risks(result.risks, 0)
+    assert risks.top_risks(result.risks, 51).count() == result.risks.count()
     tables = results.risk_tables(result, severity="yuksek", period="2026-01")
     assert tables["totals"].first()["total"] == 2
     assert {r["code"] for r in tables["by_code"].collect()} == {"STOCKOUT_IMMINENT", "DEAD_STOCK"}
