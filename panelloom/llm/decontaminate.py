@@ -12,13 +12,21 @@ Windows are taken at every token on both sides, so that no common window is miss
 benchmark window needs at least two distinct plain words, as placeholders alone match any
 table of numbers.
 
+Names are told by capitals, so a passage in capitals or title case has another template. A
+second stream of windows therefore holds the words as they are, in lower case: a place with
+at least `min_coverage` of the item's tokens in such windows is a leak without any look at
+slots. Its coverage comes from the joined windows alone, over all alignments that lie
+within the item's length of each other. All these windows count; only an item shorter than
+`window` needs two distinct words, as it would else be found wherever its one word stands.
+
 Windows of documents are never shuffled while the benchmark's windows are few (their
 stored rows are counted); beyond that both sides are shuffled by hash. Texts are read
 again only for documents with a match.
 
 Defined cases: null or empty texts and items match nothing; items shorter than `window`
 tokens are compared as one window of their own length; repeated rows and ids: a pair
-(doc_id, item_id) is reported once if any of its rows matches; empty tables: empty result;
+(doc_id, item_id) is reported once if any of its rows matches, each text of an item being
+compared by itself; slots are 0 where only the words as they are match; empty tables: empty result;
 other columns are ignored; texts are read whole.
 """
 
@@ -59,6 +67,11 @@ def template_tokens(text: Column) -> Column:
     return F.regexp_extract_all(typed, F.lit(f"[\\p{{L}}\\p{{M}}]+|[{NAME}{NUMBER}{UNIT}]"), F.lit(0))
 
 
+def literal_tokens(text: Column) -> Column:
+    """The words and numbers themselves, in lower case."""
+    return raw_tokens(F.lower(text))
+
+
 def windows(tokens: Column, window: int) -> Column:
     """Array of hashes of the windows that start at every token."""
     starts = F.sequence(F.lit(0), F.size(tokens) - window)
@@ -74,24 +87,58 @@ def exploded_windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def plain_words(tokens: Column) -> Column:
-    """Number of distinct plain words."""
-    return F.size(F.array_distinct(F.filter(tokens, lambda t: ~t.isin(NAME, NUMBER, UNIT))))
+    """Number of distinct words, without numbers and placeholders."""
+    return F.size(F.array_distinct(F.filter(tokens, lambda t: t.rlike(r"^[\p{L}\p{M}]"))))
 
 
-def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
+def benchmark_windows(items: DataFrame, window: int, least_words: int) -> DataFrame:
+    """items: entry, tokens. One row per window with `least_words` distinct words; two in items without a whole window."""
     starts = F.sequence(F.lit(0), F.size("tokens") - window)
-    placed = items.where(F.size("tokens") >= window).select("item_id", "tokens", F.explode(starts).alias("start"))
+    placed = items.where(F.size("tokens") >= window).select("entry", "tokens", F.explode(starts).alias("start"))
     words = F.slice("tokens", F.col("start") + 1, window)
-    long = placed.where(plain_words(words) >= 2).select(
-        F.xxhash64(words).alias("h"), "item_id", "start", F.size("tokens").alias("length"), F.lit(window).alias("width")
+    placed = placed.where(plain_words(words) >= least_words) if least_words else placed
+    long = placed.select(
+        F.xxhash64(words).alias("h"), "entry", "start", F.size("tokens").alias("length"), F.lit(window).alias("width")
     )
     short = items.where(F.size("tokens").between(1, window - 1) & (plain_words(F.col("tokens")) >= 2)).select(
-        F.xxhash64("tokens").alias("h"), "item_id", F.lit(0).alias("start"), F.size("tokens").alias("length"),
+        F.xxhash64("tokens").alias("h"), "entry", F.lit(0).alias("start"), F.size("tokens").alias("length"),
         F.size("tokens").alias("width"),
     )
     return long.unionByName(short)
 
 
+def common_windows(tokens: DataFrame, known: DataFrame) -> DataFrame | None:
+    """doc_id, of, position, entry, start, length, width of every window of tokens that is known."""
+    widths = sorted(r["width"] for r in known.select("width").distinct().collect())
+    hits = None
+    for width in widths:
+        of_width = side_of_join(known.where(F.col("width") == width))
+        found = exploded_windows(tokens, width).join(of_width, "h")
+        hits = found if hits is None else hits.unionByName(found)
+    return hits
+
+
+def literal_places(hits: DataFrame, min_coverage: float) -> DataFrame:
+    """doc_id, of, entry, coverage of the places with enough of an item's words as they are.
+
+    A place holds alignments over twice the item's length and overlaps the next by half, so
+    that any two alignments within the item's length of each other meet in one.
+    """
+    block = F.floor((F.col("position") - F.col("start")) / F.col("length"))
+    starts = F.array_sort("starts")
+    gaps = F.zip_with(
+        F.slice(starts, 2, F.size("starts")), F.slice(starts, 1, F.size("starts") - 1),
+        lambda b, a: F.least(b - a, F.col("width")),
+    )
+    return (
+        hits.select("doc_id", "of", "entry", "length", "width", "start", F.explode(F.array(block, block + 1)).alias("place"))
+        .groupBy("doc_id", "of", "entry", "length", "width", "place")
+        .agg(F.collect_set("start").alias("starts"))
+        .select("doc_id", "of", "entry", (F.aggregate(gaps, F.col("width"), lambda total, d: total + d) / F.col("length")).alias("coverage"))
+        .where(F.col("coverage") >= min_coverage)
+    )
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -103,47 +150,77 @@ def find_leaks(
     item_text: str = "text",
 ) -> DataFrame:
     """One row per leaked pair: doc_id, item_id, coverage, slots, changed_slots, kind."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    places = leak_places(docs, benchmark, window, min_coverage, doc_id, text, item_id, item_text)
+    if places is None:
+        return empty_result(docs, benchmark, doc_id, item_id)
+    best = F.max(F.when(~F.col("literal"), F.struct((-F.col("changed_slots")).alias("unchanged"), "coverage", "slots")))
+    changed = F.when(F.col("as_it_is") == 1, 0).otherwise(F.coalesce(-F.col("best")["unchanged"], F.lit(0)))
+    return (
+        places.groupBy("doc_id", "item_id")
+        .agg(F.max(F.when(F.col("literal"), F.col("coverage"))).alias("as_it_is"), best.alias("best"))
+        .select(
+            "doc_id", "item_id", F.greatest("as_it_is", F.col("best")["coverage"]).alias("coverage"),
+            F.coalesce(F.col("best")["slots"], F.lit(0)).alias("slots"), changed.alias("changed_slots"),
+        )
+        .withColumn("kind", F.when(F.col("changed_slots") > 0, "reparameterised").when(F.col("coverage") < 1, "near").otherwise("exact"))
+    )
+
+
+def leak_places(
+    docs: DataFrame, benchmark: DataFrame, window: int, min_coverage: float, doc_id: str, text: str, item_id: str, item_text: str
+) -> DataFrame | None:
+    """doc_id, hash `of` of the text, item_id, literal, coverage, slots, changed_slots of every place that leaks."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
     items = store(
-        items.select("item_id", template_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("words")),
+        items.select(
+            "item_id", F.xxhash64("item_id", "text").alias("entry"), template_tokens(F.col("text")).alias("tokens"),
+            raw_tokens(F.col("text")).alias("words"), literal_tokens(F.col("text")).alias("literal"),
+        ),
         "benchmark_templates",
     )
-    known = store(benchmark_windows(items, window), "benchmark_windows")
-    widths = sorted(r["width"] for r in known.select("width").distinct().collect())
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    tokens = texts.select("doc_id", F.xxhash64("text").alias("of"), template_tokens(F.col("text")).alias("tokens"))
 
-    hits = None
-    for width in widths:
-        of_width = side_of_join(known.where(F.col("width") == width).drop("width"))
-        found = exploded_windows(tokens, width).join(of_width, "h")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return empty_result(docs, benchmark, doc_id, item_id)
+    def joined(made, column: str, least_words: int) -> DataFrame | None:
+        own = items.select("entry", F.col(column).alias("tokens"))
+        known = store(benchmark_windows(own, window, least_words), f"benchmark_windows_{column}")
+        return common_windows(texts.select("doc_id", F.xxhash64("text").alias("of"), made(F.col("text")).alias("tokens")), known)
+
+    found = []
+    if (hits := joined(literal_tokens, "literal", 0)) is not None:
+        found.append(
+            literal_places(hits, min_coverage)
+            .join(side_of_join(items.select("entry", "item_id")), "entry")
+            .select("doc_id", "of", "item_id", F.lit(True).alias("literal"), "coverage", F.lit(0).alias("slots"), F.lit(0).alias("changed_slots"))
+        )
+    if (hits := joined(template_tokens, "tokens", 2)) is not None:
+        found.append(template_places(texts, hits, items, window, min_coverage))
+    return found[0].unionByName(found[-1]) if len(found) > 1 else next(iter(found), None)
+
+
+def template_places(texts: DataFrame, hits: DataFrame, items: DataFrame, window: int, min_coverage: float) -> DataFrame:
+    """The places where an item's template stands with consistent slots."""
     aligned = (
-        hits.groupBy("doc_id", "of", "item_id", "length", (F.col("position") - F.col("start")).alias("shift"))
+        hits.groupBy("doc_id", "of", "entry", "length", (F.col("position") - F.col("start")).alias("shift"))
         .agg(F.count("*").alias("n"))
-        .groupBy("doc_id", "of", "item_id", "length")
+        .groupBy("doc_id", "of", "entry", "length")
         .agg(F.max(F.struct("n", -F.col("shift"))).alias("best"))
-        .select("doc_id", "of", "item_id", "length", (-F.col("best")["col2"]).alias("shift"))
+        .select("doc_id", "of", "entry", "length", (-F.col("best")["col2"]).alias("shift"))
     )
     candidates = side_of_join(store(aligned, "leak_candidates"))
     near = texts.withColumn("of", F.xxhash64("text")).join(
-        candidates.select(F.col("doc_id").alias("id"), F.col("of").alias("text_of"), "item_id", "length", "shift"),
+        candidates.select(F.col("doc_id").alias("id"), F.col("of").alias("text_of"), "entry", "length", "shift"),
         F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("text_of")),
     )
     first = F.greatest(F.col("shift") - F.col("length"), F.lit(0))
     around = near.select(
-        "doc_id", "item_id", (F.col("shift") - first).alias("shift"),
+        "doc_id", "of", "entry", (F.col("shift") - first).alias("shift"),
         *[F.slice(f(F.col("text")), first + 1, 3 * F.col("length")).alias(name)
           for f, name in ((template_tokens, "near_tokens"), (raw_tokens, "near_words"))],
     )
     return (
-        verified(around.join(side_of_join(items), "item_id"), window)
+        verified(around.join(side_of_join(items.drop("literal")), "entry"), window)
         .where((F.col("coverage") >= min_coverage) & F.col("consistent"))
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("coverage").alias("coverage"), F.max("slots").alias("slots"), F.min("changed_slots").alias("changed_slots"))
-        .withColumn("kind", F.when(F.col("changed_slots") > 0, "reparameterised").when(F.col("coverage") < 1, "near").otherwise("exact"))
+        .select("doc_id", "of", "item_id", F.lit(False).alias("literal"), "coverage", "slots", "changed_slots")
     )
 
 
@@ -187,6 +264,7 @@ def verified(pairs: DataFrame, window: int) -> DataFrame:
         .withColumn("bound", bound)
         .select(
             "doc_id",
+            "of",
             "item_id",
             (F.size(covered) / F.size("tokens")).alias("coverage"),
             F.size("bound").alias("slots"),

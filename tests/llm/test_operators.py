@@ -161,6 +161,20 @@ def test_leaks_with_other_slots(documents, spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_any_letter_case(documents, spark):
+    item = "A train leaves with 30 passengers and after 5 km picks up 12 more so how many ride to the coast"
+    title, short = "Seven Old Bridges Over The Northern River Valley", "Old Mill Road Bridge"
+    rows = [(1, item), (2, title), (3, short), (4, "Alone"), (1, prose(20, 8)), (5, "7")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    docs = documents(
+        (1, f"{prose(50, 1)}. {item.upper()}. {prose(50, 2)}"), (2, f"{prose(9, 3)}. {item.title()}"), (3, f"so {title.lower()}"),
+        (4, f"{prose(9, 4)}, {short.upper()} 7 alone"), (5, f"{item.upper()[:60]} {prose(900, 5)} {item.upper()[40:]}"),
+        (None, title.upper()), (7, f"{' '.join(item.upper().split()[:12])} {' '.join(prose(20, 8).split()[:8])}"),
+    )
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["coverage"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {k: ("exact", 1.0) for k in ((1, 1), (2, 1), (3, 2), (4, 3), (None, 2))}
+
+
 def test_mix_meets_targets(documents):
     docs = documents(
         *[(i, prose(5 + i % 9, i), "abc"[i % 3] if i % 7 else None) for i in range(400)],
