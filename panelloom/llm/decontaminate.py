@@ -2,11 +2,13 @@
 
 Text becomes a template: words in lower case, while numbers, names and the units after
 numbers turn into typed placeholders. Windows of `window` template tokens of the benchmark
-are hash-joined with windows of the documents. For each (document, item) found, the best
-alignment is looked at again in the whole neighbourhood: `coverage` is the share of the
+are hash-joined with windows of the documents. For each (document, item) found, every alignment
+that has enough windows itself, and the best ones of each stretch of twice the item's
+length, are looked at again in the whole neighbourhood: `coverage` is the share of the
 item's tokens inside common windows, and slots must be consistent, that is, one value of
 the item always stands for one value of the document. A match whose slots differ is a
-re-parameterised question, one whose slots agree an exact or near copy.
+re-parameterised question, one whose slots agree an exact or near copy. Of several places
+the one with the fewest changed slots is reported.
 
 Windows are taken at every token on both sides, so that no common window is missed. A
 benchmark window needs at least two distinct plain words, as placeholders alone match any
@@ -14,8 +16,7 @@ table of numbers.
 
 Names are told by capitals, so a passage in capitals or title case has another template. A
 second stream of windows therefore holds the words as they are, in lower case: a place with
-at least `min_coverage` of the item's tokens in such windows is a leak without any look at
-slots. Its coverage comes from the joined windows alone, over all alignments that lie
+at least `min_coverage` of the item's tokens in such windows is a leak whatever its slots. Its coverage comes from the joined windows alone, over all alignments that lie
 within the item's length of each other. All these windows count; only an item shorter than
 `window` needs two distinct words, as it would else be found wherever its one word stands.
 
@@ -197,25 +198,54 @@ def leak_places(
     return found[0].unionByName(found[-1]) if len(found) > 1 else next(iter(found), None)
 
 
-def template_places(texts: DataFrame, hits: DataFrame, items: DataFrame, window: int, min_coverage: float) -> DataFrame:
-    """The places where an item's template stands with consistent slots."""
-    aligned = (
+def alignments(hits: DataFrame, items: DataFrame, window: int, min_coverage: float) -> DataFrame:
+    """doc_id, of and the alignments (entry, length, shift) of each text that are worth a look.
+
+    `need` is the least number of known windows of an item covered by min_coverage. Stretches
+    whose neighbourhood has fewer cannot reach it; they alone are left out. Of the others every
+    alignment with `need` windows of its own stays, and all that have most in their stretch.
+    """
+    width = F.least(F.lit(window), F.size("tokens"))
+    known = benchmark_windows(items.select("entry", "tokens"), window, 2).groupBy("entry").agg(F.count("*").alias("known"))
+    unknown = F.size("tokens") - width + 1 - F.col("known")
+    need = F.greatest(F.ceil(min_coverage * F.size("tokens") / width - 1e-9) - unknown, F.lit(1))
+    needs = store(items.join(known, "entry").select("entry", need.alias("need")), "benchmark_needs")
+    shifts = (
         hits.groupBy("doc_id", "of", "entry", "length", (F.col("position") - F.col("start")).alias("shift"))
         .agg(F.count("*").alias("n"))
-        .groupBy("doc_id", "of", "entry", "length")
-        .agg(F.max(F.struct("n", -F.col("shift"))).alias("best"))
-        .select("doc_id", "of", "entry", "length", (-F.col("best")["col2"]).alias("shift"))
+        .withColumn("block", F.floor(F.col("shift") / (2 * F.col("length"))))
+        .withColumn("stretch", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
     )
-    candidates = side_of_join(store(aligned, "leak_candidates"))
+    own = F.when(F.col("block") == F.col("stretch"), F.struct("n", "shift"))
+    chosen = F.filter("own", lambda a: (a["n"] >= F.col("need")) | (a["n"] == F.array_max(F.transform("own", lambda b: b["n"]))))
+    return (
+        shifts.groupBy("doc_id", "of", "entry", "length", "stretch")
+        .agg(F.sum("n").alias("n"), F.collect_list(own).alias("own"))
+        .join(side_of_join(needs), "entry")
+        .where((F.col("n") >= F.col("need")) & (F.size("own") > 0))
+        .select("doc_id", "of", "entry", "length", F.explode(chosen).alias("at"))
+        .groupBy("doc_id", "of")
+        .agg(F.collect_list(F.struct("entry", "length", F.col("at")["shift"].alias("shift"))).alias("alignments"))
+    )
+
+
+def template_places(texts: DataFrame, hits: DataFrame, items: DataFrame, window: int, min_coverage: float) -> DataFrame:
+    """The places where an item's template stands with consistent slots."""
+    candidates = side_of_join(store(alignments(hits, items, window, min_coverage), "leak_candidates"), 20_000)
     near = texts.withColumn("of", F.xxhash64("text")).join(
-        candidates.select(F.col("doc_id").alias("id"), F.col("of").alias("text_of"), "entry", "length", "shift"),
+        candidates.select(F.col("doc_id").alias("id"), F.col("of").alias("text_of"), "alignments"),
         F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("text_of")),
     )
-    first = F.greatest(F.col("shift") - F.col("length"), F.lit(0))
+    # a text is taken apart once, however many alignments it has
+    near = near.select(
+        "doc_id", "of", template_tokens(F.col("text")).alias("all_tokens"), raw_tokens(F.col("text")).alias("all_words"),
+        "alignments",
+    ).select("doc_id", "of", "all_tokens", "all_words", F.explode("alignments").alias("at"))
+    length, shift = F.col("at")["length"], F.col("at")["shift"]
+    first = F.greatest(shift - length, F.lit(0))
     around = near.select(
-        "doc_id", "of", "entry", (F.col("shift") - first).alias("shift"),
-        *[F.slice(f(F.col("text")), first + 1, 3 * F.col("length")).alias(name)
-          for f, name in ((template_tokens, "near_tokens"), (raw_tokens, "near_words"))],
+        "doc_id", "of", F.col("at")["entry"].alias("entry"), (shift - first).alias("shift"),
+        *[F.slice(f"all_{name}", first + 1, 3 * length).alias(f"near_{name}") for name in ("tokens", "words")],
     )
     return (
         verified(around.join(side_of_join(items.drop("literal")), "entry"), window)

@@ -175,6 +175,21 @@ def test_leaks_in_any_letter_case(documents, spark):
     assert got == {k: ("exact", 1.0) for k in ((1, 1), (2, 1), (3, 2), (4, 3), (None, 2))}
 
 
+def test_leaks_behind_other_places(documents, spark):
+    item = "We count 7 boats on the lake and then 7 carts by the road while 9 men carry stones up to the old mill"
+    clash, moved = item.replace("7 carts", "6 carts"), item.replace("7", "4").replace("9", "5")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    loose = clash.replace("7 boats", "3 boats").replace("9 men", "2 men")
+    docs = documents(
+        (1, f"{prose(9, 1)} {clash}"), (2, f"{loose} {prose(200, 2)} {moved}"), (3, f"{loose} {moved}"), (4, f"{moved} {loose}"),
+        (5, loose), (6, f"{loose} {prose(90, 3)} {item.upper()}"), (7, f"{loose} {loose} {moved.replace('old', 'new')}"),
+        (8, " ".join([loose] * 20 + [moved] + [loose] * 20)),
+    )
+    got = {r["doc_id"]: (r["kind"], r["changed_slots"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    moved_slots = ("reparameterised", 3)
+    assert got == {1: ("near", 0), 2: moved_slots, 3: moved_slots, 4: moved_slots, 6: ("exact", 0), 7: moved_slots, 8: moved_slots}
+
+
 def test_mix_meets_targets(documents):
     docs = documents(
         *[(i, prose(5 + i % 9, i), "abc"[i % 3] if i % 7 else None) for i in range(400)],
