@@ -313,8 +313,23 @@ def empty_result(docs: DataFrame, benchmark: DataFrame, doc_id: str, item_id: st
     )
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold a leaked item."""
-    leaks = find_leaks(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("__leak")).distinct()
+def remove_leaks(
+    docs: DataFrame, benchmark: DataFrame, window: int = 5, min_coverage: float = 0.8, doc_id: str = "doc_id",
+    text: str = "text", item_id: str = "item_id", item_text: str = "text", by_row: bool = False,
+) -> DataFrame:
+    """docs without the documents that hold a leaked item.
+
+    A document is all rows of one id, or with `by_row` each text of an id by itself. Rows
+    without an id are documents of their own either way.
+    """
+    places = leak_places(docs, benchmark, window, min_coverage, doc_id, text, item_id, item_text)
+    if places is None:
+        return docs
+
+    def part(of: Column, of_id: Column) -> Column:
+        return of if by_row else F.when(of_id.isNull(), of).otherwise(F.lit(0).cast("long"))
+
+    leaks = places.select(F.col("doc_id").alias("__leak"), part(F.col("of"), F.col("doc_id")).alias("__of")).distinct()
     gone = side_of_join(store(leaks, "leaked_documents"))
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__leak")), "left_anti")
+    same = F.col(doc_id).eqNullSafe(F.col("__leak")) & (part(F.xxhash64(F.col(text)), F.col(doc_id)) == F.col("__of"))
+    return docs.join(gone, same, "left_anti")

@@ -72,8 +72,9 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1
             at = to
 
 
-def texts_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def texts_of(docs: DataFrame, doc_id: str, text: str, hashed: bool = False) -> DataFrame:
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return texts.withColumn("text_hash", F.xxhash64("text")) if hashed else texts
 
 
 def counters_of(grams: np.ndarray) -> np.ndarray:
@@ -178,7 +179,8 @@ def maybe_similar(a: str, b: str, percent: int) -> Column:
 
 
 def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, cls, histogram and prefix (rarest first) of every document."""
+    """doc_id (and text_hash), size, cls, histogram and prefix (rarest first) of every document."""
+    names = [c for c in texts.columns if c != "text"]
     rarity = texts.sparkSession.sparkContext.broadcast(gram_counts(texts, n))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,14 +197,14 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
                 kept.append(grams[order].view(np.int64))
             packed = np.array(bins, dtype=np.int64).reshape(-1, len(PACKED)).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
+                [*[batch.column(c) for c in names], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
                  *[pa.array(b, pa.int64()) for b in packed], pa.array(fine, pa.list_(pa.int32())),
                  pa.array(kept, pa.list_(pa.int64()))],
-                names=["doc_id", "size", "cls", *PACKED, "fine", "prefix"],
+                names=[*names, "size", "cls", *PACKED, "fine", "prefix"],
             )
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    layout = f"doc_id {kind}, size long, cls long, {', '.join(f'{b} long' for b in PACKED)}, fine array<int>, prefix array<long>"
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names)
+    layout = f"{kinds}, size long, cls long, {', '.join(f'{b} long' for b in PACKED)}, fine array<int>, prefix array<long>"
     return store(texts.mapInArrow(made, layout), "prefixes")
 
 
@@ -324,11 +326,8 @@ def remaining_pairs(mixed_rows: DataFrame, classes: DataFrame, percent: int) ->
     return ordered_pairs(left.join(right, condition), "a_cls", "b_cls")
 
 
-def near_duplicates(
-    docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
-    texts = texts_of(docs, doc_id, text)
+def linked_rows(texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of `prefixes`, and cls, doc_id (the smallest), component of the classes that have words."""
     rows = prefixes(texts, n, percent)
     filled = rows.where("size > 0")
     repeated = not filled.groupBy("doc_id", "cls").count().where("count > 1").isEmpty()
@@ -361,6 +360,14 @@ def near_duplicates(
     named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls")
     )
+    return rows, named.select("cls", "doc_id", "component")
+
+
+def near_duplicates(
+    docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+    rows, named = linked_rows(texts_of(docs, doc_id, text), n, percent)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = store(named.join(smallest, "component").select("cls", "component_id"), "named_classes")
     out = rows.select("doc_id", "size", F.when(F.col("size") > 0, F.col("cls")).alias("cls"))
@@ -372,23 +379,28 @@ def near_duplicates(
 def keep_one_of_each(
     docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """docs without near copies: the row with the smallest doc_id of each component stays.
+    """docs without near copies: one row of each component stays, by doc_id (nulls last) and the text's hash.
 
-    Rows without any word all stay. Of rows that share doc_id and text one stays.
+    Rows are told apart by doc_id and text, so ids may be null or repeated. Rows without any
+    word all stay. Of rows that share doc_id and text one stays.
     """
-    found = store(near_duplicates(docs, n, percent, doc_id, text), "near_duplicates")
-    lost = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__lost")).distinct()
-    lost = side_of_join(store(lost, "near_copies"))
-    kept = docs.join(lost, F.col(doc_id).eqNullSafe(F.col("__lost")), "left_anti")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
-    again = store(again, "repeated_ids")
+    rows, named = linked_rows(texts_of(docs, doc_id, text, hashed=True), n, percent)
+    worded = rows.where("size > 0").select("doc_id", "text_hash", "cls")
+    named = store(named.select("cls", "component"), "components_of_classes")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    firsts = store(worded.groupBy("cls").agg(F.min(order).alias("first")).join(named, "cls"), "firsts_of_classes")
+    stays = store(firsts.groupBy("component").agg(F.min("first").alias("first")), "firsts")
+    stays = store(firsts.select("cls", "component").join(stays, "component").select("cls", "first"), "firsts_by_class")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first")["doc_id"]) & (F.col("text_hash") == F.col("first")["text_hash"])
+    ids = F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")
+    placed = worded.join(stays, "cls").groupBy(*ids, is_first.alias("first")).agg(F.count("*").alias("n"))
+    placed = store(placed, "near_copies")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash"))
+    lost = side_of_join(store(placed.where(~F.col("first")).select("__id", "__hash"), "lost_rows"))
+    kept = docs.join(lost, same, "left_anti")
+    again = store(placed.where(F.col("first") & (F.col("n") > 1)).select("__id", "__hash"), "repeated_rows")
     if again.isEmpty():
         return kept
-    named = F.col(doc_id).eqNullSafe(F.col("__again"))
-    repeated = kept.join(side_of_join(again), named, "left_semi")
-    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return (
-        kept.join(side_of_join(again), named, "left_anti")
-        .unionByName(repeated.where(~worded))
-        .unionByName(repeated.where(worded).dropDuplicates([doc_id, text]))
-    )
+    again = side_of_join(again)
+    repeated = kept.join(again, same, "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(again, same, "left_anti").unionByName(repeated)

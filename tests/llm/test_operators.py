@@ -190,6 +190,16 @@ def test_leaks_behind_other_places(documents, spark):
     assert got == {1: ("near", 0), 2: moved_slots, 3: moved_slots, 4: moved_slots, 6: ("exact", 0), 7: moved_slots, 8: moved_slots}
 
 
+def test_leaks_go_by_row(documents, spark):
+    item = prose(12, 77)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = documents((None, f"so {item}"), (None, "clean"), (None, None), (1, item), (1, "clean too"), (2, "clean"))
+    by_row = decontaminate.remove_leaks(docs, bench, by_row=True).select("doc_id", "text").collect()
+    assert {tuple(r) for r in by_row} == {(None, "clean"), (None, None), (1, "clean too"), (2, "clean")}
+    by_id = decontaminate.remove_leaks(docs, bench).select("doc_id", "text").collect()
+    assert {tuple(r) for r in by_id} == {(None, "clean"), (None, None), (2, "clean")}
+
+
 def test_mix_meets_targets(documents):
     docs = documents(
         *[(i, prose(5 + i % 9, i), "abc"[i % 3] if i % 7 else None) for i in range(400)],
@@ -261,3 +271,15 @@ def test_one_of_each_stays(documents):
     docs = documents((3, text), (2, text + " end"), (2, text + " end"), (5, prose(60, 2)), (6, None), (7, ""), (None, prose(50, 3)))
     assert sorted((r["doc_id"] or 0) for r in jaccard_join.keep_one_of_each(docs).collect()) == [0, 2, 5, 6, 7]
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_copies_go_by_row(documents):
+    a, b, c, d = (prose(60, i) for i in (1, 2, 3, 4))
+    docs = documents(
+        (1, a), (2, a + " end"), (2, b), (None, b + " end"), (None, c), (None, c), (None, c + " end"), (5, d), (5, d + " end"),
+        (5, d + " end"), (None, None), (None, None), (5, ""), (None, prose(60, 5)),
+    )
+    got = [tuple(r) for r in jaccard_join.keep_one_of_each(docs).select("doc_id", "text").collect()]
+    own = lambda text: [(i, t) for i, t in got if (t or "").startswith(text)]
+    assert own(a) == [(1, a)] and own(b) == [(2, b)] and len(own(c)) == 1 and len(own(d)) == 1
+    assert len(got) == 8 and got.count((None, None)) == 2 and (5, "") in got and (None, prose(60, 5)) in got
