@@ -50,8 +50,11 @@ NAMES = (
     ("isc", "isc", "isc"),
     ("apache-1.1", "apache", "apache(?: software)? (?:v |version )?1 1"),
     ("apache-2", "apache", "apache(?: software)?(?: license)? ?(?:v|v |version )?2(?: 0)?"),
+    ("apache-2", "apache2", "apache2(?: 0)?"),
+    ("apache-2", "apachev2", "apachev2(?: 0)?"),
     ("apache", "apache", "apache(?: software)?"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("bsd-2-clause", "freebsd", "freebsd"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd", "bsd", "bsd(?: style)?"),

@@ -94,6 +94,16 @@ def test_licenses_and_suppression(documents):
     assert len(license_scan.standard_rules()) > 200
 
 
+def test_license_keywords_gate_no_alternative_off(documents):
+    words_of = lambda name: {w for w in __import__("re").split(r"[^a-z0-9]+", name) if w}
+    for label, keyword, name in license_scan.NAMES:
+        for way in name[3:-1].split("|") if name.startswith("(?:") and name.endswith(")") else [name]:
+            assert keyword in words_of(way), (label, way)
+    docs = documents((1, "the FreeBSD license"), (2, "licensed under Apache2"), (3, "the ApacheV2 licence"), (4, "Apache2 and FreeBSD"))
+    found = license_scan.scan_licenses(docs).select("doc_id", license_scan.labels_of("found"))
+    assert dict(rows_of(found)) == {1: "bsd-2-clause", 2: "apache-2", 3: "apache-2", 4: ""}
+
+
 def test_toxicity_learns_stems(documents, spark):
     bad = ["vileword", "grubface", "rotmouth"]
     draw = random.Random(3)
