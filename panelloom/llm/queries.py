@@ -15,6 +15,7 @@ from panelloom.llm import (
     line_dedup,
     mixing,
     sharding,
+    spelling,
     token_counts,
     topk_search,
     toxicity,
@@ -124,6 +125,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words one edit from another, their commonest near word and the last of that chain."""
+    words = store(spelling.word_counts(table(spark, sf_dir, "documents"), one_in=199), "words")
+    return spelling.group_variants(words)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -134,13 +141,17 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_chat_format, op3_license_scan, op4_toxicity, op5_sharding, op6_topk_search,
-        op7_decontamination, op8_mixing, op9_token_counts, op10_jaccard_join, pipeline,
+        op7_decontamination, op8_mixing, op9_token_counts, op10_jaccard_join,
+        op11_spelling_variants, pipeline,
     )
 }
 
 HASH = "('0x' || substr(md5({}), 1, 13))::BIGINT"
 KEY = "coalesce(doc_id::VARCHAR, 'null')"
 SPACES = r"[^\x20\x09-\x0D]+"
+#: The letters beyond ASCII of op11, and as many ASCII characters in their place: DuckDB's distance counts bytes.
+BEYOND_ASCII = "".join(map(chr, range(0xC0, 0x100)))
+STAND_INS = "".join(chr(c) for c in range(33, 127) if c != 39 and not 97 <= c <= 122)[: len(BEYOND_ASCII)]
 
 ORACLES = {
     "op1_line_dedup": """
@@ -267,4 +278,48 @@ ORACLES = {
             SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x)
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, min(r.y)) AS component_id
         FROM sets s LEFT JOIN reached r ON s.doc_id = r.x GROUP BY s.doc_id, s.s""",
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE rounds AS (
+            SELECT i::UBIGINT AS c, i, 0 AS k FROM range(256) t(i)
+            UNION ALL
+            SELECT CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i, k + 1 FROM rounds WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS steps FROM rounds WHERE k = 8),
+        runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS keyed, run, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+            WHERE length(run) >= 6 GROUP BY ALL),
+        hashed AS (
+            SELECT run, n, xor(list_reduce(
+                list_transform(range(strlen(keyed)), lambda i:
+                    ('0x' || substr(hex(encode(keyed)), 2 * i + 1, 2))::UBIGINT),
+                lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295)::BIGINT AS h
+            FROM runs, crc),
+        words AS (
+            SELECT word, sum(n)::BIGINT AS n, translate(word, '{BEYOND_ASCII}', '{STAND_INS}') AS w FROM (
+                SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                               ELSE run END AS word FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        shorter AS (
+            SELECT DISTINCT word, n, w, v FROM (
+                SELECT word, n, w, unnest(list_transform(range(length(w) + 1),
+                       lambda i: substr(w, 1, i) || substr(w, i + 2))) AS v FROM words)),
+        near AS (
+            SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.v = b.v
+            WHERE a.word <> b.word AND levenshtein(a.w, b.w) = 1),
+        best AS (
+            SELECT word, count(*) AS n_near, max(other_n) AS most,
+                   min(other) FILTER (other_n = top) AS other FROM
+                (SELECT *, max(other_n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word),
+        formed AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN other END AS form,
+                   CASE WHEN most >= 5 * w.n THEN most END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+        chains AS (
+            SELECT word, form AS root FROM formed WHERE form IS NOT NULL
+            UNION SELECT c.word, f.form FROM chains c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL),
+        ends AS (
+            SELECT c.word, min(c.root) AS root FROM chains c JOIN formed f ON c.root = f.word
+            WHERE f.form IS NULL GROUP BY c.word)
+        SELECT f.word, n, n_near, form, form_n, coalesce(root, f.word) AS root
+        FROM formed f LEFT JOIN ends e ON f.word = e.word""",
 }
