@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import (
+    alignment,
     chat_format,
     decontaminate,
     jaccard_join,
+    language_id,
     license_scan,
     line_dedup,
     mixing,
@@ -131,6 +133,20 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(words)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers, with corpus-wide counts of the links."""
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -142,7 +158,8 @@ QUERIES = {
     for f in (
         op1_line_dedup, op2_chat_format, op3_license_scan, op4_toxicity, op5_sharding, op6_topk_search,
         op7_decontamination, op8_mixing, op9_token_counts, op10_jaccard_join,
-        op11_spelling_variants, pipeline,
+        op11_spelling_variants, op12_language_id, op13_token_alignment,
+        pipeline,
     )
 }
 
