@@ -25,10 +25,13 @@ columns only the id is returned; texts are read whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +61,11 @@ def visible_bytes() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def byte_level_bytes(file: str) -> dict[int, bytes]:
-    table = visible_bytes()
-    vocabulary = byte_level_tokenizer(file).get_vocab(with_added_tokens=False)
-    return {i: bytes(table[c] for c in entry) for entry, i in vocabulary.items() if all(c in table for c in entry)}
+def byte_level_bytes(file: str) -> list[bytes]:
+    """The bytes of each id; those of entries that are no byte-level text are empty."""
+    table, tokenizer = visible_bytes(), byte_level_tokenizer(file)
+    entries = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+    return [bytes(table[c] for c in entry) if all(c in table for c in entry) else b"" for entry in entries]
 
 
 @lru_cache(maxsize=2)
@@ -75,86 +79,158 @@ def piece_bytes(file: str) -> list[bytes]:
     ]
 
 
-def links_of(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Places of the tokens of a slice whose byte ranges overlap; both lists end at the same byte."""
-    if len(ends_a) == 1 or len(ends_b) == 1:
-        return [(i, j) for i in range(len(ends_a)) for j in range(len(ends_b))]
-    links, i, j = [], 0, 0
-    while i < len(ends_a) and j < len(ends_b):
-        links.append((i, j))
+def links_of(ends_a: list[int], ends_b: list[int], i: int, j: int, end: int) -> tuple[list[int], list[int]]:
+    """Places of the tokens whose byte ranges overlap, from tokens i and j up to the common byte end."""
+    link_a, link_b, at = [], [], -1
+    while at != end:
+        link_a.append(i)
+        link_b.append(j)
         a, b = ends_a[i], ends_b[j]
-        i, j = i + (a <= b), j + (b <= a)
-    return links
+        at = min(a, b)
+        if a == at:
+            i += 1
+        if b == at:
+            j += 1
+    return link_a, link_b
 
 
-def ends_of(ids: list[int], data) -> list[int]:
-    out, at = [], 0
-    for i in ids:
-        at += len(data[i])
-        out.append(at)
-    return out
+@dataclass(frozen=True)
+class Groups:
+    """The groups of two tokenisations of the same bytes: where they end, and their linked tokens' places."""
 
+    ends: np.ndarray
+    to_a: np.ndarray
+    to_b: np.ndarray
+    link_a: np.ndarray
+    link_b: np.ndarray
+    links: np.ndarray  # of each group
 
-def align(a: list[int], b: list[int], bytes_a, bytes_b) -> tuple[str, int, list[tuple[int, int]]]:
-    """The groups as text, their number, and all linked pairs of ids."""
-    ends_a, ends_b = ends_of(a, bytes_a), ends_of(b, bytes_b)
-    index_a, index_b = ({end: i + 1 for i, end in enumerate(ends)} for ends in (ends_a, ends_b))
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        to_i, to_j = index_a[end], index_b[end]
-        groups.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
-        links += [(a[i + x], b[j + y]) for x, y in links_of(ends_a[i:to_i], ends_b[j:to_j])]
-        i, j = to_i, to_j
-    return ";".join(groups), len(groups), links
 
+def align(ends_a: list[int], ends_b: list[int]) -> Groups:
+    """Cumulative byte ends -> groups between common ends, and links within each.
 
-class Chunks(dict):
-    """Chunk (without the space before it) -> its place in arrays(); keeps at most `most` between batches."""
+    A slice with one token on either side links all its tokens; only slices with several on
+    both sides need their byte ranges.
+    """
+    index_a, index_b = (dict(zip(ends, range(1, len(ends) + 1))) for ends in (ends_a, ends_b))
+    common = sorted(index_a.keys() & index_b.keys())
+    to_a, to_b = (np.array([index[e] for e in common], dtype=np.int64) for index in (index_a, index_b))
+    n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+    crossing = (n_a > 1) & (n_b > 1)
+    found_a, found_b, counts = [], [], []
+    for i, j, k in zip((to_a - n_a)[crossing].tolist(), (to_b - n_b)[crossing].tolist(), np.flatnonzero(crossing).tolist()):
+        link_a, link_b = links_of(ends_a, ends_b, i, j, common[k])
+        found_a += link_a
+        found_b += link_b
+        counts.append(len(link_a))
+    links = n_a * n_b
+    links[crossing] = counts
+    first = np.cumsum(links) - links
+    within = np.arange(int(links.sum())) - np.repeat(first, links)
+    wide = np.repeat(np.maximum(n_b, 1), links)
+    link_a = np.repeat(to_a - n_a, links) + within // wide
+    link_b = np.repeat(to_b - n_b, links) + within % wide
+    crossed = np.repeat(crossing, links)
+    link_a[crossed], link_b[crossed] = found_a, found_b
+    return Groups(np.array(common, dtype=np.int64), to_a, to_b, link_a, link_b, links)
+
+
+def written(a: list[int], b: list[int], groups: Groups, last: np.ndarray) -> list[str]:
+    """The groups as text, cut after those that are the last of a chunk."""
+    after_a, after_b = [","] * len(a), [","] * len(b)
+    for i, j, stop in zip(groups.to_a.tolist(), groups.to_b.tolist(), last.tolist()):
+        after_a[i - 1], after_b[j - 1] = "|", "\n" if stop else ";"
+    tokens = [f"{x}{s}" for x, s in zip(chain(a, b), chain(after_a, after_b))]
+    place = np.arange(len(groups.to_a)) * 2
+    of_a = np.repeat(place, np.diff(groups.to_a, prepend=0))
+    of_b = np.repeat(place + 1, np.diff(groups.to_b, prepend=0))
+    order = np.argsort(np.concatenate([of_a, of_b]), kind="stable").tolist()
+    return "".join([tokens[i] for i in order]).split("\n")[:-1]
+
+
+@dataclass(slots=True)
+class Chunk:
+    """The alignment of a chunk; pairs: its links, packed. `same`: both tokenizers give its bytes back."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    pairs: bytes
+    same: bool
+
+
+class Chunks:
+    """Alignments of chunks, which are written without the space before them.
+
+    The latest `most` and those used since are kept, as two generations.
+    """
 
     def __init__(self, file_a: str, file_b: str, most: int):
-        super().__init__()
         self.most = most
         self.a, self.b = byte_level_tokenizer(file_a), pieces_model(file_b)
         self.bytes_a, self.bytes_b = byte_level_bytes(file_a), piece_bytes(file_b)
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.groups: list[str] = []
-        self.numbers: list[tuple[int, int, int, int, bool]] = []
-        self.place_of_pair: dict[tuple[int, int], int] = {}
-        self.places: list[int] = []
-        self.first = [0]
-
-    def learn(self, chunks: list[str]) -> None:
-        """chunks: new and distinct."""
-        encoded = self.a.encode_batch([f" {c}" for c in chunks], add_special_tokens=False)
-        for chunk, e, b in zip(chunks, encoded, self.b.encode(chunks, num_threads=1)):
-            a, whole = e.ids, f" {chunk}".encode()
-            same = (
-                b"".join([self.bytes_a.get(i, b"\xff") for i in a]) == whole
-                and b"".join([self.bytes_b[i] for i in b]) == whole
-            )
-            groups, n_groups, links = align(a, b, self.bytes_a, self.bytes_b) if same else ("", 0, [])
-            self[chunk] = len(self.groups)
-            self.groups.append(groups)
-            self.numbers.append((len(a), len(b), n_groups, len(links), same))
-            known = self.place_of_pair
-            self.places += [known.setdefault(pair, len(known)) for pair in links]
-            self.first.append(len(self.places))
-        self.number_array = np.array(self.numbers, dtype=np.int64).reshape(-1, 5)
-        self.first_array = np.array(self.first, dtype=np.int64)
-        self.place_array = np.array(self.places, dtype=np.int64)
-        self.pair_array = np.array([a << 32 | b for a, b in self.place_of_pair], dtype=np.int64)
-
-    def of(self, chunks: list[str]) -> np.ndarray:
-        new = set(chunks) - self.keys()
-        if new and len(self) + len(new) > self.most:
-            self.forget()
-            new = set(chunks)
-        if new:
-            self.learn(list(new))
-        return np.fromiter(map(self.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        self.width = len(self.bytes_b)
+        self.sizes = [np.array([len(x) for x in data], dtype=np.int64) for data in (self.bytes_a, self.bytes_b)]
+        self.young: dict[str, Chunk] = {}
+        self.old: dict[str, Chunk] = {}
+
+    def of(self, chunks: list[str]) -> list[Chunk]:
+        """chunks: distinct."""
+        missing = []
+        for c in chunks:
+            if c not in self.young:
+                if c in self.old:
+                    self.young[c] = self.old[c]
+                else:
+                    missing.append(c)
+        if missing:
+            gc.disable()  # many small lists, none of them cyclic
+            try:
+                self.young.update(zip(missing, self.learn(missing)))
+            finally:
+                gc.enable()
+        found = [self.young[c] for c in chunks]
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return found
+
+    def learn(self, chunks: list[str]) -> list[Chunk]:
+        """Each chunk ends at a common byte, so all are aligned at once, end to end."""
+        a_ids = [e.ids for e in self.a.encode_batch_fast([f" {c}" for c in chunks], add_special_tokens=False)]
+        b_ids = self.b.encode(chunks, num_threads=1)
+        same = self.given_back(chunks, a_ids, b_ids)
+        if not all(same):
+            a_ids, b_ids = ([x if ok else [] for x, ok in zip(own, same)] for own in (a_ids, b_ids))
+        a, b = list(chain.from_iterable(a_ids)), list(chain.from_iterable(b_ids))
+        array_a, array_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        groups = align(*(np.cumsum(n[ids]).tolist() for n, ids in zip(self.sizes, (array_a, array_b))))
+        sizes = np.array([len(c.encode()) + 1 if ok else 0 for c, ok in zip(chunks, same)], dtype=np.int64)
+        to = np.searchsorted(groups.ends, np.cumsum(sizes), "right")
+        n_groups = np.diff(to, prepend=0)
+        last = np.zeros(len(groups.ends), dtype=bool)
+        last[to[n_groups > 0] - 1] = True
+        texts = iter(written(a, b, groups, last))
+        packed = (array_a[groups.link_a] * self.width + array_b[groups.link_b]).tobytes()
+        stops = (8 * np.concatenate([[0], np.cumsum(groups.links)])[to]).tolist()
+        return [
+            Chunk(len(x), len(y), n, next(texts) if n else "", packed[from_:stop], ok)
+            for x, y, n, from_, stop, ok in zip(a_ids, b_ids, n_groups.tolist(), [0, *stops], stops, same)
+        ]
+
+    def given_back(self, chunks: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> list[bool]:
+        """Whether the bytes of both token lists are the chunk's, with the space before it."""
+        whole = "".join([f" {c}" for c in chunks]).encode()
+        sizes = np.array([len(c.encode()) + 1 for c in chunks], dtype=np.int64)
+        same = np.ones(len(chunks), dtype=bool)
+        for own, data, lengths in zip((a_ids, b_ids), (self.bytes_a, self.bytes_b), self.sizes):
+            flat = list(chain.from_iterable(own))
+            if b"".join(map(data.__getitem__, flat)) == whole:
+                ends = np.concatenate([[0], np.cumsum(lengths[np.array(flat, dtype=np.int64)])])
+                if np.array_equal(ends[np.cumsum([len(x) for x in own])], np.cumsum(sizes)):
+                    continue
+            same &= [b"".join(map(data.__getitem__, x)) == f" {c}".encode() for c, x in zip(chunks, own)]
+        return same.tolist()
 
 
 class Block:
@@ -171,26 +247,36 @@ class Block:
 
     def add(self, ids: list, texts: list[str], known: Chunks) -> None:
         parts = [CHUNK_START.split(t) if t else [] for t in texts]
-        at = known.of([c for own in parts for c in own])
         lengths = np.array([len(own) for own in parts], dtype=np.int64)
+        flat = list(chain.from_iterable(parts))
+        place = {c: i for i, c in enumerate(dict.fromkeys(flat))}
+        chunks = known.of(list(place))
+        at = np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat))
         row = np.repeat(np.arange(len(texts)), lengths)
-        numbers = known.number_array[at] if len(at) else np.zeros((0, 5), dtype=np.int64)
-        fine = np.bincount(row, numbers[:, 4] == 0, len(texts)) == 0
-        totals = np.array([np.bincount(row, numbers[:, k], len(texts)) for k in range(4)]).astype(np.int64) * fine
-        ends, place = np.cumsum(lengths).tolist(), at.tolist()
+        pairs = np.frombuffer(b"".join([c.pairs for c in chunks]), dtype=np.int64)
+        n_links = np.array([len(c.pairs) // 8 for c in chunks], dtype=np.int64)
+        bad = np.array([not c.same for c in chunks], dtype=bool)
+        fine = np.bincount(row, bad[at] if len(at) else None, len(texts)) == 0
+        numbers = [np.array([getattr(c, name) for c in chunks], dtype=np.int64) for name in COUNTS[:3]]
+        totals = np.array([
+            np.bincount(row, n[at] if len(at) else None, len(texts)) for n in (*numbers, n_links)
+        ]).astype(np.int64) * fine
+        groups, ends, places = [c.groups for c in chunks], np.cumsum(lengths).tolist(), at.tolist()
         for i, doc in enumerate(ids):
-            text = ";".join([known.groups[c] for c in place[ends[i] - lengths[i] : ends[i]]]) if fine[i] else ""
-            digest = hashlib.sha256(text.encode()).hexdigest() if text else ""
+            own = places[ends[i] - lengths[i] : ends[i]]
+            digest = hashlib.sha256(";".join([groups[c] for c in own]).encode()).hexdigest() if own and fine[i] else ""
             self.rows.append((doc, *totals[:, i].tolist(), digest))
         if not len(at):
             self.sizes.append(np.zeros(len(texts), dtype=np.int64))
             return
-        first = known.first_array[at]
-        count = np.where(fine[row], known.first_array[at + 1] - first, 0)
+        count = np.where(fine[row], n_links[at], 0)
+        first = (np.cumsum(n_links) - n_links)[at]
         where = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        keys, times = np.unique(np.repeat(row, count) << 32 | known.place_array[where], return_counts=True)
-        self.sizes.append(np.bincount(keys >> 32, minlength=len(texts)))
-        self.pairs.append(known.pair_array[keys & 0xFFFFFFFF])
+        codes = pairs[where]
+        most = int(pairs.max(initial=0)) + 1
+        keys, times = np.unique(np.repeat(row, count) * most + codes, return_counts=True)
+        self.sizes.append(np.bincount(keys // most, minlength=len(texts)))
+        self.pairs.append(keys % most)
         self.times.append(times)
 
     def made(self, number: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -242,10 +328,10 @@ def aligned_blocks(
     )
 
 
-def rated_pairs(dictionaries: DataFrame) -> DataFrame:
+def rated_pairs(dictionaries: DataFrame, width: int) -> DataFrame:
     """pair, count (documents that hold it linked), best (none of its first id has more)."""
     counts = store(dictionaries.groupBy("pair").agg(F.sum("docs").alias("count")), "pair_counts")
-    first = F.shiftright("pair", 32)
+    first = F.expr(f"pair div {width}")
     highest = counts.groupBy(first.alias("first")).agg(F.max("count").alias("highest"))
     return counts.withColumn("first", first).join(F.broadcast(highest), "first").select(
         "pair", "count", (F.col("count") == F.col("highest")).alias("best")
@@ -274,14 +360,14 @@ def counted(documents: pa.Table, entries: pa.Table) -> pa.Table:
 
 def align_tokens(
     docs: DataFrame, file_a: str = BYTE_LEVEL, file_b: str = PIECES, doc_id: str = "doc_id", text: str = "text",
-    block: int = BLOCK, cached: int = 100_000,
+    block: int = BLOCK, cached: int = 200_000,
 ) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum of every row."""
     stored = store(aligned_blocks(docs, file_a, file_b, doc_id, text, block, cached), "aligned_blocks")
     dictionaries = stored.where("pairs IS NOT NULL").select(
         "block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("place", "entry")
     ).select("block", "place", F.col("entry.pairs").alias("pair"), F.col("entry.docs").alias("docs"))
-    rated = store(rated_pairs(dictionaries), "rated_pairs")
+    rated = store(rated_pairs(dictionaries, len(piece_bytes(file_b))), "rated_pairs")
     entries = dictionaries.join(rated, "pair").select(F.col("block").alias("of_block"), "place", "count", "best")
     rows = stored.where("pairs IS NULL").select("block", "doc_id", *COUNTS, "groups_sha256", "place", "times")
     kind = rows.schema["doc_id"].dataType.simpleString()

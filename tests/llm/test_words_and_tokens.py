@@ -231,11 +231,16 @@ def test_alignment_of_a_whole_table(spark):
 
 
 def test_groups_slice_both_lists():
-    data = {1: b"ab", 2: b"c", 3: b"defg", 4: b"a", 5: b"bcd", 6: b"ef", 7: b"g", 8: b"abc"}
-    assert alignment.align([1, 2, 3], [4, 5, 6, 7], data, data) == (
-        "1,2,3|4,5,6,7", 1, [(1, 4), (1, 5), (2, 5), (3, 5), (3, 6), (3, 7)],
+    def aligned(a, b, ends_a, ends_b):
+        found = alignment.align(ends_a, ends_b)
+        links = [(a[i], b[j]) for i, j in zip(found.link_a, found.link_b)]
+        return alignment.written(a, b, found, np.arange(len(found.ends)) == len(found.ends) - 1), links
+
+    assert aligned([1, 2, 3], [4, 5, 6, 7], [2, 3, 7], [1, 4, 6, 7]) == (
+        ["1,2,3|4,5,6,7"], [(1, 4), (1, 5), (2, 5), (3, 5), (3, 6), (3, 7)],
     )
-    assert alignment.align([1, 2, 3], [8, 3], data, data)[0] == "1,2|8;3|3"
+    assert aligned([1, 2, 3], [8, 3], [2, 3, 7], [3, 7]) == (["1,2|8;3|3"], [(1, 8), (2, 8), (3, 3)])
+    assert aligned([], [], [], []) == ([], [])
 
 
 def test_vocabulary_paths():
