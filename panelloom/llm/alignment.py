@@ -46,7 +46,8 @@ from panelloom.sources.storage import store
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_START = re.compile(r"(?<=\S) (?=\S)")
 MARK = "▁"
-BLOCK = 1 << 21
+BLOCK = 1 << 19
+SLICE = 1 << 20
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -311,7 +312,7 @@ def aligned_blocks(
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, open_ = Chunks(file_a, file_b, cached), Block()
         number = TaskContext.get().partitionId() << 32
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, SLICE):
             open_.add(batch.column(0).to_pylist(), batch.column(1).to_pylist(), known)
             if open_.entries() >= block:
                 yield from open_.made(number, batch.schema.field(0).type)
@@ -360,7 +361,7 @@ def counted(documents: pa.Table, entries: pa.Table) -> pa.Table:
 
 def align_tokens(
     docs: DataFrame, file_a: str = BYTE_LEVEL, file_b: str = PIECES, doc_id: str = "doc_id", text: str = "text",
-    block: int = BLOCK, cached: int = 200_000,
+    block: int = BLOCK, cached: int = 120_000,
 ) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum of every row."""
     stored = store(aligned_blocks(docs, file_a, file_b, doc_id, text, block, cached), "aligned_blocks")
