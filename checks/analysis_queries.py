@@ -13,7 +13,7 @@ from checks.star_panels import campaign_panel, inventory_panel, table
 from panelloom.functions.panel import ROW
 from panelloom.operators import deltas, risks, summaries
 from panelloom.operators.series import build_series, public_columns
-from panelloom.pack import ReportPack
+from panelloom.pack import ReportPack, Stage
 from panelloom.packs import campaigns, campaigns_texts, inventory, inventory_texts
 
 INV, CMP = inventory.PACK, campaigns.PACK
@@ -279,11 +279,28 @@ def campaign_dimensions(spark, sf_dir):
 
 
 # -- headline, counts, periods --------------------------------------------------
-def headline_sql(pack: ReportPack) -> str:
+# Headline figure, label, unit.
+INVENTORY_HEADLINE = (
+    ("toplam_ciro_tl", "Toplam Ciro", "TL"),
+    ("toplam_brut_kar_tl", "Brüt Kâr", "TL"),
+    ("ortalama_marj_yuzde", "Ağırlıklı Marj", "%"),
+    ("toplam_stok_degeri_tl", "Stokta Bağlı Sermaye", "TL"),
+    ("tukenen_urun_sayisi", "Stoğu Tükenen Ürün", "sayi"),
+)
+CAMPAIGN_HEADLINE = (
+    ("toplam_harcama_tl", "Toplam Harcama", "TL"),
+    ("toplam_gelir_tl", "Toplam Gelir", "TL"),
+    ("portfoy_roas", "Portföy ROAS", "oran"),
+    ("net_katki_tl", "Net Katkı", "TL"),
+    ("zarardaki_kampanya", "Zarardaki Kampanya", "sayi"),
+)
+
+
+def headline_sql(figures: tuple[tuple[str, str, str], ...]) -> str:
     parts = [
-        f"SELECT '{a.name}' AS metric, '{a.label}' AS label, CAST({a.name} AS DOUBLE) AS value, "
-        f"'{a.unit}' AS unit, donem AS period FROM last"
-        for a in pack.headline
+        f"SELECT '{name}' AS metric, '{label}' AS label, CAST({name} AS DOUBLE) AS value, "
+        f"'{unit}' AS unit, donem AS period FROM last"
+        for name, label, unit in figures
     ]
     last = ", last AS (SELECT * FROM totals WHERE donem = (SELECT max(donem) FROM totals))"
     body = " UNION ALL ".join(parts)
@@ -293,12 +310,12 @@ def headline_sql(pack: ReportPack) -> str:
     )
 
 
-@register("agg10_inventory_headline", INV_CHAIN + INV_TOTALS + headline_sql(INV))
+@register("agg10_inventory_headline", INV_CHAIN + INV_TOTALS + headline_sql(INVENTORY_HEADLINE))
 def inventory_headline(spark, sf_dir):
     return tidy(summaries.headline(series_of(INV, spark, sf_dir), INV))
 
 
-@register("agg10_campaign_headline", CMP_CHAIN + CMP_TOTALS + headline_sql(CMP))
+@register("agg10_campaign_headline", CMP_CHAIN + CMP_TOTALS + headline_sql(CAMPAIGN_HEADLINE))
 def campaign_headline(spark, sf_dir):
     return tidy(summaries.headline(series_of(CMP, spark, sf_dir), CMP))
 
@@ -347,9 +364,9 @@ def risk_query(name: str, pack: ReportPack, chain: str, code: str):
         return tidy(found.select(*RISK_COLUMNS))
 
 
-for _no, _rule in enumerate(INV.risks, 1):
+for _no, _rule in enumerate(INV.found_at(Stage.ENTITY), 1):
     risk_query(f"rsk{_no:02d}_{_rule.code.lower()}", INV, INV_RSK, _rule.code)
-for _no, _rule in enumerate(CMP.risks, 11):
+for _no, _rule in enumerate(CMP.found_at(Stage.ENTITY), 11):
     risk_query(f"rsk{_no:02d}_{_rule.code.lower()}", CMP, CMP_RSK, _rule.code)
 
 

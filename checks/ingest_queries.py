@@ -230,7 +230,19 @@ def campaign_imputation(spark, sf_dir):
     "HAVING count(DISTINCT donem) < (SELECT count(DISTINCT donem) FROM imputed)",
 )
 def gaps(spark, sf_dir):
-    return quality.period_gaps(imputed_rows(spark, sf_dir), INV)
+    return quality.period_gaps(imputed_rows(spark, sf_dir), INV).drop("missing")
+
+
+@register(
+    "qua01_missing_periods",
+    f"{IMPUTED}, every AS (SELECT DISTINCT donem FROM imputed), "
+    "named AS (SELECT DISTINCT stok_kodu FROM imputed) "
+    "SELECT stok_kodu, donem AS missing FROM named, every WHERE NOT EXISTS "
+    "(SELECT 1 FROM imputed i WHERE i.stok_kodu = named.stok_kodu AND i.donem = every.donem)",
+)
+def missing_periods(spark, sf_dir):
+    found = quality.period_gaps(imputed_rows(spark, sf_dir), INV)
+    return found.select("stok_kodu", F.explode("missing").alias("missing"))
 
 
 @register(
@@ -313,7 +325,9 @@ def campaign_violations(spark, sf_dir):
 )
 def spike_samples(spark, sf_dir):
     text = quality.sample_text(INV, ("stok_kodu", "donem", "maliyet_mom_yuzde"))
-    return quality.samples(checked_rows(spark, sf_dir), F.col("__bad_COST_SPIKE"), text, INV)
+    rules = {"COST_SPIKE": (F.col("__bad_COST_SPIKE"), text)}
+    found = quality.sample_lists(checked_rows(spark, sf_dir), rules, INV)
+    return found.select(F.explode("samples").alias("sample"))
 
 
 # -- files ----------------------------------------------------------------------
@@ -390,13 +404,16 @@ def csv_issues(spark, sf_dir):
     return quality_table(outcome).select("code", "severity", "action", "affected_rows")
 
 
-@register(
-    "qua07_08_health_report",
-    f"""{ISSUE_SQL}, penalty AS (
+PENALTY_SQL = """
   SELECT sum(CASE severity WHEN 'kritik' THEN 25 WHEN 'yuksek' THEN 12 WHEN 'orta' THEN 6
     WHEN 'dusuk' THEN 3 ELSE 1 END
     * CASE WHEN action IN ('onarildi', 'turetildi', 'silindi') THEN 0.4 ELSE 1 END) AS p,
-    count(*) AS issue_count FROM found)
+    count(*) AS issue_count FROM found"""
+
+
+@register(
+    "qua07_08_health_report",
+    f"""{ISSUE_SQL}, penalty AS ({PENALTY_SQL})
 SELECT (SELECT count(*) FROM typed) AS raw_row_count,
   (SELECT count(*) FROM checked WHERE complete) AS clean_row_count,
   (SELECT count(*) FROM checked WHERE NOT complete) AS quarantined_row_count,
@@ -408,6 +425,85 @@ def health_report(spark, sf_dir):
     return tidy(ingest(spark, write_export(spark, sf_dir)).report.drop("issues"))
 
 
+KEY_TEXT = "s.stok_kodu || ' / ' || s.donem"
+MONEY = "replace(format('{{:,.2f}}', {}), ',', ' ')"
+
+
+def figures(*names: str) -> str:
+    return "".join(f" || ' / ' || {MONEY.format(n)}" for n in names)
+
+
+@register(
+    "qua05_ingest_samples",
+    f"""{IMPUTED}, found AS (
+  SELECT 'DUPLICATE_KEY' AS code, stok_kodu, donem, {KEY_TEXT} || ' (' || variants::BIGINT || ' kayıt)' AS sample
+    FROM unique_rows s WHERE variants > 1
+  UNION ALL SELECT 'IMPUTATION_AMBIGUOUS', stok_kodu, donem,
+    {KEY_TEXT} || ': ileri=' || format('{{:.0f}}', fwd) || ' geri=' || format('{{:.0f}}', bwd)
+    FROM imputed s WHERE conflict
+  UNION ALL SELECT 'PERIOD_GAP', stok_kodu, NULL, stok_kodu || ': ' || count(*) || '/'
+    || (SELECT count(DISTINCT donem) FROM imputed) || ' dönem' FROM imputed GROUP BY stok_kodu
+    HAVING count(*) < (SELECT count(DISTINCT donem) FROM imputed)
+  UNION ALL SELECT 'ROW_QUARANTINED', stok_kodu, donem, {KEY_TEXT} FROM checked s WHERE NOT complete
+  UNION ALL SELECT 'RECONCILIATION_BREAK', stok_kodu, donem, {KEY_TEXT}{figures("gap")}
+    FROM rules s WHERE reconciliation
+  UNION ALL SELECT 'NEGATIVE_VALUE', stok_kodu, donem, {KEY_TEXT}{figures("donem_sonu_stok")}
+    FROM rules s WHERE negative
+  UNION ALL SELECT 'MARGIN_INVERSION', s.stok_kodu, s.donem,
+    {KEY_TEXT}{figures("birim_maliyet_tl", "birim_satis_tl")}
+    FROM rules s JOIN checked c ON c.stok_kodu = s.stok_kodu AND c.donem = s.donem WHERE inversion
+  UNION ALL SELECT 'COST_SPIKE', stok_kodu, donem, {KEY_TEXT}{figures("cost_change")} FROM rules s WHERE spike
+  UNION ALL SELECT 'INVALID_PERIOD_FORMAT', NULL, donem, donem FROM typed WHERE donem = 'OCAK-26' GROUP BY donem
+  UNION ALL SELECT 'UNKNOWN_COLUMNS', NULL, NULL, 'note' FROM typed GROUP BY ALL HAVING count(*) > 0)
+SELECT code, place, sample FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY stok_kodu, donem) - 1
+  AS place FROM found) WHERE place < 5""",
+)
+def ingest_samples(spark, sf_dir):
+    """The sample texts of every issue of an ingest, in order."""
+    issues = ingest(spark, write_export(spark, sf_dir)).issues
+    return issues.select("code", F.posexplode("samples").alias("place", "sample")).withColumn(
+        "place", F.col("place").cast("bigint")
+    )
+
+
+# -- files with line breaks in cells ----------------------------------------------
+BROKEN_NAME = "2. satır, \"özel\""
+
+
+def broken_cells(spark, sf_dir):
+    """Names that hold line breaks, quotes, inch marks or commas, as cells of a CSV file."""
+    panel = inventory_panel(spark, sf_dir)
+    kind = F.expr("(bigint(stok_kodu) + bigint(right(donem, 2))) % 4")
+    name = F.col("urun_adi")
+    cell = (
+        F.when(kind == 0, F.concat(F.lit('"'), name, F.lit("\n" + BROKEN_NAME.replace('"', '""') + '"')))
+        .when(kind == 1, F.concat(name, F.lit(' 5" boru')))
+        .when(kind == 2, F.concat(F.lit('"'), name, F.lit(', A"')))
+        .otherwise(name)
+    )
+    return panel.select("stok_kodu", "donem", "donem_sonu_stok", cell.alias("cell"))
+
+
+@register(
+    "src01_quoted_breaks",
+    f"{sql.chain(sql.INVENTORY_PANEL)} SELECT stok_kodu, CASE (stok_kodu::BIGINT + right(donem, 2)::BIGINT) % 4 "
+    f"WHEN 0 THEN urun_adi || chr(10) || '{BROKEN_NAME}' WHEN 1 THEN urun_adi || ' 5\" boru' "
+    "WHEN 2 THEN urun_adi || ', A' ELSE urun_adi END AS urun_adi, donem FROM panel",
+)
+def quoted_breaks(spark, sf_dir):
+    """Eight files whose cells hold line breaks and stray inch marks, read block by block."""
+    cells = broken_cells(spark, sf_dir)
+    part = F.pmod(F.xxhash64("stok_kodu", "donem"), F.lit(8)).alias("part")
+    lines = cells.select(part, F.concat_ws(",", "stok_kodu", "cell", "donem").alias("line"), F.lit(1).alias("place"))
+    heads = spark.range(8).select(
+        F.col("id").alias("part"), F.lit("stok_kodu,urun_adi,donem").alias("line"), F.lit(0).alias("place")
+    )
+    path = new_path(spark, "broken_lines")
+    ordered = lines.union(heads).repartition("part").sortWithinPartitions("part", "place")
+    ordered.select("part", "line").write.partitionBy("part").text(path)
+    return csv_scan.scan_csv(spark, f"{path}/*").rows.drop(csv_scan.SEQ)
+
+
 # -- encoding -------------------------------------------------------------------
 def turkish_names(spark, sf_dir):
     names = inventory_panel(spark, sf_dir).select(
@@ -422,33 +518,61 @@ def to_mojibake(x: str) -> str:
     return f"translate({as_latin}, '{enc.CONTROLS}', '{enc.CP1252_CHARS}')"
 
 
+def encodings() -> dict[str, tuple[str, str]]:
+    """kind of file -> (its text of a name, the writer's encoding)."""
+    legacy = f"translate(ad, '{enc.TURKISH_SIX}', '{enc.LATIN1_SIX}')"
+    kinds = {
+        "utf8": ("ad", "UTF-8"),
+        "cp1254": (legacy, "ISO-8859-1"),
+        "mojibake": (to_mojibake("ad"), "UTF-8"),
+        "mixed": (f"IF(donem < '1998', ad, {to_mojibake('ad')})", "UTF-8"),
+    }
+    return kinds
+
+
+def write_encodings(spark, sf_dir, folder: str) -> str:
+    """Three files of each kind; folder: where those of a kind go, below a new path."""
+    names, root = turkish_names(spark, sf_dir).repartition(3), new_path(spark, "encodings")
+    for kind, (text, charset) in encodings().items():
+        shown = names.selectExpr(f"{text} AS ad", "donem").write.mode("append").option("header", True)
+        shown.option("encoding", charset).csv(f"{root}/{folder.format(kind=kind)}")
+    return root
+
+
 @register(
     "src06_encoding_audit",
-    f"{sql.chain(sql.INVENTORY_PANEL)} SELECT kind, (SELECT count(*) + 1 FROM panel) AS lines, "
+    f"{sql.chain(sql.INVENTORY_PANEL)} SELECT kind, (SELECT count(*) FROM panel) AS rows, 3 AS files, "
     "encoding, verdict FROM (VALUES ('utf8', 'utf-8-sig', 'clean'), ('cp1254', 'cp1254', 'clean'), "
     "('mojibake', 'utf-8-sig', 'repaired'), ('mixed', 'utf-8-sig', 'suspect')) "
     "t(kind, encoding, verdict)",
 )
 def encoding_audit(spark, sf_dir):
     """Files in UTF-8, in CP1254, repairable and damaged beyond repair, told apart."""
-    names = turkish_names(spark, sf_dir)
-    legacy = f"translate(ad, '{enc.TURKISH_SIX}', '{enc.LATIN1_SIX}')"
-    kinds = {
-        "utf8": ("ad", "UTF-8"),
-        "cp1254": (legacy, "ISO-8859-1"),
-        "mojibake": (to_mojibake("ad"), "UTF-8"),
-        "mixed": (f"IF(donem < '1998', ad, {to_mojibake('ad')})", "UTF-8"),
-    }
-    root = new_path(spark, "encodings")
-    for kind, (text, charset) in kinds.items():
-        shown = names.selectExpr(f"{text} AS ad", "donem").coalesce(1)
-        shown.write.option("header", True).option("encoding", charset).csv(f"{root}/{kind}")
-    audit = csv_scan.audit_files(spark, [f"{root}/{k}" for k in kinds])
-    return audit.selectExpr(
-        "regexp_extract(file, '/([a-z0-9]+)/[^/]*$', 1) AS kind", "lines", "encoding", "verdict"
+    root = write_encodings(spark, sf_dir, "{kind}")
+    audit = csv_scan.audit_files(spark, [f"{root}/{k}" for k in encodings()])
+    kind = F.regexp_extract("file", "/([a-z0-9]+)/[^/]*$", 1).alias("kind")
+    return audit.groupBy(kind, "encoding", "verdict").agg(
+        (F.sum("lines") - F.count(F.lit(1))).alias("rows"), F.count(F.lit(1)).alias("files")
     )
 
 
+PLACE = "Döşemelik Ağır İş "
+
+
+@register(
+    "src06_mixed_folder",
+    f"{sql.chain(sql.INVENTORY_PANEL)}, named AS (SELECT '{PLACE}' || urun_adi AS ad, "
+    f"CASE WHEN donem < '1998' THEN '{PLACE}' ELSE '{PLACE.encode().decode('cp1252')}' END || urun_adi AS kept, donem "
+    "FROM panel), files AS (SELECT ad, donem FROM named UNION ALL SELECT ad, donem FROM named "
+    "UNION ALL SELECT ad, donem FROM named UNION ALL SELECT kept, donem FROM named) "
+    "SELECT ad, donem, count(*) AS n FROM files GROUP BY ALL",
+)
+def mixed_folder(spark, sf_dir):
+    """Twelve files of four kinds in one folder, read by one scan."""
+    scan = csv_scan.scan_csv(spark, f"{write_encodings(spark, sf_dir, 'all')}/all")
+    return scan.rows.groupBy("ad", "donem").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("src07_mojibake_repair")
 def mojibake_repair(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import analysis_queries as aq, oracle_panels as sql
+from checks.ingest_queries import ISSUE_SQL, PENALTY_SQL, write_export
 from checks.shape import NUDGE, rounded, tidy
 from checks.star_panels import campaign_panel, inventory_panel, table
 from panelloom.functions.text import fold_name
 from panelloom.operators import call_log, grounding
+from panelloom.pack import Stage
 from panelloom.packs import campaigns, inventory
 from panelloom.plans import results
 from panelloom.plans.analyze import analyze
+from panelloom.plans.ingest import ingest
 from panelloom.sources import ledger
 from panelloom.sources.storage import new_path
 
@@ -327,6 +330,55 @@ def not_ingested(spark, sf_dir):
     return ledger.not_ingested(candidates, rows)
 
 
+def merged_sql(digest: str) -> str:
+    parts = ", ".join(f"sum(('0x' || substr({digest}, {at}, 16))::UBIGINT::HUGEINT)" for at in ledger.PARTS)
+    return f"sha256(concat_ws('-', {parts}))"
+
+
+@register(
+    "src10_content_digest",
+    "WITH lines AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, "
+    "generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), "
+    "hashed AS (SELECT source, sha256(doc_id || '/' || i || ':' || line) AS h FROM lines) "
+    f"SELECT source, count(*) AS lines, {merged_sql('h')} AS digest FROM hashed GROUP BY source",
+)
+def content_digests(spark, sf_dir):
+    """What the lines of all documents of a source are, in their order, whatever the partitions."""
+    lines = table(spark, sf_dir, "documents").select(
+        "source", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")
+    )
+    place = F.concat_ws("/", "doc_id", "i")
+    return lines.groupBy("source").agg(
+        F.count(F.lit(1)).alias("lines"),
+        ledger.merged(ledger.line_digest(place, F.col("line"))).alias("digest"),
+    )
+
+
+@register(
+    "src10_src12_recorded_ingest",
+    f"""{ISSUE_SQL}, penalty AS ({PENALTY_SQL})
+SELECT kind, '{INV.key}' AS pack_key, (SELECT count(*) FROM typed) AS raw_row_count,
+  (SELECT count(*) FROM checked WHERE complete) AS clean_row_count,
+  (SELECT count(*) FROM checked WHERE NOT complete) AS quarantined_row_count,
+  CAST(greatest(0, least(100, round_even(100 - p, 0))) AS BIGINT) AS health_score, again, n_issues
+FROM (SELECT p, issue_count AS n_issues FROM penalty), (VALUES ('first', 0), ('second', 1)) t(kind, again)""",
+)
+def recorded_ingest(spark, sf_dir):
+    """Two uploads of one export in the ledger of a real ingest, told to be the same content."""
+    path, store = write_export(spark, sf_dir), new_path(spark, "ledger")
+    outcome, ids = ingest(spark, path), {}
+    candidate = ledger.content_digest(spark, path).select("content_hash", F.lit(INV.key).alias("pack_key"))
+    for kind in ("first", "second"):
+        known = ids and ledger.not_ingested(candidate, ledger.read(spark, store)).isEmpty()
+        ids[results.record_dataset(outcome, path, f"{kind}.csv", store)] = (kind, int(bool(known)))
+    names = spark.createDataFrame([(i, *k) for i, k in ids.items()], "dataset_id string, kind string, again bigint")
+    issues = F.size(F.from_json(F.get_json_object("quality_json", "$.issues"), "array<string>"))
+    rows = ledger.read(spark, store).join(names, "dataset_id").withColumn("n_issues", issues)
+    return tidy(rows.select(
+        "kind", "pack_key", "raw_row_count", "clean_row_count", "quarantined_row_count", "health_score", "again", "n_issues"
+    ))
+
+
 # -- user-facing tables ---------------------------------------------------------
 def analysed(spark, sf_dir):
     return analyze(inventory_panel(spark, sf_dir), INV)
@@ -382,7 +434,7 @@ def entity_rows(spark, sf_dir):
 def column_sql() -> str:
     texts = [("stok_kodu", "Kod", ""), ("urun_adi", "Ad", "")]
     texts += [("kategori", "Kategori", ""), ("depo", "Depo", "")]
-    texts += [(a.name, a.label, a.unit) for a in INV.entity_aggregates if not a.internal]
+    texts += [(a.name, *INV.describe(a.name)) for a in INV.at(Stage.ENTITY) if a.name not in INV.hidden]
     return " UNION ALL ".join(
         f"SELECT {i} AS position, '{n}' AS name, '{label}' AS label, '{unit}' AS unit, "
         f"count({n}) AS filled FROM entities"

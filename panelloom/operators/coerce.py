@@ -6,35 +6,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelloom.functions.numbers import read_numbers
 from panelloom.functions.text import blank_to_null
-from panelloom.model import DECIMAL, INTEGER, SchemaMismatchError
+from panelloom.model import SchemaMismatchError
 from panelloom.pack import ReportPack
 
 
 def map_columns(rows: DataFrame, pack: ReportPack, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rename to the pack's columns and drop the rest; missing required ones raise."""
-    mapping, missing = pack.resolve_headers([c for c in rows.columns if c not in keep])
-    if missing:
+    match = pack.match_headers([c for c in rows.columns if c not in keep])
+    if match.missing:
         raise SchemaMismatchError(
-            f"required columns missing: {', '.join(missing)}",
-            missing_columns=missing,
+            f"required columns missing: {', '.join(match.missing)}",
+            missing_columns=match.missing,
             found_columns=[c for c in rows.columns if c not in keep],
             expected_pack=pack.key,
         )
-    named = [F.col("`" + h.replace("`", "``") + "`").alias(n) for h, n in mapping.items()]
+    named = [F.col("`" + h.replace("`", "``") + "`").alias(n) for h, n in match.columns.items()]
     return rows.select(*named, *keep)
 
 
 def unknown_columns(headers, pack: ReportPack) -> list[str]:
-    mapping, _ = pack.resolve_headers(headers)
-    return [h for h in headers if h not in mapping]
+    """Headers that give no column: unknown ones and repeated ones, in order."""
+    unused = set(pack.match_headers(headers).unused)
+    return [h for h in headers if h in unused]
 
 
 def coerce(rows: DataFrame, pack: ReportPack) -> DataFrame:
     """Clean text, read numbers in any accepted spelling; unreadable becomes null."""
-    present = [c for c in pack.columns if c.name in rows.columns]
-    cleaned = rows.withColumns({c.name: blank_to_null(F.col(c.name)) for c in present})
-    types = {DECIMAL: "double", INTEGER: "bigint"}
-    return read_numbers(cleaned, {c.name: types[c.kind] for c in present if c.is_number})
+    present = [f for f in pack.schema if f.name in rows.columns]
+    cleaned = rows.withColumns({f.name: blank_to_null(F.col(f.name)) for f in present})
+    return read_numbers(cleaned, {f.name: f.dataType.simpleString() for f in present if f.name in pack.measures})
 
 
 def missing_counts(pack: ReportPack, columns) -> dict[str, Column]:

@@ -8,7 +8,7 @@ from panelloom.functions.panel import CHANGE, SEEN_LABEL, SEEN_PERIOD
 from panelloom.functions.text import quoted
 from panelloom.model import METRIC_VALUE
 from panelloom.operators.summaries import periods
-from panelloom.pack import ReportPack
+from panelloom.pack import ReportPack, Stage
 
 
 def metric_value(name: str, label: str, value: str, unit: str, entity: str, period: str) -> str:
@@ -83,7 +83,7 @@ def period_deltas(
     Every side has one row per period before the joins.
     """
     metrics = []
-    for a in pack.period_aggregates:
+    for a in pack.at(Stage.PERIOD):
         label, unit = pack.describe(a.name)
         item = metric_value(a.name, label, f"`{a.name}`", unit, "NULL", "NULL")
         metrics.append(f"CASE WHEN `{a.name}` IS NOT NULL THEN {item} END")

@@ -6,13 +6,13 @@ import logging
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelloom.functions.panel import Panel
 from panelloom.functions.text import sample_sql
 from panelloom.model import RESOLVED_ACTIONS, RESOLVED_FACTOR, severity_rank, severity_weight
 from panelloom.operators.impute import FLAG
-from panelloom.pack import ReportPack
+from panelloom.pack import ReportPack, Stage
 
 log = logging.getLogger(__name__)
 
@@ -28,17 +28,63 @@ def quarantine(panel: DataFrame, pack: ReportPack) -> tuple[DataFrame, DataFrame
     return panel.filter(complete), panel.filter(~complete)
 
 
+#: Periods of one bitmap word.
+WORD = 64
+
+
+def period_number(period: Column) -> Column:
+    """YYYY-MM as YYYYMM, so that a year's months lie in one or two bitmap words."""
+    return F.replace(period, F.lit("-"), F.lit("")).cast("long")
+
+
+def period_bitmaps(panel: DataFrame, pack: ReportPack, *keys: str) -> DataFrame:
+    """keys, word, bits: the periods present, as 64-bit words merged map-side by a bitwise or."""
+    number = period_number(F.col(pack.period))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (number % WORD).cast("int"))
+    return panel.groupBy(*keys, F.floor(number / WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
 def period_gaps(panel: DataFrame, pack: ReportPack) -> DataFrame:
-    """Entities seen in fewer periods than the whole panel, when it has at least two.
+    """entity, periods, all_periods, missing of entities with fewer periods than the whole panel.
 
-    One row per (entity, period) makes the row count the period count; a null
-    period counts as one. The global count is a scalar subquery, not a join.
+    One exchange over (entity, word), whose rows are small and hold up to 64 periods each; the
+    second, by entity, moves only those. `missing` lists the absent periods in order. A null
+    period counts as one and has no name in the list. Panels of one period have no gaps.
     """
-    distinct = panel.select(pack.period).distinct().agg(F.count(F.lit(1))).scalar()
-    per_entity = panel.groupBy(pack.entity).agg(F.count(F.lit(1)).alias("periods"))
-    return per_entity.withColumn("all_periods", distinct).filter(
+    e, p = pack.entity, pack.period
+    own = period_bitmaps(panel, pack, e)
+    # a panel has as many words as it has decades, whatever the number of rows
+    every = own.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = F.sort_array(F.collect_list(F.struct("word", "bits")))
+    all_words = every.agg(words).scalar()
+    per_entity = own.groupBy(e).agg(F.sum(count_of("word", "bits")).alias("periods"), words.alias("own_words"))
+    listed = per_entity.withColumn("all_words", all_words)
+    total = F.aggregate("all_words", F.lit(0).cast("long"), lambda n, w: n + count_of(w["word"], w["bits"]))
+    gaps = listed.withColumn("all_periods", total).filter(
         (F.col("all_periods") >= 2) & (F.col("periods") < F.col("all_periods"))
     )
+    found = F.map_from_entries("own_words")
+
+    def absent(w: Column) -> Column:
+        seen = F.coalesce(F.try_element_at(found, w["word"]), F.lit(0).cast("long"))
+        left = w["bits"].bitwiseAND(F.bitwise_not(seen))
+        places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(left, i) == 1)
+        return F.transform(places, lambda i: F.lpad((w["word"] * WORD + i).cast("string"), 6, "0"))
+
+    named = F.filter("all_words", lambda w: w["word"].isNotNull())
+    own_named = F.filter("own_words", lambda w: w["word"].isNotNull())
+    gaps = gaps.withColumn("own_words", own_named)
+    missing = F.flatten(F.transform(named, absent))
+    return gaps.select(
+        e, "periods", "all_periods",
+        F.transform(missing, lambda m: F.concat(F.left(m, F.lit(4)), F.lit("-"), F.right(m, F.lit(2)))).alias("missing"),
+    )
+
+
+def count_of(word: str | Column, bits: str | Column) -> Column:
+    """Periods in a bitmap word; that of rows without a period counts as one."""
+    word, bits = (F.col(x) if isinstance(x, str) else x for x in (word, bits))
+    return F.when(word.isNull(), F.lit(1)).otherwise(F.bit_count(bits)).cast("long")
 
 
 def suppressed(panel: Panel, columns) -> Column:
@@ -58,8 +104,8 @@ def with_violations(series: DataFrame, pack: ReportPack, panel: Panel | None = N
     p = panel or pack.panel
     series = series.withColumn("__exempt", suppressed(p, series.columns))
     rules = {
-        f"__bad_{r.code}": F.coalesce(r.violated(p) & ~F.col("__exempt"), F.lit(False))
-        for r in pack.integrity
+        f"__bad_{r.code}": F.coalesce(r.holds(p) & ~F.col("__exempt"), F.lit(False))
+        for r in pack.found_at(Stage.WINDOW)
     }
     try:
         return series.withColumns(rules)
@@ -94,22 +140,31 @@ def violation_counts(checked: DataFrame) -> DataFrame:
 
 def sample_text(pack: ReportPack, names) -> Column:
     """Cells joined by " / ", numbers with two decimals."""
-    parts = [sample_sql(n, is_number=n not in text_columns(pack)) for n in names]
+    texts = set(pack.schema.names) - set(pack.measures)
+    parts = [sample_sql(n, is_number=n not in texts) for n in names]
     return F.expr(f"concat_ws(' / ', {', '.join(parts)})")
 
 
-def text_columns(pack: ReportPack) -> set[str]:
-    return {c.name for c in pack.columns if not c.is_number}
+def sample_lists(
+    frame: DataFrame, rules: dict[str, tuple[Column, Column]], pack: ReportPack, *others: DataFrame, n: int = 5
+) -> DataFrame:
+    """rule, samples: the first n offending rows of every rule in (entity, period) order, as texts.
 
-
-def samples(frame: DataFrame, condition: Column, text: Column, pack: ReportPack, n: int = 5):
-    """First n offending rows in (entity, period) order, as text."""
-    return (
-        frame.filter(condition)
-        .orderBy(pack.entity, pack.period)
-        .limit(n)
-        .select(text.alias("sample"))
-    )
+    rules: name -> (condition, text). others: more rows (rule, entity, period, sample). All lists
+    come from one pass: rows are exploded to the rules they offend, and the ranking's limit runs
+    in each task before the exchange, so n rows per rule and task travel.
+    """
+    parts = list(others)
+    if rules:
+        hits = [F.when(c, F.struct(F.lit(name).alias("rule"), t.alias("sample"))) for name, (c, t) in rules.items()]
+        place = F.col(pack.entity).alias("entity"), F.col(pack.period).alias("period")
+        exploded = frame.select(*place, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+        parts.insert(0, exploded.select("hit.rule", "entity", "period", "hit.sample"))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    first = W.partitionBy("rule").orderBy("entity", "period")
+    ranked = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n)
+    listed = F.sort_array(F.collect_list(F.struct("rank", "sample")))
+    return ranked.groupBy("rule").agg(F.transform(listed, lambda r: r["sample"]).alias("samples"))
 
 
 def ordered_issues(issues: DataFrame) -> DataFrame:

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelloom.functions.text import quoted
+from panelloom.functions.text import quoted, render
 from panelloom.model import severity_rank
 from panelloom.operators.quality import usable
-from panelloom.pack import ReportPack, RiskRule
+from panelloom.pack import Condition, ReportPack, Stage
 
 
-def evidence_of(rule: RiskRule, pack: ReportPack) -> Column:
+def evidence_of(rule: Condition, pack: ReportPack) -> Column:
     """The rule's non-null metrics as an array of metric values."""
     items = []
-    for name in rule.evidence:
+    for name in rule.shows:
         label, unit = pack.describe(name)
         items.append(
             f"CASE WHEN `{name}` IS NOT NULL THEN named_struct('metric', '{name}', "
@@ -26,47 +24,42 @@ def evidence_of(rule: RiskRule, pack: ReportPack) -> Column:
     return F.expr(f"array_compact(array({', '.join(items)}))")
 
 
-def matches(pack: ReportPack) -> list[Column]:
-    """Per rule, whether it holds for an entity-summary row; null counts as no."""
-    return [rule.when(pack.panel) for rule in pack.risks]
-
-
-def finding(rule: RiskRule, order: int, pack: ReportPack) -> Column:
-    impact = rule.impact(pack.panel) if rule.impact else F.lit(None)
-    first_seen = f"string(`{rule.first_seen}`)" if rule.first_seen else "string(NULL)"
+def finding(rule: Condition, order: int, pack: ReportPack) -> Column:
+    title, template, recommendation = pack.wording.findings[rule.code]
+    impact = rule.worth(pack.panel) if rule.worth else F.lit(None)
+    first_seen = f"string(`{rule.since}`)" if rule.since else "string(NULL)"
+    narrative = rule.tells(pack.panel) if rule.tells else render(template)
     return F.struct(
         F.expr(f"{order} AS rule_no"),
         F.expr(f"{quoted(rule.code)} AS code"),
-        F.expr(f"{quoted(rule.title)} AS title"),
+        F.expr(f"{quoted(title)} AS title"),
         F.expr(f"{quoted(rule.severity)} AS severity"),
-        rule.narrative(pack.panel).alias("narrative"),
-        F.expr(f"{quoted(rule.recommendation)} AS recommendation"),
+        narrative.alias("narrative"),
+        F.expr(f"{quoted(recommendation)} AS recommendation"),
         evidence_of(rule, pack).alias("evidence"),
         impact.cast("double").alias("financial_impact_tl"),
         F.expr(f"{first_seen} AS first_seen_period"),
     )
 
 
-def usable_rules(entities: DataFrame, pack: ReportPack) -> ReportPack:
-    """The pack without the rules the summary cannot evaluate; those are logged.
+def usable_rules(entities: DataFrame, pack: ReportPack) -> list[tuple[Condition, Column]]:
+    """The pack's rules with whether they hold for an entity-summary row; null counts as no.
 
-    Dropping such a rule silently would read as "no risk".
+    Those the summary cannot evaluate are logged: dropping one silently would read as "no risk".
     """
+    rules = [(rule, rule.holds(pack.panel)) for rule in pack.found_at(Stage.ENTITY)]
     try:
-        entities.select(*matches(pack))
-        return pack
+        entities.select(*[holds for _, holds in rules])
+        return rules
     except AnalysisException:
-        kept = usable(entities, {r.code: r.when(pack.panel) for r in pack.risks})
-        return replace(pack, risks=tuple(r for r in pack.risks if r.code in kept))
+        kept = usable(entities, {rule.code: holds for rule, holds in rules})
+        return [(rule, holds) for rule, holds in rules if rule.code in kept]
 
 
 def risk_table(entities: DataFrame, pack: ReportPack) -> DataFrame:
     """One row per (entity, matching rule), from a single pass over the summary."""
-    pack = usable_rules(entities, pack)
-    hits = [
-        F.when(holds, finding(rule, order, pack))
-        for order, (rule, holds) in enumerate(zip(pack.risks, matches(pack)))
-    ]
+    rules = usable_rules(entities, pack)
+    hits = [F.when(holds, finding(rule, order, pack)) for order, (rule, holds) in enumerate(rules)]
     dims = ", ".join(f"'{d}', coalesce(`{d}`, '')" for d in pack.dimensions)
     exploded = entities.select(
         F.expr(f"`{pack.entity}` AS entity"),
@@ -79,10 +72,9 @@ def risk_table(entities: DataFrame, pack: ReportPack) -> DataFrame:
 
 def risk_onsets(entities: DataFrame, pack: ReportPack) -> DataFrame:
     """(code, first_seen_period) of every finding: the risk table without its texts."""
-    pack = usable_rules(entities, pack)
     hits = []
-    for rule, holds in zip(pack.risks, matches(pack)):
-        seen = f"string(`{rule.first_seen}`)" if rule.first_seen else "string(NULL)"
+    for rule, holds in usable_rules(entities, pack):
+        seen = f"string(`{rule.since}`)" if rule.since else "string(NULL)"
         item = F.expr(f"named_struct('code', {quoted(rule.code)}, 'first_seen_period', {seen})")
         hits.append(F.when(holds, item))
     return entities.select(F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("hit.*")
@@ -145,8 +137,8 @@ def prioritised_entities(entities: DataFrame, pack: ReportPack, n: int = 40) ->
     An entity is risky if any rule matches its own summary row, so no join with
     the risk table is needed.
     """
-    pack = usable_rules(entities, pack)
-    risky = F.exists(F.array(*matches(pack)), lambda holds: F.coalesce(holds, F.lit(False)))
+    rules = usable_rules(entities, pack)
+    risky = F.exists(F.array(*[holds for _, holds in rules]), lambda holds: F.coalesce(holds, F.lit(False)))
     return (
         entities.withColumn("risky", risky).orderBy(F.desc("risky"), F.asc(pack.entity)).limit(n)
     )

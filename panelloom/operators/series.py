@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from panelloom.functions.panel import CHANGE, ROW, ROWS, SEEN_LABEL, SEEN_PERIOD, Panel
-from panelloom.pack import ReportPack
+from panelloom.pack import ReportPack, Stage
 
 
 def build_series(frame: DataFrame, pack: ReportPack, panel: Panel | None = None) -> DataFrame:
@@ -17,25 +17,23 @@ def build_series(frame: DataFrame, pack: ReportPack, panel: Panel | None = None)
     shuffled by entity again for it.
     """
     p = panel or pack.panel
-    for metric in pack.metrics:
-        if not metric.window:
-            frame = frame.withColumn(metric.name, metric.build(p))
+    for metric in pack.at(Stage.ROW):
+        frame = frame.withColumn(metric.name, metric.build(p))
     frame = frame.withColumns(
         {
             ROW: F.row_number().over(p.history) - 1,
             ROWS: F.count(F.lit(1)).over(p.whole),
         }
     )
-    for metric in pack.metrics:
-        if metric.window:
-            frame = frame.withColumn(metric.name, metric.build(p))
+    for metric in pack.at(Stage.WINDOW):
+        frame = frame.withColumn(metric.name, metric.build(p))
     trend = F.col(pack.trend_column)
     return frame.withColumns(
         {
             SEEN_PERIOD: p.previous(F.col(pack.period)),
             SEEN_LABEL: p.previous(F.col(pack.label)),
             CHANGE: trend - p.previous(trend),
-            **{h.name: h.build(p) for h in pack.helpers},
+            **{h.name: h.build(p) for h in pack.at(Stage.HELPER)},
         }
     )
 

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelloom.pack import ReportPack
+from panelloom.pack import ReportPack, Stage
 
 
 def period_totals(series: DataFrame, pack: ReportPack) -> DataFrame:
     """One row per period with the pack's period aggregates."""
-    p = pack.panel
-    return series.groupBy(pack.period).agg(
-        *[a.build(p).alias(a.name) for a in pack.period_aggregates]
-    )
+    return series.groupBy(pack.period).agg(*pack.columns_at(Stage.PERIOD))
 
 
 def period_summary(series: DataFrame, pack: ReportPack) -> DataFrame:
@@ -24,7 +21,7 @@ def period_summary(series: DataFrame, pack: ReportPack) -> DataFrame:
     totals = period_totals(series, pack)
     over_time = Window.orderBy(pack.period)
     deltas: dict[str, Column] = {}
-    for a in pack.period_aggregates:
+    for a in pack.at(Stage.PERIOD):
         now = F.col(a.name)
         before = F.lag(now).over(over_time)
         deltas[f"{a.name}_delta"] = now - before
@@ -56,7 +53,7 @@ def entity_summary(series: DataFrame, pack: ReportPack) -> DataFrame:
             F.avg(x).alias("trend_mean"),
             p.tail_mean(x, 3).alias("trend_last3"),
         ]
-    measures += [a.build(p).alias(a.name) for a in pack.entity_aggregates]
+    measures += pack.columns_at(Stage.ENTITY)
     summary = series.groupBy(pack.entity).agg(*measures)
     return with_trend(summary) if trend else summary
 
@@ -79,7 +76,6 @@ def dimension_summary(series: DataFrame, pack: ReportPack) -> DataFrame:
     One pass over the series: a grouping set per dimension instead of one scan
     each; rows are combined map-side before the exchange.
     """
-    p = pack.panel
     dims = pack.dimensions
     # A grouping set nulls the keys it leaves out, so the keys are copies.
     keys = {f"__dim_{d}": F.col(d) for d in dims}
@@ -89,7 +85,7 @@ def dimension_summary(series: DataFrame, pack: ReportPack) -> DataFrame:
         .groupingSets(sets, *[F.col(k) for k in keys], F.col(pack.period))
         .agg(
             *[F.grouping(F.col(k)).alias(f"{k}_out") for k in keys],
-            *[a.build(p).alias(a.name) for a in pack.dimension_aggregates],
+            *pack.columns_at(Stage.DIMENSION),
         )
     )
     name = F.coalesce(*[F.when(F.col(f"__dim_{d}_out") == 0, F.lit(d)) for d in dims])
@@ -98,14 +94,14 @@ def dimension_summary(series: DataFrame, pack: ReportPack) -> DataFrame:
         name.alias("dimension"),
         value.alias("dimension_value"),
         pack.period,
-        *[a.name for a in pack.dimension_aggregates],
+        *[a.name for a in pack.at(Stage.DIMENSION)],
     )
 
 
 def headline(series: DataFrame, pack: ReportPack) -> DataFrame:
     """The headline aggregates of the last period as metric rows, nulls left out."""
     totals = period_totals(series, pack)
-    names = [a.name for a in pack.headline]
+    names = list(pack.headline)
     last = totals.agg(
         F.max(pack.period).alias("period"),
         *[F.max_by(F.col(n).cast("double"), F.col(pack.period)).alias(n) for n in names],

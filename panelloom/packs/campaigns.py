@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 from pyspark.sql.functions import col
 
-from panelloom.functions.panel import c, safe_ratio, total
+from panelloom.functions.panel import Panel, c, safe_ratio, total
 from panelloom.functions.text import number, render
-from panelloom.pack import Aggregate, ImputationRule, IntegrityRule, Metric, ReportPack, RiskRule
+from panelloom.pack import Condition, Fill, ReportPack, Stage, Wording, named_at, source_column
 from panelloom.packs import campaigns_texts as texts
-from panelloom.packs.tables import read_columns, read_labels
 
 # Thresholds.
 LOSS_ROAS = 1.0
@@ -105,33 +104,31 @@ DIMENSION_AGGREGATES = {
 }
 
 
-def median_rule(code, target):
-    title, detail = texts.IMPUTATION[target]
-    return ImputationRule(code, title, target, lambda p: p.own_median(col(target)), detail)
+def median_fill(code, target):
+    return Fill(target, code, lambda p: p.own_median(col(target)))
 
 
-IMPUTATION = (median_rule("IMPUTED_SPEND", "harcama_tl"),) + tuple(
-    median_rule("IMPUTED_METRICS", target)
-    for target in ("gosterim", "tiklama", "frekans", "donusum", "gelir_tl")
+FILLS = (
+    median_fill("IMPUTED_SPEND", "harcama_tl"),
+    *[median_fill("IMPUTED_METRICS", t) for t in ("gosterim", "tiklama", "frekans", "donusum", "gelir_tl")],
 )
 
 
-def integrity(code, severity, violated, *sample):
-    title, detail = texts.INTEGRITY[code]
-    return IntegrityRule(code, title, severity, violated, detail, ("kampanya_id", "donem", *sample))
+def check(code, severity, violated, *sample):
+    return Condition(Stage.WINDOW, code, severity, violated, ("kampanya_id", "donem", *sample))
 
 
-INTEGRITY = (
-    integrity(
+CHECKS = (
+    check(
         "CLICKS_EXCEED_IMPRESSIONS", "kritik", lambda p: c.tiklama > c.gosterim, "tiklama", "gosterim"
     ),
-    integrity(
+    check(
         "CONVERSIONS_EXCEED_CLICKS", "yuksek", lambda p: c.donusum > c.tiklama, "donusum", "tiklama"
     ),
-    integrity(
+    check(
         "NEGATIVE_VALUE", "kritik", lambda p: (c.harcama_tl < 0) | (c.gelir_tl < 0), "harcama_tl", "gelir_tl"
     ),
-    integrity(
+    check(
         "SPEND_WITHOUT_DELIVERY",
         "yuksek",
         lambda p: (c.harcama_tl > 0) & (c.gosterim <= 0),
@@ -141,23 +138,12 @@ INTEGRITY = (
 )
 
 
-def risk(code, severity, when, evidence, impact=None, first_seen=None):
-    title, template, recommendation = texts.RISKS[code]
-    return RiskRule(
-        code,
-        title,
-        severity,
-        when,
-        lambda p: render(template),
-        recommendation,
-        tuple(evidence.split()),
-        impact,
-        first_seen,
-    )
+def finding(code, severity, holds, evidence, impact=None, first_seen=None, narrative=None):
+    return Condition(Stage.ENTITY, code, severity, holds, tuple(evidence.split()), impact, first_seen, narrative)
 
 
-RISKS = (
-    risk(
+FINDINGS = (
+    finding(
         "AD_FATIGUE",
         "kritik",
         lambda p: (c.frekans_degisim > FATIGUE_FREQUENCY_RISE)
@@ -168,7 +154,7 @@ RISKS = (
         * F.greatest(F.lit(0.0), 1 - number("son_roas")),
         first_seen="doyum_donemi",
     ),
-    risk(
+    finding(
         "SCALING_INEFFICIENCY",
         "kritik",
         lambda p: (c.harcama_degisim_yuzde > SPEND_RISE_PERCENT) & (c.roas_degisim_yuzde < ROAS_DROP_PERCENT),
@@ -178,7 +164,7 @@ RISKS = (
         ),
         first_seen="zarar_donemi",
     ),
-    risk(
+    finding(
         "UNPROFITABLE",
         "kritik",
         lambda p: c.son_roas < LOSS_ROAS,
@@ -186,21 +172,21 @@ RISKS = (
         impact=lambda p: F.abs(F.least(F.lit(0.0), number("net_katki_tl"))),
         first_seen="zarar_donemi",
     ),
-    risk(
+    finding(
         "STAR_SCALE_UP",
         "yuksek",
         lambda p: (c.son_roas > STAR_ROAS) & (c.son_frekans < SATURATION_FREQUENCY),
         "son_roas son_frekans son_harcama_tl son_cvr net_katki_tl",
         impact=lambda p: number("son_harcama_tl") * SCALE_UP_SHARE * (number("son_roas") - 1),
     ),
-    risk(
+    finding(
         "FREQUENCY_SATURATION",
         "orta",
         lambda p: (c.son_frekans >= SATURATION_FREQUENCY) & (c.roas_degisim_yuzde >= ROAS_DROP_PERCENT),
         "son_frekans frekans_degisim son_roas son_ctr",
         first_seen="doyum_donemi",
     ),
-    risk(
+    finding(
         "EFFICIENT_GROWTH",
         "bilgi",
         lambda p: (c.harcama_degisim_yuzde > SPEND_RISE_PERCENT)
@@ -208,7 +194,7 @@ RISKS = (
         & (c.son_roas > LOSS_ROAS),
         "harcama_degisim_yuzde ilk_roas son_roas toplam_gelir_tl",
     ),
-    risk(
+    finding(
         "LOW_CONVERSION",
         "orta",
         lambda p: (c.son_cvr < LOW_CVR_PERCENT) & (c.son_roas < STAR_ROAS),
@@ -217,33 +203,35 @@ RISKS = (
 )
 
 
-def aggregates(labels, builders, headline=(), internal=()):
-    described = read_labels(labels)
-    return tuple(
-        Aggregate(name, *described[name], build, name in headline, name in internal)
-        for name, build in builders.items()
-    )
-
-
-LABELS = read_labels(texts.METRICS)
-
 PACK = ReportPack(
     key="campaigns",
     title="Reklam Performans Raporu",
     description="Kampanya bazında dönemsel harcama, gösterim, tıklama, frekans, dönüşüm ve gelir.",
-    entity="kampanya_id",
-    label="kampanya_adi",
-    period="donem",
+    panel=Panel("kampanya_id", "donem", "kampanya_adi"),
     dimensions=("urun_kategorisi", "platform"),
-    columns=read_columns(texts.COLUMNS),
-    metrics=tuple(Metric(n, *LABELS[n], b) for n, b in ROW_METRICS.items())
-    + tuple(Metric(n, *LABELS[n], b, window=True) for n, b in WINDOW_METRICS.items()),
-    imputation=IMPUTATION,
-    integrity=INTEGRITY,
-    period_aggregates=aggregates(texts.PERIOD_AGGREGATES, PERIOD_AGGREGATES, HEADLINE),
-    entity_aggregates=aggregates(texts.ENTITY_AGGREGATES, ENTITY_AGGREGATES, internal=INTERNAL),
-    dimension_aggregates=aggregates(texts.DIMENSION_AGGREGATES, DIMENSION_AGGREGATES),
-    risks=RISKS,
+    schema=T.StructType([source_column(*row) for row in texts.COLUMNS]),
+    named=(
+        *named_at(Stage.ROW, ROW_METRICS),
+        *named_at(Stage.WINDOW, WINDOW_METRICS),
+        *named_at(Stage.PERIOD, PERIOD_AGGREGATES),
+        *named_at(Stage.ENTITY, ENTITY_AGGREGATES),
+        *named_at(Stage.DIMENSION, DIMENSION_AGGREGATES),
+    ),
+    fills=FILLS,
+    conditions=(*CHECKS, *FINDINGS),
+    wording=Wording(
+        {
+            Stage.WINDOW: texts.METRICS,
+            Stage.PERIOD: texts.PERIOD_AGGREGATES,
+            Stage.ENTITY: texts.ENTITY_AGGREGATES,
+            Stage.DIMENSION: texts.DIMENSION_AGGREGATES,
+        },
+        texts.IMPUTATION,
+        texts.INTEGRITY,
+        texts.RISKS,
+    ),
+    headline=HEADLINE,
+    hidden=frozenset(INTERNAL),
     trend="harcama_tl",
     snapshot=("harcama_tl", "gelir_tl", "roas", "frekans", "ctr", "cvr", "donusum"),
 )

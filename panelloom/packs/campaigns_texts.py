@@ -1,85 +1,85 @@
 """Fixed values of the campaign report: names, units, labels and texts."""
 
-# Column | kind | unit | label | aliases
-COLUMNS = """
-kampanya_id | text | sayi | Kampanya Kodu | campaign_id
-kampanya_adi | text | sayi | Kampanya | campaign_name
-platform | text | sayi | Platform |
-urun_kategorisi | text | sayi | Ürün Kategorisi | kategori
-donem | period | sayi | Dönem | period, ay
-harcama_tl | decimal | TL | Harcama | harcama, spend
-gosterim | decimal | adet | Gösterim | impressions
-tiklama | decimal | adet | Tıklama | clicks
-frekans | decimal | oran | Frekans | frequency
-donusum | decimal | adet | Dönüşüm | conversions, donusumler
-gelir_tl | decimal | TL | Gelir | gelir, revenue
-"""
+# Column, kind, label, unit, other headers.
+COLUMNS = (
+    ("kampanya_id", "text", "Kampanya Kodu", "sayi", "campaign_id"),
+    ("kampanya_adi", "text", "Kampanya", "sayi", "campaign_name"),
+    ("platform", "text", "Platform", "sayi"),
+    ("urun_kategorisi", "text", "Ürün Kategorisi", "sayi", "kategori"),
+    ("donem", "period", "Dönem", "sayi", "period", "ay"),
+    ("harcama_tl", "decimal", "Harcama", "TL", "harcama", "spend"),
+    ("gosterim", "decimal", "Gösterim", "adet", "impressions"),
+    ("tiklama", "decimal", "Tıklama", "adet", "clicks"),
+    ("frekans", "decimal", "Frekans", "oran", "frequency"),
+    ("donusum", "decimal", "Dönüşüm", "adet", "conversions", "donusumler"),
+    ("gelir_tl", "decimal", "Gelir", "TL", "gelir", "revenue"),
+)
 
-# Metric | unit | label
-METRICS = """
-roas | oran | ROAS
-net_kar_tl | TL | Net Katkı
-ctr | % | Tıklama Oranı
-cpc | TL | Tıklama Başı Maliyet
-cpm | TL | Bin Gösterim Maliyeti
-cpa | TL | Dönüşüm Başı Maliyet
-cvr | % | Dönüşüm Oranı
-roas_mom_yuzde | % | ROAS Değişimi (Aylık)
-harcama_mom_yuzde | % | Harcama Değişimi (Aylık)
-tiklama_mom_yuzde | % | Tıklama Değişimi (Aylık)
-frekans_delta | oran | Frekans Değişimi
-roas_ort3 | oran | ROAS (3 Dönem Ort.)
-"""
+# Series column -> (label, unit).
+METRICS = {
+    "roas": ("ROAS", "oran"),
+    "net_kar_tl": ("Net Katkı", "TL"),
+    "ctr": ("Tıklama Oranı", "%"),
+    "cpc": ("Tıklama Başı Maliyet", "TL"),
+    "cpm": ("Bin Gösterim Maliyeti", "TL"),
+    "cpa": ("Dönüşüm Başı Maliyet", "TL"),
+    "cvr": ("Dönüşüm Oranı", "%"),
+    "roas_mom_yuzde": ("ROAS Değişimi (Aylık)", "%"),
+    "harcama_mom_yuzde": ("Harcama Değişimi (Aylık)", "%"),
+    "tiklama_mom_yuzde": ("Tıklama Değişimi (Aylık)", "%"),
+    "frekans_delta": ("Frekans Değişimi", "oran"),
+    "roas_ort3": ("ROAS (3 Dönem Ort.)", "oran"),
+}
 
-# Period aggregate | unit | label
-PERIOD_AGGREGATES = """
-toplam_harcama_tl | TL | Toplam Harcama
-toplam_gelir_tl | TL | Toplam Gelir
-portfoy_roas | oran | Portföy ROAS
-net_katki_tl | TL | Net Katkı
-zarardaki_kampanya | sayi | Zarardaki Kampanya
-toplam_donusum | adet | Toplam Dönüşüm
-toplam_tiklama | adet | Toplam Tıklama
-toplam_gosterim | adet | Toplam Gösterim
-ortalama_frekans | oran | Ortalama Frekans
-"""
+# Period total -> (label, unit).
+PERIOD_AGGREGATES = {
+    "toplam_harcama_tl": ("Toplam Harcama", "TL"),
+    "toplam_gelir_tl": ("Toplam Gelir", "TL"),
+    "portfoy_roas": ("Portföy ROAS", "oran"),
+    "net_katki_tl": ("Net Katkı", "TL"),
+    "zarardaki_kampanya": ("Zarardaki Kampanya", "sayi"),
+    "toplam_donusum": ("Toplam Dönüşüm", "adet"),
+    "toplam_tiklama": ("Toplam Tıklama", "adet"),
+    "toplam_gosterim": ("Toplam Gösterim", "adet"),
+    "ortalama_frekans": ("Ortalama Frekans", "oran"),
+}
 
-# Entity aggregate | unit | label
-ENTITY_AGGREGATES = """
-toplam_harcama_tl | TL | Toplam Harcama
-toplam_gelir_tl | TL | Toplam Gelir
-toplam_donusum | adet | Toplam Dönüşüm
-toplam_roas | oran | Dönem Geneli ROAS
-son_roas | oran | Son ROAS
-ilk_roas | oran | İlk ROAS
-roas_degisim_yuzde | % | ROAS Değişimi
-son_harcama_tl | TL | Son Dönem Harcama
-ilk_harcama_tl | TL | İlk Dönem Harcama
-harcama_degisim_yuzde | % | Harcama Değişimi
-son_frekans | oran | Son Frekans
-ilk_frekans | oran | İlk Frekans
-frekans_degisim | oran | Frekans Değişimi
-son_ctr | % | Son CTR
-ilk_ctr | % | İlk CTR
-ctr_degisim_puan | % | CTR Değişimi
-son_cpa | TL | Son CPA
-ilk_cpa | TL | İlk CPA
-son_cvr | % | Son Dönüşüm Oranı
-net_katki_tl | TL | Net Katkı
-zarardaki_donem | sayi | Zararda Geçen Dönem
-doyum_donemi | sayi | Frekansın Doyuma Ulaştığı Dönem
-zarar_donemi | sayi | Zarara Geçilen Dönem
-harcama_trend_step | TL | Harcama Eğilimi (Dönem Başı)
-"""
+# Entity column -> (label, unit).
+ENTITY_AGGREGATES = {
+    "toplam_harcama_tl": ("Toplam Harcama", "TL"),
+    "toplam_gelir_tl": ("Toplam Gelir", "TL"),
+    "toplam_donusum": ("Toplam Dönüşüm", "adet"),
+    "toplam_roas": ("Dönem Geneli ROAS", "oran"),
+    "son_roas": ("Son ROAS", "oran"),
+    "ilk_roas": ("İlk ROAS", "oran"),
+    "roas_degisim_yuzde": ("ROAS Değişimi", "%"),
+    "son_harcama_tl": ("Son Dönem Harcama", "TL"),
+    "ilk_harcama_tl": ("İlk Dönem Harcama", "TL"),
+    "harcama_degisim_yuzde": ("Harcama Değişimi", "%"),
+    "son_frekans": ("Son Frekans", "oran"),
+    "ilk_frekans": ("İlk Frekans", "oran"),
+    "frekans_degisim": ("Frekans Değişimi", "oran"),
+    "son_ctr": ("Son CTR", "%"),
+    "ilk_ctr": ("İlk CTR", "%"),
+    "ctr_degisim_puan": ("CTR Değişimi", "%"),
+    "son_cpa": ("Son CPA", "TL"),
+    "ilk_cpa": ("İlk CPA", "TL"),
+    "son_cvr": ("Son Dönüşüm Oranı", "%"),
+    "net_katki_tl": ("Net Katkı", "TL"),
+    "zarardaki_donem": ("Zararda Geçen Dönem", "sayi"),
+    "doyum_donemi": ("Frekansın Doyuma Ulaştığı Dönem", "sayi"),
+    "zarar_donemi": ("Zarara Geçilen Dönem", "sayi"),
+    "harcama_trend_step": ("Harcama Eğilimi (Dönem Başı)", "TL"),
+}
 
-# Dimension aggregate | unit | label
-DIMENSION_AGGREGATES = """
-toplam_harcama_tl | TL | Harcama
-toplam_gelir_tl | TL | Gelir
-portfoy_roas | oran | ROAS
-toplam_donusum | adet | Dönüşüm
-kampanya_sayisi | sayi | Kampanya Sayısı
-"""
+# Dimension total -> (label, unit).
+DIMENSION_AGGREGATES = {
+    "toplam_harcama_tl": ("Harcama", "TL"),
+    "toplam_gelir_tl": ("Gelir", "TL"),
+    "portfoy_roas": ("ROAS", "oran"),
+    "toplam_donusum": ("Dönüşüm", "adet"),
+    "kampanya_sayisi": ("Kampanya Sayısı", "sayi"),
+}
 
 # Imputation title and detail by target column.
 IMPUTATION = {

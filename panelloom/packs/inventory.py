@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 from pyspark.sql.functions import col
 
-from panelloom.functions.panel import ROW, c, safe_ratio, total
+from panelloom.functions.panel import ROW, Panel, c, safe_ratio, total
 from panelloom.functions.text import number, render
-from panelloom.pack import Aggregate, ImputationRule, IntegrityRule, Metric, ReportPack, RiskRule
+from panelloom.pack import Condition, Fill, ReportPack, Stage, Wording, named_at, source_column
 from panelloom.packs import inventory_texts as texts
-from panelloom.packs.tables import read_columns, read_labels
 
 # Thresholds.
 COVER_CRITICAL_MONTHS = 1.5
@@ -121,50 +120,44 @@ DIMENSION_AGGREGATES = {
 }
 
 
-def imputation(target, code, forward, backward=None):
-    title, detail = texts.IMPUTATION[target]
-    return ImputationRule(code, title, target, forward, detail, backward, BALANCE_TOLERANCE)
-
-
-IMPUTATION = (
-    imputation("giris_miktar", "IMPUTED_FLOW", lambda p: p.own_median(c.giris_miktar)),
-    imputation("cikis_miktar", "IMPUTED_FLOW", lambda p: p.own_median(c.cikis_miktar)),
-    imputation(
+FILLS = (
+    Fill("giris_miktar", "IMPUTED_FLOW", lambda p: p.own_median(c.giris_miktar)),
+    Fill("cikis_miktar", "IMPUTED_FLOW", lambda p: p.own_median(c.cikis_miktar)),
+    Fill(
         "donem_sonu_stok",
         "IMPUTED_STOCK",
-        forward=expected_stock,
-        backward=lambda p: p.following(c.donem_sonu_stok) - p.following(c.giris_miktar) + p.following(c.cikis_miktar),
+        expected_stock,
+        lambda p: p.following(c.donem_sonu_stok) - p.following(c.giris_miktar) + p.following(c.cikis_miktar),
     ),
 )
 
 
-def integrity(code, severity, violated, *sample):
-    title, detail = texts.INTEGRITY[code]
-    return IntegrityRule(code, title, severity, violated, detail, ("stok_kodu", "donem", *sample))
+def check(code, severity, violated, *sample):
+    return Condition(Stage.WINDOW, code, severity, violated, ("stok_kodu", "donem", *sample))
 
 
-INTEGRITY = (
-    integrity(
+CHECKS = (
+    check(
         "RECONCILIATION_BREAK",
         "yuksek",
         lambda p: c.onceki_stok.isNotNull()
         & (F.abs("mutabakat_farki") > BALANCE_TOLERANCE),
         "mutabakat_farki",
     ),
-    integrity(
+    check(
         "NEGATIVE_VALUE",
         "kritik",
         lambda p: (c.giris_miktar < 0) | (c.cikis_miktar < 0) | (c.donem_sonu_stok < 0),
         "donem_sonu_stok",
     ),
-    integrity(
+    check(
         "MARGIN_INVERSION",
         "kritik",
         lambda p: c.birim_maliyet_tl >= c.birim_satis_tl,
         "birim_maliyet_tl",
         "birim_satis_tl",
     ),
-    integrity(
+    check(
         "COST_SPIKE",
         "orta",
         lambda p: c.maliyet_mom_yuzde > COST_SHOCK_PERCENT,
@@ -185,23 +178,12 @@ def stockout_narrative(p):
     return F.concat(render(texts.RISKS["STOCKOUT"][1]), extra)
 
 
-def risk(code, severity, when, evidence, impact=None, first_seen=None, narrative=None):
-    title, template, recommendation = texts.RISKS[code]
-    return RiskRule(
-        code,
-        title,
-        severity,
-        when,
-        narrative or (lambda p: render(template)),
-        recommendation,
-        tuple(evidence.split()),
-        impact,
-        first_seen,
-    )
+def finding(code, severity, holds, evidence, impact=None, first_seen=None, narrative=None):
+    return Condition(Stage.ENTITY, code, severity, holds, tuple(evidence.split()), impact, first_seen, narrative)
 
 
-RISKS = (
-    risk(
+FINDINGS = (
+    finding(
         "STOCKOUT",
         "kritik",
         lambda p: (c.son_stok <= 0) & (c.sifir_stok_donem >= 2),
@@ -210,7 +192,7 @@ RISKS = (
         first_seen="ilk_sifir_donem",
         narrative=stockout_narrative,
     ),
-    risk(
+    finding(
         "STOCKOUT_IMMINENT",
         "yuksek",
         lambda p: (c.son_stok > 0) & (c.son_kapama_ay < COVER_CRITICAL_MONTHS),
@@ -218,7 +200,7 @@ RISKS = (
         impact=lambda p: number("son3_cikis_ort") * number("son_birim_satis"),
         first_seen="kritik_kapama_donem",
     ),
-    risk(
+    finding(
         "DEAD_STOCK",
         "yuksek",
         lambda p: c.son_kapama_ay > COVER_DEAD_MONTHS,
@@ -226,7 +208,7 @@ RISKS = (
         impact=lambda p: number("son_stok_degeri_tl"),
         first_seen="olu_stok_donem",
     ),
-    risk(
+    finding(
         "SLOW_MOVER",
         "orta",
         lambda p: c.son_kapama_ay.between(COVER_SLOW_MONTHS, COVER_DEAD_MONTHS),
@@ -234,7 +216,7 @@ RISKS = (
         impact=lambda p: number("son_stok_degeri_tl") * 0.5,
         first_seen="yavas_donem",
     ),
-    risk(
+    finding(
         "MARGIN_EROSION",
         "kritik",
         lambda p: c.marj_degisim_puan < -MARGIN_EROSION_POINTS,
@@ -245,14 +227,14 @@ RISKS = (
         * number("son_birim_satis"),
         first_seen="marj_dusus_donem",
     ),
-    risk(
+    finding(
         "COST_SHOCK",
         "yuksek",
         lambda p: c.maliyet_degisim_yuzde > COST_SHOCK_PERCENT,
         "maliyet_degisim_yuzde son_birim_maliyet son_marj_yuzde",
         first_seen="maliyet_sok_donem",
     ),
-    risk(
+    finding(
         "SILENT_ACCUMULATION",
         "orta",
         lambda p: (c.stok_trend_step > 0)
@@ -263,7 +245,7 @@ RISKS = (
         * number("periods_count")
         * number("son_birim_maliyet"),
     ),
-    risk(
+    finding(
         "DEMAND_SURGE",
         "orta",
         lambda p: (c.cikis_trend_step > 0)
@@ -274,7 +256,7 @@ RISKS = (
         * number("son_birim_satis"),
         first_seen="talep_patlama_donem",
     ),
-    risk(
+    finding(
         "SEASONAL_PEAK",
         "bilgi",
         lambda p: (c.zirve_donem != c.first_period)
@@ -284,7 +266,7 @@ RISKS = (
         "zirve_cikis ortalama_cikis son_stok",
         first_seen="zirve_donem",
     ),
-    risk(
+    finding(
         "DYING_SKU",
         "dusuk",
         lambda p: (c.cikis_trend_step < 0)
@@ -296,38 +278,36 @@ RISKS = (
 )
 
 
-def aggregates(labels, builders, headline=(), internal=()):
-    described = read_labels(labels)
-    return tuple(
-        Aggregate(name, *described[name], build, name in headline, name in internal)
-        for name, build in builders.items()
-    )
-
-
-def metrics(labels, row, window):
-    described = read_labels(labels)
-    return tuple(
-        Metric(name, *described[name], build, name in window)
-        for name, build in {**row, **window}.items()
-    )
-
-
 PACK = ReportPack(
     key="inventory",
     title="Stok ve Satış Raporu",
     description="Ürün bazında dönemsel giriş, çıkış, dönem sonu stok, birim maliyet ve satış fiyatı.",
-    entity="stok_kodu",
-    label="urun_adi",
-    period="donem",
+    panel=Panel("stok_kodu", "donem", "urun_adi"),
     dimensions=("kategori", "depo"),
-    columns=read_columns(texts.COLUMNS),
-    metrics=metrics(texts.METRICS, ROW_METRICS, WINDOW_METRICS),
-    imputation=IMPUTATION,
-    integrity=INTEGRITY,
-    period_aggregates=aggregates(texts.PERIOD_AGGREGATES, PERIOD_AGGREGATES, HEADLINE),
-    entity_aggregates=aggregates(texts.ENTITY_AGGREGATES, ENTITY_AGGREGATES, internal=INTERNAL),
-    dimension_aggregates=aggregates(texts.DIMENSION_AGGREGATES, DIMENSION_AGGREGATES),
-    risks=RISKS,
+    schema=T.StructType([source_column(*row) for row in texts.COLUMNS]),
+    named=(
+        *named_at(Stage.ROW, ROW_METRICS),
+        *named_at(Stage.WINDOW, WINDOW_METRICS),
+        *named_at(Stage.HELPER, {"__ilk3": lambda p: F.avg(F.when(col(ROW) < 3, c.cikis_miktar)).over(p.whole)}),
+        *named_at(Stage.PERIOD, PERIOD_AGGREGATES),
+        *named_at(Stage.ENTITY, ENTITY_AGGREGATES),
+        *named_at(Stage.DIMENSION, DIMENSION_AGGREGATES),
+    ),
+    fills=FILLS,
+    conditions=(*CHECKS, *FINDINGS),
+    wording=Wording(
+        {
+            Stage.WINDOW: texts.METRICS,
+            Stage.PERIOD: texts.PERIOD_AGGREGATES,
+            Stage.ENTITY: texts.ENTITY_AGGREGATES,
+            Stage.DIMENSION: texts.DIMENSION_AGGREGATES,
+        },
+        texts.IMPUTATION,
+        texts.INTEGRITY,
+        texts.RISKS,
+    ),
+    headline=HEADLINE,
+    hidden=frozenset(INTERNAL),
     trend="cikis_miktar",
     snapshot=(
         "donem_sonu_stok",
@@ -338,13 +318,4 @@ PACK = ReportPack(
         "birim_maliyet_tl",
         "arz_kisitli",
     ),
-    helpers=(
-        Metric(
-            "__ilk3",
-            "",
-            "adet",
-            lambda p: F.avg(F.when(col(ROW) < 3, c.cikis_miktar)).over(p.whole),
-            window=True,
-        ),
-    ),
 )

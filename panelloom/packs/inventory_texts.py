@@ -1,93 +1,93 @@
 """Fixed values of the inventory report: names, units, labels and texts."""
 
-# Column | kind | unit | label | aliases
-COLUMNS = """
-stok_kodu | text | sayi | Stok Kodu | stok kodu, urun_kodu, sku
-urun_adi | text | sayi | Ürün Adı | urun adi, malzeme_adi
-kategori | text | sayi | Kategori | urun_kategorisi
-depo | text | sayi | Depo | depo_adi, ambar
-donem | period | sayi | Dönem | period, ay, donem_kodu
-giris_miktar | decimal | adet | Giriş | giris, giris_miktari
-cikis_miktar | decimal | adet | Çıkış | cikis, cikis_miktari
-donem_sonu_stok | decimal | adet | Dönem Sonu Stok | son_stok, kalan_stok
-birim_maliyet_tl | decimal | TL | Birim Maliyet | birim_maliyet, maliyet
-birim_satis_tl | decimal | TL | Birim Satış Fiyatı | birim_satis, satis_fiyati
-"""
+# Column, kind, label, unit, other headers.
+COLUMNS = (
+    ("stok_kodu", "text", "Stok Kodu", "sayi", "stok kodu", "urun_kodu", "sku"),
+    ("urun_adi", "text", "Ürün Adı", "sayi", "urun adi", "malzeme_adi"),
+    ("kategori", "text", "Kategori", "sayi", "urun_kategorisi"),
+    ("depo", "text", "Depo", "sayi", "depo_adi", "ambar"),
+    ("donem", "period", "Dönem", "sayi", "period", "ay", "donem_kodu"),
+    ("giris_miktar", "decimal", "Giriş", "adet", "giris", "giris_miktari"),
+    ("cikis_miktar", "decimal", "Çıkış", "adet", "cikis", "cikis_miktari"),
+    ("donem_sonu_stok", "decimal", "Dönem Sonu Stok", "adet", "son_stok", "kalan_stok"),
+    ("birim_maliyet_tl", "decimal", "Birim Maliyet", "TL", "birim_maliyet", "maliyet"),
+    ("birim_satis_tl", "decimal", "Birim Satış Fiyatı", "TL", "birim_satis", "satis_fiyati"),
+)
 
-# Metric | unit | label
-METRICS = """
-ciro_tl | TL | Ciro
-satis_maliyeti_tl | TL | Satış Maliyeti
-brut_kar_tl | TL | Brüt Kâr
-marj_yuzde | % | Brüt Marj
-stok_degeri_tl | TL | Stok Değeri
-net_akis | adet | Net Stok Akışı
-onceki_stok | adet | Önceki Dönem Stoğu
-cikis_ort3 | adet | Çıkış (3 Dönem Ort.)
-cikis_mom_yuzde | % | Çıkış Değişimi (Aylık)
-maliyet_mom_yuzde | % | Birim Maliyet Değişimi (Aylık)
-marj_delta_puan | % | Marj Değişimi (Puan)
-kapama_ay | ay | Stok Kapama Süresi
-mutabakat_farki | adet | Stok Mutabakat Farkı
-arz_kisitli | sayi | Arz Kısıtlı
-"""
+# Series column -> (label, unit).
+METRICS = {
+    "ciro_tl": ("Ciro", "TL"),
+    "satis_maliyeti_tl": ("Satış Maliyeti", "TL"),
+    "brut_kar_tl": ("Brüt Kâr", "TL"),
+    "marj_yuzde": ("Brüt Marj", "%"),
+    "stok_degeri_tl": ("Stok Değeri", "TL"),
+    "net_akis": ("Net Stok Akışı", "adet"),
+    "onceki_stok": ("Önceki Dönem Stoğu", "adet"),
+    "cikis_ort3": ("Çıkış (3 Dönem Ort.)", "adet"),
+    "cikis_mom_yuzde": ("Çıkış Değişimi (Aylık)", "%"),
+    "maliyet_mom_yuzde": ("Birim Maliyet Değişimi (Aylık)", "%"),
+    "marj_delta_puan": ("Marj Değişimi (Puan)", "%"),
+    "kapama_ay": ("Stok Kapama Süresi", "ay"),
+    "mutabakat_farki": ("Stok Mutabakat Farkı", "adet"),
+    "arz_kisitli": ("Arz Kısıtlı", "sayi"),
+}
 
-# Period aggregate | unit | label
-PERIOD_AGGREGATES = """
-toplam_ciro_tl | TL | Toplam Ciro
-toplam_brut_kar_tl | TL | Brüt Kâr
-ortalama_marj_yuzde | % | Ağırlıklı Marj
-toplam_stok_degeri_tl | TL | Stokta Bağlı Sermaye
-tukenen_urun_sayisi | sayi | Stoğu Tükenen Ürün
-toplam_cikis | adet | Toplam Çıkış
-toplam_giris | adet | Toplam Giriş
-toplam_stok_adet | adet | Toplam Stok
-"""
+# Period total -> (label, unit).
+PERIOD_AGGREGATES = {
+    "toplam_ciro_tl": ("Toplam Ciro", "TL"),
+    "toplam_brut_kar_tl": ("Brüt Kâr", "TL"),
+    "ortalama_marj_yuzde": ("Ağırlıklı Marj", "%"),
+    "toplam_stok_degeri_tl": ("Stokta Bağlı Sermaye", "TL"),
+    "tukenen_urun_sayisi": ("Stoğu Tükenen Ürün", "sayi"),
+    "toplam_cikis": ("Toplam Çıkış", "adet"),
+    "toplam_giris": ("Toplam Giriş", "adet"),
+    "toplam_stok_adet": ("Toplam Stok", "adet"),
+}
 
-# Entity aggregate | unit | label
-ENTITY_AGGREGATES = """
-toplam_ciro_tl | TL | Toplam Ciro
-toplam_brut_kar_tl | TL | Brüt Kâr
-son_stok | adet | Son Stok
-ilk_stok | adet | İlk Stok
-son_kapama_ay | ay | Stok Kapama
-son_marj_yuzde | % | Son Marj
-ilk_marj_yuzde | % | İlk Marj
-marj_degisim_puan | % | Marj Değişimi
-son_birim_maliyet | TL | Son Birim Maliyet
-maliyet_degisim_yuzde | % | Maliyet Değişimi
-son_birim_satis | TL | Son Satış Fiyatı
-son_stok_degeri_tl | TL | Bağlı Sermaye
-sifir_stok_donem | sayi | Stoksuz Dönem Sayısı
-ilk_sifir_donem | sayi | İlk Stoksuz Dönem
-arz_kisitli_donem | sayi | Arz Kısıtlı Dönem
-ilk_cikis | adet | İlk Dönem Çıkış
-son_cikis | adet | Son Dönem Çıkış
-ortalama_cikis | adet | Ortalama Çıkış
-ilk3_cikis_ort | adet | İlk 3 Dönem Ort. Çıkış
-son3_cikis_ort | adet | Son 3 Dönem Ort. Çıkış
-zirve_cikis | adet | Zirve Çıkış
-zirve_donem | sayi | Zirve Dönemi
-net_akis_toplam | adet | Net Stok Akışı
-stok_trend_step | adet | Stok Eğilimi (Dönem Başı)
-cikis_trend_step | adet | Çıkış Eğilimi (Dönem Başı)
-maliyet_sok_donem | sayi | Maliyet Şokunun Yaşandığı Dönem
-marj_dusus_donem | sayi | Marjın Düştüğü Dönem
-kritik_kapama_donem | sayi | Kritik Kapamaya Düşülen Dönem
-olu_stok_donem | sayi | Ölü Stoğa Geçilen Dönem
-yavas_donem | sayi | Yavaşlamanın Başladığı Dönem
-talep_patlama_donem | sayi | Talebin Hızlandığı Dönem
-"""
+# Entity column -> (label, unit).
+ENTITY_AGGREGATES = {
+    "toplam_ciro_tl": ("Toplam Ciro", "TL"),
+    "toplam_brut_kar_tl": ("Brüt Kâr", "TL"),
+    "son_stok": ("Son Stok", "adet"),
+    "ilk_stok": ("İlk Stok", "adet"),
+    "son_kapama_ay": ("Stok Kapama", "ay"),
+    "son_marj_yuzde": ("Son Marj", "%"),
+    "ilk_marj_yuzde": ("İlk Marj", "%"),
+    "marj_degisim_puan": ("Marj Değişimi", "%"),
+    "son_birim_maliyet": ("Son Birim Maliyet", "TL"),
+    "maliyet_degisim_yuzde": ("Maliyet Değişimi", "%"),
+    "son_birim_satis": ("Son Satış Fiyatı", "TL"),
+    "son_stok_degeri_tl": ("Bağlı Sermaye", "TL"),
+    "sifir_stok_donem": ("Stoksuz Dönem Sayısı", "sayi"),
+    "ilk_sifir_donem": ("İlk Stoksuz Dönem", "sayi"),
+    "arz_kisitli_donem": ("Arz Kısıtlı Dönem", "sayi"),
+    "ilk_cikis": ("İlk Dönem Çıkış", "adet"),
+    "son_cikis": ("Son Dönem Çıkış", "adet"),
+    "ortalama_cikis": ("Ortalama Çıkış", "adet"),
+    "ilk3_cikis_ort": ("İlk 3 Dönem Ort. Çıkış", "adet"),
+    "son3_cikis_ort": ("Son 3 Dönem Ort. Çıkış", "adet"),
+    "zirve_cikis": ("Zirve Çıkış", "adet"),
+    "zirve_donem": ("Zirve Dönemi", "sayi"),
+    "net_akis_toplam": ("Net Stok Akışı", "adet"),
+    "stok_trend_step": ("Stok Eğilimi (Dönem Başı)", "adet"),
+    "cikis_trend_step": ("Çıkış Eğilimi (Dönem Başı)", "adet"),
+    "maliyet_sok_donem": ("Maliyet Şokunun Yaşandığı Dönem", "sayi"),
+    "marj_dusus_donem": ("Marjın Düştüğü Dönem", "sayi"),
+    "kritik_kapama_donem": ("Kritik Kapamaya Düşülen Dönem", "sayi"),
+    "olu_stok_donem": ("Ölü Stoğa Geçilen Dönem", "sayi"),
+    "yavas_donem": ("Yavaşlamanın Başladığı Dönem", "sayi"),
+    "talep_patlama_donem": ("Talebin Hızlandığı Dönem", "sayi"),
+}
 
-# Dimension aggregate | unit | label
-DIMENSION_AGGREGATES = """
-toplam_ciro_tl | TL | Ciro
-toplam_brut_kar_tl | TL | Brüt Kâr
-ortalama_marj_yuzde | % | Marj
-toplam_stok_degeri_tl | TL | Stok Değeri
-toplam_cikis | adet | Çıkış
-urun_sayisi | sayi | Ürün Sayısı
-"""
+# Dimension total -> (label, unit).
+DIMENSION_AGGREGATES = {
+    "toplam_ciro_tl": ("Ciro", "TL"),
+    "toplam_brut_kar_tl": ("Brüt Kâr", "TL"),
+    "ortalama_marj_yuzde": ("Marj", "%"),
+    "toplam_stok_degeri_tl": ("Stok Değeri", "TL"),
+    "toplam_cikis": ("Çıkış", "adet"),
+    "urun_sayisi": ("Ürün Sayısı", "sayi"),
+}
 
 # Imputation title and detail by target column.
 IMPUTATION = {

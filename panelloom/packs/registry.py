@@ -21,6 +21,6 @@ def get_pack(key: str) -> ReportPack:
 def detect_pack(headers: Sequence[str]) -> ReportPack | None:
     """First pack all of whose required columns are among the headers."""
     for pack in PACKS.values():
-        if not pack.resolve_headers(headers)[1]:
+        if not pack.match_headers(headers).missing:
             return pack
     return None

@@ -7,6 +7,7 @@ only issue rows, at most a few dozen, reach the driver.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,10 +26,10 @@ from panelloom.operators.coerce import (
 from panelloom.operators.dedup import COPIES, VARIANTS, deduplicate
 from panelloom.operators.impute import FLAG, impute
 from panelloom.operators.series import build_series
-from panelloom.pack import ReportPack
+from panelloom.pack import ReportPack, Stage
 from panelloom.packs.registry import detect_pack, get_pack
 from panelloom.plans.issue_texts import AMBIGUOUS_NOTE, IMPUTED, ISSUES
-from panelloom.sources.csv_scan import SEQ, nonblank, repair_samples, scan_csv
+from panelloom.sources.csv_scan import SEQ, nonblank, reading, repair_samples, scan_csv
 from panelloom.sources.storage import store_observed
 
 COMPLETE = "__complete"
@@ -85,10 +86,10 @@ def ingest(spark: SparkSession, path: str, pack_key: str | None = None) -> Inges
     found = IssueList()
     if scan.repaired:
         samples = repair_samples(scan.before_repair)
-        found.add("ENCODING_REPAIRED", len(samples), samples)
+        found.add("ENCODING_REPAIRED", scan.repaired_lines, samples)
     if scan.suspect:
         found.add("ENCODING_SUSPECT", 0)
-    return ingest_rows(scan.rows, pack, SEQ, found, scan.encoding, scan.repaired)
+    return ingest_rows(scan.rows, pack, SEQ, found, scan.encoding, scan.repaired, path)
 
 
 def ingest_frame(rows: DataFrame, pack: ReportPack, seq: str) -> IngestOutcome:
@@ -98,19 +99,21 @@ def ingest_frame(rows: DataFrame, pack: ReportPack, seq: str) -> IngestOutcome:
 
 
 def ingest_rows(
-    rows: DataFrame, pack: ReportPack, seq: str, found: IssueList, encoding: str, repaired: bool
+    rows: DataFrame, pack: ReportPack, seq: str, found: IssueList, encoding: str, repaired: bool,
+    path: str | None = None,
 ) -> IngestOutcome:
     headers = [c for c in rows.columns if c != seq]
     typed = coerce(map_columns(rows, pack, keep=(seq,)), pack)
-    typed, seen = store_observed(
-        typed,
-        "typed",
-        {
-            "raw_rows": F.count(F.lit(1)),
-            "bad_periods": F.count_if(bad_period(pack)),
-            **missing_counts(pack, typed.columns),
-        },
-    )
+    with reading(path) if path else nullcontext():
+        typed, seen = store_observed(
+            typed,
+            "typed",
+            {
+                "raw_rows": F.count(F.lit(1)),
+                "bad_periods": F.count_if(bad_period(pack)),
+                **missing_counts(pack, typed.columns),
+            },
+        )
     if not seen["raw_rows"]:
         raise EmptyDatasetError("no row below the header")
     report_typing(found, typed, pack, headers, seen)
@@ -125,14 +128,15 @@ def ingest_rows(
     series, counts = store_observed(series, "panel", panel_counts(series, pack))
     counts |= seen
 
-    report_panel(found, series, pack, counts)
+    samples = read_samples(series, pack, counts)
+    report_panel(found, pack, counts, samples)
     if not counts["clean"]:
         raise EmptyDatasetError("every row is quarantined; nothing is left to analyse")
-    report_integrity(found, series, pack, counts)
+    report_integrity(found, pack, counts, samples)
 
-    imputed = tuple(r.target for r in pack.imputation if counts.get(f"filled_{r.target}"))
+    imputed = tuple(r.target for r in pack.fills if counts.get(f"filled_{r.target}"))
     flags = [f"{t}{FLAG}" for t in imputed]
-    data = [c.name for c in pack.columns if c.name in series.columns]
+    data = [c for c in pack.schema.names if c in series.columns]
     shown = [*data, *flags]
     return IngestOutcome(
         pack=pack,
@@ -156,7 +160,7 @@ def panel_counts(series: DataFrame, pack: ReportPack) -> dict[str, Column]:
         "exact_removed": F.sum(F.col(COPIES) - F.col(VARIANTS)),
         "key_removed": F.sum(F.col(VARIANTS) - 1),
     }
-    for rule in pack.imputation:
+    for rule in pack.fills:
         if f"{rule.target}{FLAG}" in series.columns:
             counts[f"filled_{rule.target}"] = F.count_if(F.col(f"{rule.target}{FLAG}"))
         if f"__conflict_{rule.target}" in series.columns:
@@ -181,59 +185,68 @@ def report_typing(
         found.add("INVALID_PERIOD_FORMAT", seen["bad_periods"], texts(bad))
 
 
-def report_panel(
-    found: IssueList, series: DataFrame, pack: ReportPack, counts: dict[str, int]
-) -> None:
+GAPS = "PERIOD_GAP"
+CHECKED = "isaretlendi"  # fixed value: what is done about a row that breaks a rule
+GAP_TOTALS = "__gap_totals"
+
+
+def read_samples(series: DataFrame, pack: ReportPack, counts: dict[str, int]) -> dict[str, list[str]]:
+    """The sample texts of every rule that has affected rows, and the totals of gaps, from one job."""
     e, p = pack.entity, pack.period
     key = f"concat(coalesce({e}, 'None'), ' / ', coalesce({p}, 'None'))"
+    rules: dict[str, tuple[Column, Column]] = {}
+    if counts["key_removed"]:
+        rules["DUPLICATE_KEY"] = (F.col(VARIANTS) > 1, F.expr(f"concat({key}, ' (', {VARIANTS}, ' kayıt)')"))
+    for rule in pack.fills:
+        if counts.get(f"conflict_{rule.target}"):
+            ahead, back = (fixed_sql(f"__{way}_{rule.target}", 0) for way in ("fwd", "bwd"))
+            text = F.expr(f"concat({key}, ': ileri=', {ahead}, ' geri=', {back})")
+            rules[f"conflict_{rule.target}"] = (F.col(f"__conflict_{rule.target}"), text)
+    if counts["quarantined"]:
+        rules["ROW_QUARANTINED"] = (~F.col(COMPLETE), F.expr(key))
+    for rule in pack.found_at(Stage.WINDOW):
+        if counts.get(f"__bad_{rule.code}"):
+            names = [n for n in rule.shows if n in series.columns] or [e, p]
+            rules[f"__bad_{rule.code}"] = (F.col(COMPLETE) & F.col(f"__bad_{rule.code}"), quality.sample_text(pack, names))
+    gaps = quality.period_gaps(series, pack)
+    none = F.lit(None).cast("string")
+    text = F.expr(f"concat(coalesce({e}, 'None'), ': ', periods, '/', all_periods, ' dönem')")
+    shown = gaps.select(F.lit(GAPS).alias("rule"), F.col(e).alias("entity"), none.alias("period"), text.alias("sample"))
+    totals = gaps.agg(F.concat_ws("/", F.count(F.lit(1)), F.max("all_periods")).alias("sample")).select(
+        F.lit(GAP_TOTALS).alias("rule"), none.alias("entity"), none.alias("period"), "sample"
+    )
+    found = quality.sample_lists(series, rules, pack, shown, totals)
+    return {r["rule"]: r["samples"] for r in found.collect()}
+
+
+def report_panel(found: IssueList, pack: ReportPack, counts: dict[str, int], samples: dict[str, list[str]]) -> None:
     if counts["exact_removed"]:
         found.add("DUPLICATE_EXACT", counts["exact_removed"])
     if counts["key_removed"]:
-        text = F.expr(f"concat({key}, ' (', {VARIANTS}, ' kayıt)')")
-        several = quality.samples(series, F.col(VARIANTS) > 1, text, pack)
-        found.add("DUPLICATE_KEY", counts["key_removed"], texts(several))
-    for rule in pack.imputation:
+        found.add("DUPLICATE_KEY", counts["key_removed"], samples["DUPLICATE_KEY"])
+    for rule in pack.fills:
         conflicts = counts.get(f"conflict_{rule.target}", 0)
         if conflicts:
-            ahead = fixed_sql(f"__fwd_{rule.target}", 0)
-            back = fixed_sql(f"__bwd_{rule.target}", 0)
-            text = F.expr(f"concat({key}, ': ileri=', {ahead}, ' geri=', {back})")
-            apart = F.col(f"__conflict_{rule.target}")
-            found.add(
-                "IMPUTATION_AMBIGUOUS", conflicts, texts(quality.samples(series, apart, text, pack))
-            )
+            found.add("IMPUTATION_AMBIGUOUS", conflicts, samples[f"conflict_{rule.target}"])
         filled = counts.get(f"filled_{rule.target}", 0)
         if filled:
             note = AMBIGUOUS_NOTE if conflicts else ""
-            found.add(rule.code, filled, note=note, text=(rule.title, *IMPUTED, rule.detail))
-    report_gaps(found, series, pack)
+            title, detail = pack.wording.fills[rule.target]
+            found.add(rule.code, filled, note=note, text=(title, *IMPUTED, detail))
+    if GAPS in samples:
+        total, periods = map(int, samples[GAP_TOTALS][0].split("/"))
+        found.add(GAPS, total, samples[GAPS], periods=periods)
     if counts["quarantined"]:
-        rows = quality.samples(series, ~F.col(COMPLETE), F.expr(key), pack)
-        found.add("ROW_QUARANTINED", counts["quarantined"], texts(rows))
-
+        found.add("ROW_QUARANTINED", counts["quarantined"], samples["ROW_QUARANTINED"])
 
-def report_gaps(found: IssueList, series: DataFrame, pack: ReportPack) -> None:
-    text = F.expr(f"concat(coalesce({pack.entity}, 'None'), ': ', periods, '/', all_periods, ' dönem')")
-    first = F.struct(F.col(pack.entity).alias("entity"), text.alias("text"))
-    gaps = quality.period_gaps(series, pack).select(first.alias("gap"), "all_periods")
-    total = gaps.agg(F.count(F.lit(1)), F.max("all_periods")).first()
-    if total[0]:
-        shown = gaps.orderBy("gap.entity").limit(5).select("gap.text")
-        found.add("PERIOD_GAP", total[0], texts(shown), periods=total[1])
 
-
-def report_integrity(
-    found: IssueList, series: DataFrame, pack: ReportPack, counts: dict[str, int]
-) -> None:
-    for rule in pack.integrity:
+def report_integrity(found: IssueList, pack: ReportPack, counts: dict[str, int], samples: dict[str, list[str]]) -> None:
+    for rule in pack.found_at(Stage.WINDOW):
         affected = counts.get(f"__bad_{rule.code}", 0)
-        if not affected:
-            continue
-        names = [n for n in rule.sample if n in series.columns] or [pack.entity, pack.period]
-        bad = F.col(COMPLETE) & F.col(f"__bad_{rule.code}")
-        rows = quality.samples(series, bad, quality.sample_text(pack, names), pack)
-        text = (rule.title, rule.severity, rule.action, rule.detail)
-        found.add(rule.code, affected, texts(rows), text=text)
+        if affected:
+            title, detail = pack.wording.checks[rule.code]
+            text = (title, rule.severity, CHECKED, detail)
+            found.add(rule.code, affected, samples[f"__bad_{rule.code}"], text=text)
 
 
 def issue_frame(spark: SparkSession, found: IssueList) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelloom.operators import risks as risk_ops
 from panelloom.operators.series import public_columns
-from panelloom.pack import ReportPack
+from panelloom.pack import ReportPack, Stage
 from panelloom.packs.registry import PACKS
 from panelloom.plans.analyze import AnalysisResult
 from panelloom.plans.ingest import IngestOutcome
@@ -49,9 +49,10 @@ def entity_columns(spark: SparkSession, pack: ReportPack) -> DataFrame:
     """Name, label and unit of the entity table's columns; internal ones left out."""
     rows = [(pack.entity, "Kod", ""), (pack.label, "Ad", "")]
     for d in pack.dimensions:
-        spec = pack.column(d)
-        rows.append((d, (spec.label if spec else "") or d.replace("_", " ").title(), ""))
-    rows += [(a.name, a.label, a.unit) for a in pack.entity_aggregates if not a.internal]
+        label, _ = pack.describe(d)
+        rows.append((d, label if label != d else d.replace("_", " ").title(), ""))
+    labels = pack.wording.labels[Stage.ENTITY]
+    rows += [(a.name, *labels[a.name]) for a in pack.at(Stage.ENTITY) if a.name not in pack.hidden]
     numbered = [(i, *row) for i, row in enumerate(rows)]
     return spark.createDataFrame(numbered, "position int, name string, label string, unit string")
 
@@ -92,7 +93,7 @@ def pack_catalogue(spark: SparkSession) -> DataFrame:
     rows = [
         (
             p.key, p.title, p.description, p.entity, p.period, list(p.dimensions),
-            list(p.required), len(p.risks), len(p.metrics), p.sample_file,
+            p.required, len(p.found_at(Stage.ENTITY)), len(p.at(Stage.ROW, Stage.WINDOW)), "",
         )
         for p in PACKS.values()
     ]
@@ -119,7 +120,7 @@ def record_dataset(outcome: IngestOutcome, path: str, filename: str, ledger: str
     """Append the ingested dataset to the ledger and return its id."""
     spark = outcome.series.sparkSession
     dataset_id = uuid.uuid4().hex[:16]
-    digest = ledgers.dataset_hash(ledgers.content_hash(spark, path))
+    digest = ledgers.content_digest(spark, path)
     record = outcome.report.select(
         F.lit(dataset_id).alias("dataset_id"),
         F.lit(filename).alias("filename"),

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelloom.functions import encoding as enc
 from panelloom.functions.text import quoted
 from panelloom.model import EmptyDatasetError, IngestionError, SchemaMismatchError
+from panelloom.sources.records import cells_of, header_names, records
 from panelloom.sources.storage import store
 
 SEQ = "__seq"  # position of a row in the input: (file, block, row)
@@ -39,9 +42,16 @@ def audit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "is_valid_utf8(value) AS utf8",
         f"{latin} RLIKE '[{enc.CP1254_UNDEFINED}]' AS undefined",
         "value RLIKE '[^\\\\x00-\\\\x7F]' AS wide",
-        "length(value) - length(replace(value, '\"', '')) AS quotes",
+        "replace(value, '\"\"', '') AS unescaped",
         f"is_valid_utf8(value) AND {enc.has_mojibake('value')} AS broken",
         f"NOT is_valid_utf8(value) AND {enc.has_mojibake(legacy)} AS broken_legacy",
+    ).withColumn(
+        # a cell whose quote is not closed on its line, or a mark that looks like one
+        "open",
+        F.expr(
+            "(length(unescaped) - length(replace(unescaped, '\"', ''))) % 2 = 1 "
+            "OR unescaped RLIKE '(^|,)\"[^\"]*$'"
+        ),
     ).withColumn("fixed", F.expr(f"CASE WHEN utf8 AND wide THEN {fixed} END"))
     gain = f"{enc.turkish_score('fixed')} - {enc.turkish_score('value')}"
     per_file = lines.groupBy("file").agg(
@@ -53,7 +63,7 @@ def audit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.count_if("broken").alias("broken_lines"),
         F.expr("bool_and(CASE WHEN wide THEN fixed IS NOT NULL ELSE true END)").alias("reversible"),
         F.expr(f"sum(CASE WHEN wide AND utf8 THEN {gain} ELSE 0 END)").alias("gain"),
-        F.expr("bool_or(quotes % 2 = 1)").alias("quoted_breaks"),
+        F.bool_or("open").alias("quoted_breaks"),
         F.bool_or("bom").alias("bom"),
     )
     encoding = "CASE WHEN utf8 THEN 'utf-8-sig' WHEN undefined THEN 'iso8859-9' ELSE 'cp1254' END"
@@ -82,75 +92,73 @@ class RawScan:
     encoding: str
     repaired: bool
     suspect: bool
+    repaired_lines: int  # lines of repaired files that were broken
     before_repair: DataFrame | None  # the rows of repaired files as they were read
 
 
-def scan_csv(spark: SparkSession, path: str) -> RawScan:
+@contextmanager
+def reading(path) -> Iterator[None]:
+    """Whatever Spark raises while an input is read becomes an IngestionError."""
+    try:
+        yield
+    except PySparkException as error:
+        raise IngestionError(f"cannot read {path}: {type(error).__name__}") from error
+
+
+def scan_csv(spark: SparkSession, path: str | list[str]) -> RawScan:
     """Read every file of `path` with its own encoding; nothing is inferred.
 
-    Short rows are filled with nulls, surplus cells dropped. Files are read
-    splittable unless one holds a line break inside quotes. All files of an input
-    must have the same header; one that differs raises instead of being misread.
+    Short rows are filled with nulls, surplus cells dropped. Files of one kind without line
+    breaks in cells are read by Spark's CSV source. All others are read in one scan too: their
+    records are cut block by block and decoded by the verdict on their file. All files of an
+    input must have the same header; one that differs raises instead of being misread.
     """
-    try:
+    with reading(path):
         audit = store(audit_files(spark, path), "audit")
         kinds = ["encoding", "verdict", "bom", "quoted_breaks"]
         # one row per kind of file, two dozen at most; a clean export has one
-        groups = audit.groupBy(*kinds).agg(F.count(F.lit(1)).alias("files")).collect()
-    except AnalysisException as error:
-        raise IngestionError(f"cannot read {path}") from error
-    groups = sorted(groups, key=str)
-    if not groups:
-        raise EmptyDatasetError("the input is empty")
-
-    parts, befores = [], []
-    for group in groups:
-        files = path
-        if len(groups) > 1:
-            same = reduce(lambda a, b: a & b, [F.col(k) == group[k] for k in kinds])
-            files = [r["file"] for r in audit.filter(same).select("file").toLocalIterator()]
-        rows = read_group(
-            spark, files, group["encoding"], group["quoted_breaks"], group["files"] > 1
+        counted = audit.groupBy(*kinds).agg(
+            F.count(F.lit(1)).alias("files"), F.sum("broken_lines").alias("broken_lines")
         )
-        if group["verdict"] == "repaired":
-            befores.append(rows)
-            rows = repair_all(rows)
-        parts.append(rows)
-    if any(rows.columns != parts[0].columns for rows in parts):
-        raise SchemaMismatchError("the files of the input differ in their header")
-    rows = union_all(parts)
-    labels = []
-    for g in groups:
-        suffix = " (mojibake onarıldı)" if g["verdict"] == "repaired" else ""
-        labels.append(g["encoding"] + suffix)
+        groups = sorted(counted.collect(), key=str)
+        if not groups:
+            raise EmptyDatasetError("the input is empty")
+        quoted_breaks = any(g["quoted_breaks"] for g in groups)
+        if len(groups) == 1 and not quoted_breaks:
+            rows = read_alike(spark, path, groups[0]["encoding"], groups[0]["files"] > 1)
+            before = rows if groups[0]["verdict"] == "repaired" else None
+            rows = rows if before is None else repair_all(rows)
+        else:
+            rows, before = read_mixed(spark, path, audit, quoted_breaks)
+    repaired = [g for g in groups if g["verdict"] == "repaired"]
+    labels = {g["encoding"] + (" (mojibake onarıldı)" if g in repaired else "") for g in groups}
     return RawScan(
         rows=nonblank(rows),
         headers=tuple(c for c in rows.columns if c != SEQ),
-        encoding=", ".join(sorted(set(labels))),
-        repaired=any(g["verdict"] == "repaired" for g in groups),
+        encoding=", ".join(sorted(labels)),
+        repaired=bool(repaired),
         suspect=any(g["verdict"] == "suspect" for g in groups),
-        before_repair=union_all(befores) if befores else None,
+        repaired_lines=sum(g["broken_lines"] for g in repaired),
+        before_repair=before if repaired else None,
     )
 
 
-def read_group(
-    spark: SparkSession, files, encoding: str, quoted_breaks: bool, several: bool
-) -> DataFrame:
+def read_alike(spark: SparkSession, path, encoding: str, several: bool) -> DataFrame:
+    """Files of one encoding, by Spark's CSV source."""
     utf8 = encoding == "utf-8-sig"
     reader = (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("escape", '"')
         .option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-        .option("multiLine", quoted_breaks)
     )
-    scanned = reader.csv(files)
+    scanned = reader.csv(path)
     columns = scanned.columns
     if not any(c.strip(BOM).strip() for c in columns):
         raise EmptyDatasetError("the input has no header")
     if several:
         # check every file's header against the first one's
-        scanned = reader.option("enforceSchema", False).schema(scanned.schema).csv(files)
+        scanned = reader.option("enforceSchema", False).schema(scanned.schema).csv(path)
     shown = columns
     if not utf8:
         keep = encoding == "iso8859-9"
@@ -171,8 +179,44 @@ def read_group(
     return scanned.select(*cells, seq.alias(SEQ))
 
 
+def read_mixed(
+    spark: SparkSession, path, audit: DataFrame, quoted_breaks: bool
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, rows of repaired files as they were read), from one scan of the records.
+
+    The verdicts, one row per file, are joined to the records by the hash of the file's path.
+    """
+    verdicts = audit.select(F.xxhash64("file").alias("key"), "file", "encoding", "verdict")
+    found = records(spark, path, quoted_breaks).join(verdicts, "key")
+    text = (
+        "CASE encoding WHEN 'utf-8-sig' THEN cast(encode(text, 'ISO-8859-1') AS string) "
+        f"WHEN 'cp1254' THEN {enc.turkish_from_latin1('text')} "
+        f"ELSE {enc.turkish_from_latin1('text', True)} END"
+    )
+    found = found.withColumn("text", F.expr(text)).withColumn("is_header", F.expr("block = 0 AND row = 0"))
+    mended = f"CASE WHEN verdict = 'repaired' THEN coalesce({enc.undo_cp1252('text')}, text) ELSE text END"
+    headers = found.where("is_header").select(F.ltrim(F.expr(mended), F.lit(BOM)).alias("text")).distinct()
+    first = [r["text"] for r in headers.limit(2).collect()]
+    if not first or not header_names(first[0]):
+        raise EmptyDatasetError("the input has no header")
+    if len({tuple(header_names(h)) for h in first}) > 1:
+        raise SchemaMismatchError("the files of the input differ in their header")
+    names = header_names(first[0])
+    seq = F.struct("file", "block", "row").alias(SEQ)
+    rows = found.where("NOT is_header").select(
+        cells_of(F.col("text"), len(names)).alias("cells"), "verdict", seq
+    )
+
+    def repaired(cell: str) -> str:
+        return f"CASE WHEN verdict = 'repaired' THEN coalesce({enc.undo_cp1252(cell)}, {cell}) ELSE {cell} END"
+
+    cells = {name: f"cells.c{i}" for i, name in enumerate(names)}
+    before = rows.where("verdict = 'repaired'").select(*[F.col(x).alias(n) for n, x in cells.items()], SEQ)
+    return rows.select(*[F.expr(repaired(x)).alias(n) for n, x in cells.items()], SEQ), before
+
+
 def repair_all(rows: DataFrame) -> DataFrame:
-    """Undo mojibake in every cell and header of a file the audit found repairable."""
+    """Undo mojibake in every cell and header of files the audit found repairable."""
     out = []
     for c in rows.columns:
         if c == SEQ:
@@ -190,10 +234,6 @@ def repair_name(name: str) -> str:
         return name
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def nonblank(rows: DataFrame) -> DataFrame:
     """Drop rows whose cells are all null or blank."""
     filled = [

@@ -7,7 +7,9 @@ ledger readable.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from panelloom.sources.storage import store
 
 SCHEMA = (
     "dataset_id string, filename string, pack_key string, content_hash string, stored_path string, "
@@ -17,28 +19,87 @@ SCHEMA = (
 FIELDS = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
+#: Where the four 64-bit parts of a SHA-256 in hexadecimal begin.
+PARTS = (1, 17, 33, 49)
+
+
 def content_hash(spark: SparkSession, path: str) -> DataFrame:
-    """sha-256 per file and, over the sorted file hashes, of the whole input.
+    """SHA-256 per file, byte for byte: one file is one value, so for files up to 2 GB.
 
-    For a single file the two are the same. Files are hashed where they are read.
+    `file_digests` identifies files of any size.
     """
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.col("path"), F.sha2("content", 256).alias("file_hash"))
 
 
-def dataset_hash(file_hashes: DataFrame) -> DataFrame:
-    """One row (content_hash, files), whatever the order of the files.
+def merged(digest: Column) -> Column:
+    """Aggregate: one digest for many, whatever their order and how they are grouped.
+
+    Each is bound to its place before it comes here, so the sums of its four parts tell
+    permutations apart. Sums are taken map-side, in fixed width (38 digits hold 10^18 of them).
+    """
+    parts = [F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(38,0)")) for at in PARTS]
+    return F.sha2(F.concat_ws("-", *[p.cast("string") for p in parts]), 256)
+
+
+def line_digest(place: Column, line: Column) -> Column:
+    """SHA-256 of a line and its place: lines of any content, places written alike."""
+    text = F.concat(place.cast("string"), F.lit(":"), F.coalesce(line, F.lit("")))
+    return F.sha2(text.cast("binary"), 256)
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, number (from 0, within the file), line; no line is moved.
+
+    Rows of a block are numbered where they are read. The blocks of a file, one row each, are
+    counted up in a window, and every line adds its block's offset.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+        F.col("value").alias("line"),
+    )
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")
+    offsets = store(blocks.select("file", "block", offset.alias("offset")), "line_offsets")
+    return lines.join(offsets, ["file", "block"]).select(
+        "file", (F.col("id") + F.col("offset")).alias("number"), "line"
+    )
+
 
-    The file hashes are summed in four 64-bit parts, so the aggregate stays small
-    for any number of files.
+def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, lines, file_hash: the lines of each file and their order, for files of any size.
+
+    Files are read in blocks by as many tasks as they have. Equal for any splitting, different
+    if two lines are swapped, changed, lost or repeated. How lines end is not part of it.
     """
-    parts = [
-        F.sum(F.conv(F.substring("file_hash", at, 16), 16, 10).cast("decimal(38,0)"))
-        for at in (1, 17, 33, 49)
-    ]
-    combined = F.sha2(F.concat_ws("-", *[p.cast("string") for p in parts]), 256)
+    lines = numbered_lines(spark, path)
+    return lines.groupBy("file").agg(
+        F.count(F.lit(1)).alias("lines"),
+        merged(line_digest(F.col("number"), F.col("line"))).alias("file_hash"),
+    )
+
+
+#: Files up to this size are identified by their bytes, an input with a larger one by its lines.
+WHOLE_FILE = 64 << 20
+
+
+def content_digest(spark: SparkSession, path: str | list[str], whole_file: int = WHOLE_FILE) -> DataFrame:
+    """One row (content_hash, files) for a whole input, whatever its files' names and order.
+
+    The size of a file belongs to its content, so equal inputs are identified alike.
+    """
+    sizes = spark.read.format("binaryFile").load(path).agg(F.max("length").alias("most"))
+    small = (sizes.first()["most"] or 0) <= whole_file
+    return dataset_hash(content_hash(spark, path) if small else file_digests(spark, path))
+
+
+def dataset_hash(file_hashes: DataFrame) -> DataFrame:
+    """One row (content_hash, files), whatever the order of the files; a single file keeps its hash."""
     return file_hashes.agg(
-        F.when(F.count(F.lit(1)) == 1, F.max("file_hash")).otherwise(combined).alias("content_hash"),
+        F.when(F.count(F.lit(1)) == 1, F.max("file_hash")).otherwise(merged(F.col("file_hash"))).alias("content_hash"),
         F.count(F.lit(1)).alias("files"),
     )
 

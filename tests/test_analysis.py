@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators import deltas, risks, summaries
 from panelloom.operators.series import build_series
+from panelloom.pack import Stage
 from panelloom.packs import campaigns, inventory
 from panelloom.plans import results
 from panelloom.plans.analyze import analyze
@@ -187,17 +188,17 @@ def test_result_tables(spark, result, tmp_path):
 def test_unusable_rule_is_skipped_and_logged(spark, caplog):
     from dataclasses import replace
 
-    broken = replace(PACK.integrity[0], code="BROKEN", violated=lambda p: F.col("no_such_column") > 0)
-    pack = replace(PACK, integrity=(broken, *PACK.integrity))
+    broken = replace(PACK.found_at(Stage.WINDOW)[0], code="BROKEN", holds=lambda p: F.col("no_such_column") > 0)
+    pack = replace(PACK, conditions=(broken, *PACK.conditions))
     from panelloom.operators.quality import violation_columns, with_violations
 
     series = build_series(spark.createDataFrame(ROWS, PACK.schema), PACK)
     assert "__bad_BROKEN" not in violation_columns(with_violations(series, pack))
     assert "BROKEN" in caplog.text
 
-    lost = replace(PACK.risks[0], code="LOST", when=lambda p: F.col("no_such_column") > 0)
+    lost = replace(PACK.found_at(Stage.ENTITY)[0], code="LOST", holds=lambda p: F.col("no_such_column") > 0)
     entities = summaries.entity_summary(series, PACK)
-    table = risks.risk_table(entities, replace(PACK, risks=(lost, *PACK.risks)))
+    table = risks.risk_table(entities, replace(PACK, conditions=(lost, *PACK.conditions)))
     assert table.count() == 10 and "LOST" in caplog.text
 
 

@@ -115,7 +115,7 @@ def test_repaired_file_is_reported_with_samples(spark, write_csv):
         "Ã‡antalÄ±k -> Çantalık",
         "Åžube -> Şube",
     ]
-    assert issue["affected_rows"] == len(issue["samples"]) == 5
+    assert issue["affected_rows"] == len(lines) and len(issue["samples"]) == 5
     assert outcome.report.first()["encoding_detected"].startswith("utf-8")
     assert {r["kategori"] for r in outcome.clean.collect()} == {"Çantalık"}
 

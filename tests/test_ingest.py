@@ -110,7 +110,7 @@ def test_headers_aliases_and_unknown_columns(spark, write_csv):
     header = "SKU,Ürün Adı,Kategori,Ambar,Ay,Giriş,ÇIKIŞ,Son-Stok,birim.maliyet,Satış Fiyatı,Extra"
     outcome = ingest(spark, write_csv(row("U1", "2026-01") + ",x", header=header))
     assert by_code(outcome)["UNKNOWN_COLUMNS"]["samples"] == ["Extra"]
-    assert outcome.clean.columns == [c.name for c in inventory.PACK.columns]
+    assert outcome.clean.columns == inventory.PACK.schema.names
 
 
 def test_ragged_rows(spark, write_csv):
@@ -139,12 +139,13 @@ def test_errors(spark, write_csv, tmp_path):
 
 def test_pack_detection():
     assert detect_pack(HEADER.split(",")) is inventory.PACK
-    assert detect_pack([c.name.upper() for c in campaigns.PACK.columns]) is campaigns.PACK
+    assert detect_pack([c.upper() for c in campaigns.PACK.schema.names]) is campaigns.PACK
     assert detect_pack(["a"]) is None
     assert get_pack("campaigns") is campaigns.PACK
-    # a repeated header stays unmapped
-    mapping, missing = inventory.PACK.resolve_headers([*HEADER.split(","), "SKU"])
-    assert "SKU" not in mapping and not missing
+    # a repeated header stays unmapped and is told
+    match = inventory.PACK.match_headers([*HEADER.split(","), "SKU", "x"])
+    assert match.unused == ["x", "SKU"] and match.unknown == ["x"] and match.repeated == ["SKU"]
+    assert len(match.columns) == 10 and not match.missing
 
 
 def test_frame_input_uses_the_given_order(spark):

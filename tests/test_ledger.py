@@ -48,6 +48,35 @@ def test_hash_of_many_files_does_not_depend_on_order(spark, tmp_path):
     assert one["content_hash"] != ledger.dataset_hash(hashes.filter("path LIKE '%b'")).first()[0]
 
 
+def test_line_digest_is_of_content_and_order(spark, tmp_path):
+    lines = [f"line {i % 7} of {i}" for i in range(90)]
+    variants = {"same": lines, "swapped": [lines[1], lines[0], *lines[2:]], "lost": lines[:-1], "twice": [*lines, lines[0]]}
+    for name, own in variants.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_text("\n".join(own))
+    (tmp_path / "copy").mkdir()
+    (tmp_path / "copy" / "other name.csv").write_text("\r\n".join(lines) + "\r\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = {}
+    for size in (before, "300", "77"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        for name in (*variants, "copy"):
+            row = ledger.content_digest(spark, str(tmp_path / name), whole_file=10).first()
+            found.setdefault(name, set()).add((row["content_hash"], row["files"]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(len(seen) == 1 for seen in found.values())
+    assert found["same"] == found["copy"] and len({next(iter(v)) for v in found.values()}) == 4
+    numbered = ledger.numbered_lines(spark, str(tmp_path / "same")).orderBy("number").collect()
+    assert [r["line"] for r in numbered] == lines
+
+
+def test_small_files_are_identified_by_their_bytes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a\nb\n")
+    whole = ledger.content_digest(spark, str(tmp_path)).first()["content_hash"]
+    assert whole == hashlib.sha256(b"a\nb\n").hexdigest()
+    assert whole != ledger.content_digest(spark, str(tmp_path), whole_file=1).first()["content_hash"]
+
+
 def test_pack_catalogue(spark):
     rows = {r["key"]: r for r in pack_catalogue(spark).collect()}
     assert rows["inventory"]["risk_rule_count"] == 10 and rows["inventory"]["metric_count"] == 14
