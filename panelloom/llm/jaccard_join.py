@@ -22,7 +22,7 @@ links.
 
 The suffix filter compares two summaries of the sets, both lower bounds of the symmetric
 difference: a histogram over fixed ranges of the hash (sum of differences) and the parities
-of 256 cells of the hash (cells that differ). Pairs that pass are filtered again by
+of 256 cells of the hash (cells that differ); the last join compares 1,024 cells too. Pairs that pass are filtered again by
 histograms whose number of ranges follows the set's size, which tells long texts apart
 too, so that whole sets travel for hardly more pairs than are links. Sets for verification are made again from the texts of the classes
 concerned only.
@@ -35,6 +35,7 @@ empty result; other columns are ignored; texts are read whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,14 +51,18 @@ from panelloom.llm.frames import side_of_join
 from panelloom.llm.shingles import mixed, shingle_sets
 from panelloom.sources.storage import store
 
-SKETCH_BITS = 20
-CHUNK_BITS = 8
+SKETCH_BITS = 23
+CHUNK_BITS = 16
+MOST_IN_TASK = 255
 BINS = 16
 CELLS = 256
 #: The histogram's columns, four counts of 16 bits (at most 65,535 each) in each, and the parities'.
 HISTOGRAM = ("bins0", "bins1", "bins2", "bins3")
 PARITIES = ("bits0", "bits1", "bits2", "bits3")
 PACKED = (*HISTOGRAM, *PARITIES)
+#: Parities of more cells, for the last join: they tell sets of a thousand n-grams apart.
+WIDE_CELLS = 1024
+WIDE = tuple(f"wide{i}" for i in range(WIDE_CELLS // 64))
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -82,39 +87,45 @@ def counters_of(grams: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """How many documents hold an n-gram of each of the 2^SKETCH_BITS counters."""
+    """For each of the 2^SKETCH_BITS counters, how common its n-grams are: one byte on a logarithmic scale.
+
+    A task counts documents up to MOST_IN_TASK for each counter; parts of the counters travel
+    compressed and are summed. An eighth of an octave is one step of the scale.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
         for batch in in_slices(batches):
             sets = list(shingle_sets(batch.column("text"), n))
             if sets:
-                counts += np.bincount(counters_of(np.concatenate(sets)), minlength=len(counts))
-        if counts.any():
-            parts = enumerate(counts.astype(np.int32).reshape(-1, 1 << CHUNK_BITS))
-            yield chunks({chunk: part for chunk, part in parts if part.any()})
+                places, more = np.unique(counters_of(np.concatenate(sets)), return_counts=True)
+                counts[places] = np.minimum(counts[places] + more, MOST_IN_TASK)
+        parts = enumerate(counts.reshape(-1, 1 << CHUNK_BITS))
+        filled = {chunk: zlib.compress(part.tobytes(), 1) for chunk, part in parts if part.any()}
+        if filled:
+            yield chunks(filled)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-                part = np.frombuffer(data.as_buffer(), dtype=np.int32).astype(np.int64)
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                part = np.frombuffer(zlib.decompress(data), dtype=np.uint8).astype(np.int64)
                 sums[chunk] = sums[chunk] + part if chunk in sums else part
         if sums:
-            yield chunks(sums)
+            steps = {chunk: np.minimum(np.rint(8 * np.log2(1 + part)), 255) for chunk, part in sums.items()}
+            yield chunks({chunk: zlib.compress(part.astype(np.uint8).tobytes(), 1) for chunk, part in steps.items()})
 
     layout = "chunk int, counts binary"
     rows = texts.select("text").mapInArrow(counted, layout).repartition("chunk").mapInArrow(summed, layout).collect()
-    counts = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), dtype=np.int64)
+    counts = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), dtype=np.uint8)
     for row in rows:
-        counts[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.int64)
+        counts[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint8)
     return counts.reshape(-1)
 
 
-def chunks(of: dict[int, np.ndarray]) -> pa.RecordBatch:
+def chunks(of: dict[int, bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(of), pa.int32()), pa.array([c.tobytes() for c in of.values()], pa.binary())],
-        names=["chunk", "counts"],
+        [pa.array(list(of), pa.int32()), pa.array(list(of.values()), pa.binary())], names=["chunk", "counts"]
     )
 
 
@@ -125,11 +136,16 @@ def class_of(grams: np.ndarray) -> int:
 
 
 def summary_of(grams: np.ndarray) -> np.ndarray:
-    """The values of PACKED."""
+    """The values of PACKED and WIDE."""
     counts = np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=BINS)
-    parity = np.bincount((grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
-    bits = np.packbits(parity.astype(np.uint8), bitorder="little")
-    return np.concatenate([np.minimum(counts, 0xFFFF).astype("<u2").view("<i8"), bits.view("<i8")])
+    bits = parities(grams, CELLS), parities(grams >> np.uint64(20), WIDE_CELLS)
+    return np.concatenate([np.minimum(counts, 0xFFFF).astype("<u2").view("<i8"), *bits])
+
+
+def parities(grams: np.ndarray, cells: int) -> np.ndarray:
+    """Whether each cell holds an odd number of n-grams, 64 cells in a number."""
+    parity = np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def fine_histogram(grams: np.ndarray) -> np.ndarray:
@@ -158,8 +174,11 @@ def finely_similar(a: str, b: str, a_size: str, b_size: str, percent: int) -> Co
     return apart * (100 + percent) <= (100 - percent) * (F.col(a_size) + F.col(b_size))
 
 
-def maybe_similar(a: str, b: str, percent: int) -> Column:
-    """The length and suffix filters for sides whose columns are prefixed a_ and b_."""
+def maybe_similar(a: str, b: str, percent: int, cells: tuple[str, ...] = PARITIES) -> Column:
+    """The length and suffix filters for sides whose columns are prefixed a_ and b_.
+
+    cells: the parities that are compared after the histogram.
+    """
 
     def bin_of(column: str, i: int) -> Column:
         return F.shiftrightunsigned(column, 16 * i).bitwiseAND(F.lit(0xFFFF))
@@ -168,7 +187,7 @@ def maybe_similar(a: str, b: str, percent: int) -> Column:
     in_bins = sum(
         F.abs(bin_of(f"{a}_{c}", i) - bin_of(f"{b}_{c}", i)) for c in HISTOGRAM for i in range(BINS // len(HISTOGRAM))
     )
-    in_cells = sum(F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in PARITIES)
+    in_cells = sum(F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in cells)
     # |x - y| + |y - x| <= (1 - t) / (1 + t) * (|x| + |y|), in whole numbers
     most = (100 - percent) * (sizes[0] + sizes[1])
     return (
@@ -195,16 +214,16 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
                 length = len(grams) - -(-percent * len(grams) // 100) + 1 if len(grams) else 0
                 order = np.lexsort((grams, counts[counters_of(grams)]))[:length]
                 kept.append(grams[order].view(np.int64))
-            packed = np.array(bins, dtype=np.int64).reshape(-1, len(PACKED)).T
+            packed = np.array(bins, dtype=np.int64).reshape(-1, len(PACKED) + len(WIDE)).T
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
                  *[pa.array(b, pa.int64()) for b in packed], pa.array(fine, pa.list_(pa.int32())),
                  pa.array(kept, pa.list_(pa.int64()))],
-                names=[*names, "size", "cls", *PACKED, "fine", "prefix"],
+                names=[*names, "size", "cls", *PACKED, *WIDE, "fine", "prefix"],
             )
 
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names)
-    layout = f"{kinds}, size long, cls long, {', '.join(f'{b} long' for b in PACKED)}, fine array<int>, prefix array<long>"
+    layout = f"{kinds}, size long, cls long, {', '.join(f'{b} long' for b in PACKED + WIDE)}, fine array<int>, prefix array<long>"
     return store(texts.mapInArrow(made, layout), "prefixes")
 
 
@@ -308,8 +327,8 @@ def in_mixed_grams(grams: DataFrame, comps: DataFrame) -> DataFrame:
 def remaining_pairs(mixed_rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components that share a prefix n-gram and pass all filters."""
     t = percent / 100
-    full = mixed_rows.join(classes.select("cls", *PACKED), "cls")
-    columns = ("gram", "cls", "size", "place", "component", *PACKED)
+    full = mixed_rows.join(classes.select("cls", *PACKED, *WIDE), "cls")
+    columns = ("gram", "cls", "size", "place", "component", *PACKED, *WIDE)
     left = sided(full.where("component <> main"), "a", *columns, "main")
     right = sided(full, "b", *columns)
     must = F.ceil(F.lit(t / (1 + t)) * (F.col("a_size") + F.col("b_size")) - 1e-6)
@@ -322,6 +341,7 @@ def remaining_pairs(mixed_rows: DataFrame, classes: DataFrame, percent: int) ->
         & ((F.col("b_component") == F.col("a_main")) | (F.col("a_cls") < F.col("b_cls")))
         & (reach >= must)
         & maybe_similar("a", "b", percent)
+        & maybe_similar("a", "b", percent, WIDE)
     )
     return ordered_pairs(left.join(right, condition), "a_cls", "b_cls")
 
@@ -331,7 +351,7 @@ def linked_rows(texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     rows = prefixes(texts, n, percent)
     filled = rows.where("size > 0")
     repeated = not filled.groupBy("doc_id", "cls").count().where("count > 1").isEmpty()
-    of_class = filled.groupBy("cls", "size").agg(F.min("doc_id").alias("doc_id"), *[F.max(b).alias(b) for b in PACKED])
+    of_class = filled.groupBy("cls", "size").agg(F.min("doc_id").alias("doc_id"), *[F.max(b).alias(b) for b in PACKED + WIDE])
     classes = store(of_class, "classes")
 
     grams = filled.select("cls", "size", F.posexplode("prefix").alias("place", "gram"))
