@@ -18,6 +18,12 @@ def side_of_join(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= most else stored
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names of our own, which no internal column has, and the new name of each column."""
+    names = {c: f"col{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Smaller batches of about `size` bytes of text, or one row; the text is the last column, without nulls."""
     for batch in batches:

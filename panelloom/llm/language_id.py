@@ -18,7 +18,8 @@ Defined cases: texts are lower-cased and cut at everything but letters and their
 text that is null or has no letter, and any text if nothing was learned, is `und` with score
 0; rows with a null lang are not learned from; a null id is hashed as an empty string; ties
 go to the smallest language; repeated rows count again; empty tables give empty results;
-other columns are kept, the text is not; texts are read whole.
+other columns are kept, but for the text and ones named as a result, which it replaces;
+texts are read whole.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.frames import text_slices
+from panelloom.llm.frames import renamed, text_slices
 from panelloom.llm.segmentation import expected_counts, log_probabilities, trie_of
 from panelloom.sources.storage import store
 
@@ -171,9 +172,7 @@ def predict(
     docs: DataFrame, model: LanguageModel, text: str = "text", cached: int = 200_000
 ) -> DataFrame:
     """docs without the text, with lang_pred and score."""
-    names = [c for c in docs.columns if c != text]
-    if clash := set(SCORED) & set(names):
-        raise ValueError(f"columns named as results: {sorted(clash)}")
+    names = [c for c in docs.columns if c not in (text, *SCORED)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +195,6 @@ def predict(
             )
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    last = max(names, key=len, default="") + "_text"  # a name no other column has
-    whole = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text), F.lit("")).alias(last))
+    own, inner = renamed(docs)
+    whole = own.select(*[inner[c] for c in names], F.coalesce(F.col(inner[text]), F.lit("")).alias("text"))
     return whole.mapInArrow(scored, f"{kinds}lang_pred string, score double")

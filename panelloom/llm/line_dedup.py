@@ -13,7 +13,8 @@ pairs with the boilerplate keys, which are stored first so that their size is kn
 
 Defined cases: null text stays null and has no lines; blank lines are never boilerplate;
 rows without a site add no spread, but lose their boilerplate lines; repeated rows and ids
-are treated alike; an empty table gives an empty result; other columns stay.
+are treated alike; an empty table gives an empty result; other columns stay, but for ones
+named as a result (n_lines, n_removed), which it replaces.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from math import exp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.frames import side_of_join
+from panelloom.llm.frames import renamed, side_of_join
 from panelloom.sources.storage import store
 
 #: Spark's sketch for a relative error of 0.1 has 128 registers; up to an estimate of 80 it
@@ -86,7 +87,9 @@ def remove_boilerplate(
     text: str = "text",
     site: str = "source",
 ) -> DataFrame:
-    """docs with shared lines taken out of the text, and n_lines, n_removed."""
+    """docs with shared lines taken out of the text, and n_lines, n_removed (which replace columns so named)."""
+    docs, names = renamed(docs)
+    doc_id, text, site = names[doc_id], names[text], names[site]
     common = side_of_join(store(boilerplate(docs, min_sites, text, site), "boilerplate"))
     named = docs.withColumn("__text", F.xxhash64(F.col(text)))
     hits = (
@@ -102,7 +105,11 @@ def remove_boilerplate(
     touched = F.col("__gone").isNotNull()
     cleaned = joined.withColumn("__kept", F.when(touched, kept))
     return cleaned.select(
-        *[F.when(touched, F.array_join("__kept", "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[
+            (F.when(touched, F.array_join("__kept", "\n")).otherwise(F.col(c)) if c == text else F.col(c)).alias(name)
+            for name, c in names.items()
+            if name not in ("n_lines", "n_removed")
+        ],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long").alias("n_removed"),
     )

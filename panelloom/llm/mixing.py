@@ -14,7 +14,7 @@ key with its source's threshold: texts never move.
 Defined cases: null text has size 0; null source is a source, ordered last; a null id is an
 id; rows that repeat id and size share a key, and where the rest ends among such copies
 their share of it is dealt by a hash of their place in the input; a source without words
-has target 0; empty table, empty result; other columns stay.
+has target 0; empty table, empty result; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelloom.llm.frames import side_of_join
+from panelloom.llm.frames import renamed, side_of_join
 from panelloom.llm.sharding import HASH_BITS, hash_of
 from panelloom.sources.storage import store
 
@@ -173,7 +173,8 @@ def mix(
     seed: int = 0,
 ) -> DataFrame:
     """The mixed documents: each row as often as it is taken, with the columns of docs."""
-    keyed = with_keys(docs, doc_id, text, source, seed)
+    docs, names = renamed(docs)
+    keyed = with_keys(docs, names[doc_id], names[text], names[source], seed)
     planned = plan(store(keyed.select("__id", "__source", "__size", "__key"), "mix_rows"), weights, share, most_epochs)
-    repeats = F.explode(F.expr("sequence(1L, __times)")).alias("__nth")
-    return times(keyed, planned).where("__times > 0").select(*docs.columns, repeats).drop("__nth")
+    repeated = times(keyed, planned).where("__times > 0").withColumn("__nth", F.explode(F.expr("sequence(1L, __times)")))
+    return repeated.select(*[F.col(c).alias(name) for name, c in names.items()])

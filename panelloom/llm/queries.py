@@ -104,8 +104,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    keyed = mixing.with_keys(table(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars", "doc_id")
-    rows = store(keyed, "mix_rows")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = store(mixing.with_keys(docs).select("__id", "__source", "__size", "__key"), "mix_rows")
     taken = mixing.times(rows, mixing.plan(rows))
     return taken.select(
         F.col("__id").alias("doc_id"),

@@ -47,6 +47,28 @@ def test_lines_on_many_sites_go(documents):
     assert line_dedup.remove_boilerplate(docs.limit(0)).count() == 0
 
 
+ODD_NAMES = ["n_lines", "n_removed", "a", "b", "__id", "__text", "__gone", "__of", "__kept", "__key", "__source", "__size",
+             "last", "rest", "start", "range", "upto", "__nth", "__times", "__target", "col0", "n"]
+
+
+def with_odd_columns(docs):
+    return docs.select("*", *[F.lit(f"own {c}").alias(c) for c in ODD_NAMES])
+
+
+def test_columns_of_any_name_stay(documents):
+    docs = documents(*[(i, f"{prose(9, i)}\nshared line", f"s{i}") for i in range(8)], (None, None, None))
+    plain = line_dedup.remove_boilerplate(docs)
+    odd = line_dedup.remove_boilerplate(with_odd_columns(docs))
+    kept = [c for c in ODD_NAMES if c not in ("n_lines", "n_removed")]
+    assert odd.columns == [*docs.columns, *kept, "n_lines", "n_removed"]
+    assert {tuple(r[c] for c in kept) for r in odd.collect()} == {tuple(f"own {c}" for c in kept)}
+    assert sorted(map(str, rows_of(odd.select(plain.columns)))) == sorted(map(str, rows_of(plain)))
+    plain, odd = mixing.mix(docs), mixing.mix(with_odd_columns(docs))
+    assert odd.columns == [*docs.columns, *ODD_NAMES]
+    assert {tuple(r[c] for c in ODD_NAMES) for r in odd.collect()} == {tuple(f"own {c}" for c in ODD_NAMES)}
+    assert sorted(map(str, rows_of(odd.select(docs.columns)))) == sorted(map(str, rows_of(plain)))
+
+
 def test_spread_bound_is_exact(documents):
     docs = documents(*[(k * 100 + i, f"line {k}", f"s{i}") for k in range(3, 9) for i in range(k)])
     found = line_dedup.boilerplate(docs, min_sites=5)

@@ -153,8 +153,10 @@ def test_languages_are_told_apart(documents):
     none = language_id.train(docs.limit(0))
     assert {r["lang_pred"] for r in language_id.predict(docs, none).collect()} == {"und"}
     assert language_id.predict(docs.limit(0), model).count() == 0
-    with pytest.raises(ValueError, match="score"):
-        language_id.predict(docs.withColumn("score", F.lit(0.0)), model)
+    clashing = docs.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(7)).withColumn("a.b", F.lit(1))
+    again = language_id.predict(clashing, model)
+    assert again.columns == ["doc_id", "lang", "__text", "a.b", "lang_pred", "score"]
+    assert sorted((r["doc_id"] or -1, r["score"]) for r in again.collect()) == sorted((i or -1, s) for i, _, _, s in got)
 
 
 def test_language_of_held_out_documents(spark):
