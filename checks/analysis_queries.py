@@ -475,10 +475,14 @@ def campaign_narratives(spark, sf_dir):
 RISK_ORDER = "ORDER BY severity_rank, coalesce(impact, 0) DESC, entity, rule_no"
 
 
-@register("top01_risk_order", f"{INV_RSK} {RISK_SELECT} FROM risks {RISK_ORDER}")
+@register(
+    "top01_risk_order",
+    f"{INV_RSK} {RISK_SELECT}, row_number() OVER ({RISK_ORDER}) - 1 AS position FROM risks",
+)
 def risk_order(spark, sf_dir):
-    ordered = risks.ordered_risks(risks_of(INV, spark, sf_dir))
-    return tidy(ordered.select(*RISK_COLUMNS))
+    """All findings with their place in the order."""
+    placed = risks.placed_risks(risks_of(INV, spark, sf_dir))
+    return tidy(placed.select(*RISK_COLUMNS, "position"))
 
 
 @register("top02_top_risks", f"{INV_RSK} {RISK_SELECT} FROM risks {RISK_ORDER} LIMIT 8")

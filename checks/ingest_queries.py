@@ -366,42 +366,44 @@ def detected(spark, sf_dir):
 ISSUE_SQL = f"""{IMPUTED}, issues AS (
   {' UNION ALL '.join(
       f"SELECT 'MISSING_DETECTED' AS code, 'bilgi' AS severity, 'isaretlendi' AS action, count(*) "
-      f"FILTER ({n} IS NULL) AS affected_rows FROM typed" for n in NUMBERS.split())}
-  UNION ALL SELECT 'UNKNOWN_COLUMNS', 'bilgi', 'isaretlendi', 0 FROM typed
+      f"FILTER ({n} IS NULL) AS affected_rows, {i} AS step FROM typed" for i, n in enumerate(NUMBERS.split(), 1))}
+  UNION ALL SELECT 'UNKNOWN_COLUMNS', 'bilgi', 'isaretlendi', 0, 0 FROM typed
     GROUP BY ALL HAVING count(*) > 0
-  UNION ALL SELECT 'INVALID_PERIOD_FORMAT', 'yuksek', 'karantina', count(*) FROM typed
+  UNION ALL SELECT 'INVALID_PERIOD_FORMAT', 'yuksek', 'karantina', count(*), 6 FROM typed
     WHERE donem = 'OCAK-26'
-  UNION ALL SELECT 'DUPLICATE_EXACT', 'orta', 'silindi', sum(copies - variants) FROM unique_rows
-  UNION ALL SELECT 'DUPLICATE_KEY', 'yuksek', 'silindi', sum(variants - 1) FROM unique_rows
-  UNION ALL SELECT 'IMPUTED_FLOW', 'orta', 'turetildi', count(*) FROM imputed
+  UNION ALL SELECT 'DUPLICATE_EXACT', 'orta', 'silindi', sum(copies - variants), 7 FROM unique_rows
+  UNION ALL SELECT 'DUPLICATE_KEY', 'yuksek', 'silindi', sum(variants - 1), 8 FROM unique_rows
+  UNION ALL SELECT 'IMPUTED_FLOW', 'orta', 'turetildi', count(*), 9 FROM imputed
     WHERE giris_miktar__imputed
-  UNION ALL SELECT 'IMPUTED_FLOW', 'orta', 'turetildi', count(*) FROM imputed
+  UNION ALL SELECT 'IMPUTED_FLOW', 'orta', 'turetildi', count(*), 10 FROM imputed
     WHERE cikis_miktar__imputed
-  UNION ALL SELECT 'IMPUTATION_AMBIGUOUS', 'yuksek', 'isaretlendi', count(*) FROM imputed
+  UNION ALL SELECT 'IMPUTATION_AMBIGUOUS', 'yuksek', 'isaretlendi', count(*), 11 FROM imputed
     WHERE conflict
-  UNION ALL SELECT 'IMPUTED_STOCK', 'orta', 'turetildi', count(*) FROM imputed
+  UNION ALL SELECT 'IMPUTED_STOCK', 'orta', 'turetildi', count(*), 12 FROM imputed
     WHERE donem_sonu_stok__imputed
-  UNION ALL SELECT 'PERIOD_GAP', 'orta', 'isaretlendi', count(*) FROM (
+  UNION ALL SELECT 'PERIOD_GAP', 'orta', 'isaretlendi', count(*), 13 FROM (
     SELECT stok_kodu FROM imputed GROUP BY 1
     HAVING count(*) < (SELECT count(DISTINCT donem) FROM imputed))
-  UNION ALL SELECT 'ROW_QUARANTINED', 'yuksek', 'karantina', count(*) FROM checked WHERE NOT complete
-  UNION ALL SELECT 'RECONCILIATION_BREAK', 'yuksek', 'isaretlendi', count(*) FROM rules
+  UNION ALL SELECT 'ROW_QUARANTINED', 'yuksek', 'karantina', count(*), 14 FROM checked WHERE NOT complete
+  UNION ALL SELECT 'RECONCILIATION_BREAK', 'yuksek', 'isaretlendi', count(*), 15 FROM rules
     WHERE reconciliation
-  UNION ALL SELECT 'NEGATIVE_VALUE', 'kritik', 'isaretlendi', count(*) FROM rules WHERE negative
-  UNION ALL SELECT 'MARGIN_INVERSION', 'kritik', 'isaretlendi', count(*) FROM rules WHERE inversion
-  UNION ALL SELECT 'COST_SPIKE', 'orta', 'isaretlendi', count(*) FROM rules WHERE spike),
+  UNION ALL SELECT 'NEGATIVE_VALUE', 'kritik', 'isaretlendi', count(*), 16 FROM rules WHERE negative
+  UNION ALL SELECT 'MARGIN_INVERSION', 'kritik', 'isaretlendi', count(*), 17 FROM rules WHERE inversion
+  UNION ALL SELECT 'COST_SPIKE', 'orta', 'isaretlendi', count(*), 18 FROM rules WHERE spike),
 found AS (SELECT * FROM issues WHERE affected_rows > 0 OR code = 'UNKNOWN_COLUMNS')
 """
 
 
 @register(
     "qua06_qry05_csv_quality_issues",
-    f"{ISSUE_SQL} SELECT code, severity, action, CAST(affected_rows AS BIGINT) AS affected_rows "
+    f"{ISSUE_SQL} SELECT code, severity, action, CAST(affected_rows AS BIGINT) AS affected_rows, row_number() OVER "
+    "(ORDER BY list_position(['kritik', 'yuksek', 'orta', 'dusuk', 'bilgi'], severity), step) - 1 AS position "
     "FROM found",
 )
 def csv_issues(spark, sf_dir):
-    outcome = ingest(spark, write_export(spark, sf_dir))
-    return quality_table(outcome).select("code", "severity", "action", "affected_rows")
+    """The issues of an ingest with their place in the report."""
+    table = quality_table(ingest(spark, write_export(spark, sf_dir)))
+    return table.select("code", "severity", "action", "affected_rows", "position")
 
 
 PENALTY_SQL = """

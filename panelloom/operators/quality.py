@@ -171,6 +171,12 @@ def ordered_issues(issues: DataFrame) -> DataFrame:
     return issues.orderBy(severity_rank(F.col("severity")), "step")
 
 
+def placed_issues(issues: DataFrame) -> DataFrame:
+    """issues with their 0-based `position`: by severity, then in the order found."""
+    order = W.orderBy(severity_rank(F.col("severity")), "step")
+    return issues.withColumn("position", F.row_number().over(order) - 1)
+
+
 def health(issues: DataFrame, raw_rows: Column) -> DataFrame:
     """One row with the 0-100 health score; resolved issues weigh less.
 

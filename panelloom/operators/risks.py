@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelloom.functions.text import quoted, render
 from panelloom.model import severity_rank
 from panelloom.operators.quality import usable
+from panelloom.operators.ranking import with_position
 from panelloom.pack import Condition, ReportPack, Stage
 
 
@@ -94,6 +95,11 @@ def ordered_risks(risks: DataFrame) -> DataFrame:
     return risks.orderBy(*risk_order())
 
 
+def placed_risks(risks: DataFrame) -> DataFrame:
+    """risks with their 0-based `position` in the risk order; no task sorts them all."""
+    return with_position(risks, *risk_order())
+
+
 def top_risks(risks: DataFrame, n: int = 8) -> DataFrame:
     if n < 1:
         raise ValueError("n must be at least 1")

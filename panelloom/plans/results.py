@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelloom.operators import risks as risk_ops
+from panelloom.operators.quality import placed_issues
 from panelloom.operators.series import public_columns
 from panelloom.pack import ReportPack, Stage
 from panelloom.packs.registry import PACKS
@@ -86,7 +87,8 @@ def risk_tables(
 
 
 def quality_table(outcome: IngestOutcome) -> DataFrame:
-    return outcome.issues.drop("step")
+    """The issues with their place in the report; a few dozen rows."""
+    return placed_issues(outcome.issues).drop("step")
 
 
 def pack_catalogue(spark: SparkSession) -> DataFrame:
