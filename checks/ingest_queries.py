@@ -575,25 +575,45 @@ def mixed_folder(spark, sf_dir):
     return scan.rows.groupBy("ad", "donem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("src07_mojibake_repair")
+def count_sql(pattern: str, x: str) -> str:
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
+
+# Fixed values, written out again for the oracles: scored letters, telltale pairs, lead letters.
+SCORED = "[çğıöşüÇĞİÖŞÜâîû]"
+PAIRS = "Ã¶|Ã¼|Ã§|Ã‡|Ã–|Ãœ|Ä±|Ä°|ÄŸ|Äž|ÅŸ|Åž"
+LEADS = "[ÃÄÅÎÏ]"
+# What CP1252 has at 0x80-0x9F, and the code points of those bytes.
+WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+WINDOWS_BYTES = (128, *range(130, 141), 142, *range(145, 157), 158, 159)
+
+
+def score_sql(x: str) -> str:
+    return f"({count_sql(SCORED, x)} - 2 * {count_sql(PAIRS, x)} - {count_sql(LEADS, x)})"
+
+
+@register(
+    "src07_mojibake_repair",
+    f"""WITH bytes AS (SELECT doc_id, text, list_transform(range(strlen(text)), lambda i:
+      ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::INT) AS b FROM documents),
+    broken AS (SELECT doc_id, text, len(list_filter(b, lambda x: x IN (129, 141, 143, 144, 157))) = 0 AS reversible,
+      translate(array_to_string(list_transform(b, lambda x: chr(x)), ''),
+        '{"".join(map(chr, WINDOWS_BYTES))}', '{WINDOWS}') AS broken FROM bytes)
+    SELECT doc_id, broken <> text AS was_broken, CASE WHEN regexp_matches(broken, '{PAIRS}') AND reversible
+      AND {score_sql("text")} > {score_sql("broken")} THEN text ELSE broken END AS repaired FROM broken""",
+)
 def mojibake_repair(spark, sf_dir):
+    """Documents damaged by a wrong codec, each repaired on its own where that is safe."""
     docs = table(spark, sf_dir, "documents")
-    broken = docs.selectExpr("doc_id", "lang", "text", f"{to_mojibake('text')} AS broken")
+    broken = docs.selectExpr("doc_id", "text", f"{to_mojibake('text')} AS broken")
     return broken.select(
-        "doc_id",
-        "lang",
-        (F.col("broken") != F.col("text")).alias("was_broken"),
-        (enc.repair_mojibake("broken") == F.col("text")).alias("restored"),
+        "doc_id", (F.col("broken") != F.col("text")).alias("was_broken"), enc.repair_mojibake("broken").alias("repaired")
     )
 
 
-def count_sql(pattern: str, x: str) -> str:
-    return f"len(regexp_extract_all({x}, '{pattern}'))"
-
-
 @register(
     "src08_mojibake_flags",
-    "SELECT doc_id, regexp_matches(text, '" + enc.PAIRS_PATTERN + "') AS flagged FROM documents",
+    f"SELECT doc_id, regexp_matches(text, '{PAIRS}') AS flagged FROM documents",
 )
 def mojibake_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").selectExpr(
@@ -603,9 +623,7 @@ def mojibake_flags(spark, sf_dir):
 
 @register(
     "src09_turkish_score",
-    f"SELECT doc_id, CAST({count_sql('[' + enc.TURKISH_SCORED + ']', 'text')} - 2 * "
-    f"{count_sql(enc.PAIRS_PATTERN, 'text')} - {count_sql('[' + enc.MOJIBAKE_LEADS + ']', 'text')} "
-    "AS BIGINT) AS score FROM documents",
+    f"SELECT doc_id, CAST({score_sql('text')} AS BIGINT) AS score FROM documents",
 )
 def turkish_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").selectExpr(
