@@ -37,10 +37,9 @@ def changes(series: DataFrame, pack: ReportPack) -> DataFrame:
         SEEN_PERIOD,
         SEEN_LABEL,
     ).filter(F.col("change").isNotNull() & F.col("label").eqNullSafe(F.col(SEEN_LABEL)))
-    # Periods match YYYY-MM, so the calendar has at most a million short rows.
     return (
         moved.join(
-            F.broadcast(calendar),
+            calendar,
             (F.col("period") == F.col("__p")) & (F.col(SEEN_PERIOD) == F.col("__pp")),
         )
         .select("entity", "label", "period", F.col("__pp").alias("previous_period"), "change")
