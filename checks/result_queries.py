@@ -130,6 +130,42 @@ def grounding_report(spark, sf_dir):
     return tidy(report.selectExpr("* EXCEPT (issues)", "size(issues) AS issue_count"))
 
 
+def claim_documents(claims):
+    """One JSON document per entity or month: an action, an opportunity and evidence of its own."""
+    item = F.struct("metric", "value", F.lit("adet").alias("unit"), "entity", "period")
+    kind = F.left("claim_id", F.lit(1))
+    listed = {k: F.collect_list(F.when(kind == k, item)) for k in "ABCDE"}
+    docs = claims.groupBy(F.substring("claim_id", 2, 40).alias("doc")).agg(*[v.alias(k) for k, v in listed.items()])
+    payload = F.to_json(F.struct(
+        F.array(F.struct(F.lit("yuksek").alias("priority"), F.lit("t").alias("title"), F.col("A").alias("evidence"))).alias("actions"),
+        F.array(F.struct(F.lit("t").alias("title"), F.col("E").alias("evidence"))).alias("top_risks"),
+        F.array(F.struct(F.lit("t").alias("title"), F.col("B").alias("evidence"))).alias("opportunities"),
+        F.array(F.struct(F.lit("t").alias("title"), F.col("D").alias("evidence"))).alias("strategic_actions"),
+        F.col("C").alias("evidence"),
+    ))
+    empty = claims.sparkSession.range(1).select(F.lit("none").alias("doc"), F.lit('{"actions": []}').alias("payload"))
+    return docs.select("doc", payload.alias("payload")).union(empty)
+
+
+@register(
+    "grd03_06_document_reports",
+    f"{GROUND_SQL}, by_doc AS (SELECT substr(claim_id, 2) AS doc, claim_id, metric, expected, verified FROM judged) "
+    "SELECT doc, count(*) AS total_evidence, count(*) FILTER (verified) AS verified_evidence, "
+    f"round(count(*) FILTER (verified) / count(*) + {NUDGE}, 4) + 0.0 AS grounding_ratio, "
+    "count(*) FILTER (verified) / count(*) >= 0.8 AS is_acceptable, coalesce(string_agg(metric || ':' || "
+    f"CASE WHEN expected IS NULL THEN '{grounding.NOT_FOUND}' ELSE '{grounding.DEVIATES}' END, '; ' ORDER BY claim_id) "
+    "FILTER (NOT verified), '') AS issues FROM by_doc GROUP BY doc UNION ALL SELECT 'none', 0, 0, 1.0, true, ''",
+)
+def document_reports(spark, sf_dir):
+    """Documents with evidence in their parts, each with its own report."""
+    result = analyze(inventory_panel(spark, sf_dir), INV)
+    claims = claims_of(result)
+    facts = grounding.written_facts(result, claims)
+    reports = grounding.document_reports(claim_documents(claims), "doc", "payload", facts)
+    issues = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["metric"], i["reason"])), "; ")
+    return tidy(reports.withColumn("issues", issues))
+
+
 @register(
     "grd01_fact_index_series_part",
     f"{sql.chain(sql.INVENTORY_PANEL, sql.INVENTORY_SERIES)} SELECT metric, entity, period, "

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelloom.functions.text import fold_name
 from panelloom.model import severity_rank
@@ -300,6 +300,43 @@ def collect_evidence(documents: DataFrame, doc_id: str, payload: str) -> DataFra
     )
 
 
+def document_reports(
+    documents: DataFrame, doc_id: str, payload: str, facts: DataFrame, issues: int = 20
+) -> DataFrame:
+    """The grounding report of every JSON document: its evidence collected, looked up and judged.
+
+    One row per document, also for those without evidence (share 1.0, acceptable). Issues are
+    the first failed items in document order; their limit runs before the exchange, so a
+    document with most of the evidence sends `issues` rows per task. Documents with one id are
+    one document.
+    """
+    named = documents.select(F.col(doc_id).cast("string").alias("doc"), F.col(payload).alias("payload"))
+    items = collect_evidence(named, "doc", "payload")
+    claim = F.concat_ws("#", F.coalesce("doc", F.lit("")), F.lpad("pos", 6, "0"))
+    judged = verify(items.withColumn("claim_id", claim), facts)
+    totals = judged.groupBy("doc").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("verified").alias("verified")
+    )
+    in_order = Window.partitionBy("doc").orderBy("pos", "claim_id")
+    failed = judged.filter(~F.col("verified")).withColumn("nth", F.row_number().over(in_order)).filter(F.col("nth") <= issues)
+    fields = F.struct("nth", *[f for f in ISSUE_FIELDS if f != "claim_id"])
+    listed = failed.groupBy("doc").agg(F.sort_array(F.collect_list(fields)).alias("listed"))
+    ratio = F.when(F.col("total") > 0, F.col("verified") / F.col("total")).otherwise(1.0)
+    known = named.select("doc").distinct()
+    for side in (totals, listed):
+        side = side.withColumnRenamed("doc", "of")
+        known = known.join(side, F.col("doc").eqNullSafe(F.col("of")), "left").drop("of")
+    known = known.withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
+    return known.select(
+        F.col("doc").alias(doc_id),
+        F.col("total").alias("total_evidence"),
+        F.coalesce("verified", F.lit(0).cast("long")).alias("verified_evidence"),
+        F.bround(ratio, 4).alias("grounding_ratio"),
+        (ratio >= ACCEPTABLE_RATIO).alias("is_acceptable"),
+        F.transform(F.coalesce("listed", F.array()), lambda i: i.dropFields("nth")).alias("issues"),
+    )
+
+
 def without_evidence(documents: DataFrame, doc_id: str, payload: str) -> DataFrame:
     """Actions and highlights that carry no evidence; there should be none."""
     parsed = documents.select(doc_id, F.from_json(payload, PAYLOAD).alias("__payload"))

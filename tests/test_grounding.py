@@ -131,3 +131,28 @@ def test_call_log(spark):
     big, small = 1000 * 4 + 100 * 20 + 10 * 5.0, 1000 * 1 + 100 * 5 + 500 * 0.1
     assert one["total_cost_usd"] == round((big + small) / 1e6, 5) and one["duration_ms"] == 12
     assert rows["r2"]["total_cost_usd"] == round((1000 * 5 + 100 * 25) / 1e6, 5)
+
+
+def test_each_document_gets_its_report(spark):
+    result = analyze(spark.createDataFrame(ROWS, PACK.schema), PACK)
+    entity = result.entity_rows.select(PACK.entity, "son_stok").first()
+    facts = grounding.written_facts(result)
+    right = f'{{"metric": "son_stok", "value": {entity[1]}, "unit": "adet", "entity": "{entity[0]}"}}'
+    wrong = f'{{"metric": "son_stok", "value": {entity[1] + 999}, "unit": "adet", "entity": "{entity[0]}"}}'
+    bogus = '{"metric": "made_up", "value": 1, "unit": "adet"}'
+    payloads = [
+        ("good", f'{{"actions": [{{"title": "a", "evidence": [{right}]}}], "evidence": [{right}]}}'),
+        ("bad", f'{{"actions": [{{"title": "a", "evidence": [{right}, {wrong}]}}], "top_risks": [{{"evidence": [{bogus}]}}]}}'),
+        ("bare", '{"actions": []}'), ("broken", "no json"), ("null", None), (None, f'{{"evidence": [{wrong}]}}'),
+        ("many", f'{{"evidence": [{", ".join([bogus] * 50)}]}}'),
+    ]
+    docs = spark.createDataFrame(payloads, "doc string, payload string")
+    got = {r["doc"]: r for r in grounding.document_reports(docs, "doc", "payload", facts).collect()}
+    assert len(got) == 7
+    assert (got["good"]["total_evidence"], got["good"]["verified_evidence"], got["good"]["is_acceptable"]) == (2, 2, True)
+    assert got["bad"]["grounding_ratio"] == 0.3333 and not got["bad"]["is_acceptable"]
+    assert [i["reason"] for i in got["bad"]["issues"]] == [grounding.DEVIATES, grounding.NOT_FOUND]
+    for doc in ("bare", "broken", "null"):
+        assert tuple(got[doc])[1:5] == (0, 0, 1.0, True) and got[doc]["issues"] == []
+    assert got[None]["total_evidence"] == 1 and not got[None]["is_acceptable"]
+    assert got["many"]["total_evidence"] == 50 and len(got["many"]["issues"]) == 20
