@@ -25,7 +25,8 @@ from panelloom.llm import (
 from panelloom.sources.storage import store
 
 SHARDS = 24
-TOKENIZER = os.environ.get("PANELLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: A path, or the name of a file of the installed vocabularies, looked up where it is read.
+TOKENIZER = os.environ.get("PANELLOOM_TOKENIZER", "byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

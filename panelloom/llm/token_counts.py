@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.vocabularies import path_of
+
 #: Fixed value: how byte-level BPE cuts text, with white space as Unicode's property.
 PRE_TOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -36,7 +38,7 @@ BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
 def tokenizer(file: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(file)
+    made = Tokenizer.from_file(path_of(file))
     made.no_truncation()
     made.no_padding()
     return made
