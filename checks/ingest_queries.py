@@ -23,6 +23,7 @@ from panelloom.operators.impute import impute
 from panelloom.operators.series import build_series
 from panelloom.packs import campaigns, inventory
 from panelloom.packs.registry import detect_pack
+from panelloom.plans import uploads
 from panelloom.plans.ingest import ingest
 from panelloom.plans.results import quality_table
 from panelloom.sources import csv_scan
@@ -184,6 +185,31 @@ def removed_counts(spark, sf_dir):
     )
 
 
+LATE = "(s % 3 = 0 AND (copy = 2 OR donem >= '1999'))"
+LATE_TYPED = (
+    DIRTY_SQL.replace("s * 1000000 + k * 10 + copy AS seq", f"s * 1000000 + k * 10 + copy + IF({LATE}, 1000000000000, 0) AS seq")
+    .replace("FROM copied)", f"FROM copied WHERE {LATE} OR (copy <> 2 AND donem < '2000'))")
+)
+
+
+@register(
+    "ded02_late_uploads",
+    f"{sql.chain(sql.INVENTORY_PANEL, LATE_TYPED, IMPUTED_SQL)} SELECT stok_kodu, donem, {rounded(NUMBERS)}, {FLAGS} "
+    "FROM checked WHERE complete",
+)
+def late_uploads(spark, sf_dir):
+    """Two uploads, the second with corrections and new months of a third of the products."""
+    rows = kept_rows(spark, sf_dir)
+    s, k, copy = (F.expr(x) for x in (f"{SEQ} div 1000000", f"({SEQ} % 1000000) div 10", f"{SEQ} % 10"))
+    month = F.concat_ws("-", F.lpad(((k - 1) / 12).cast("int").cast("string"), 4, "0"), F.lit("01"))
+    late = (s % 3 == 0) & ((copy == 2) | (month >= "1999-01"))
+    first = rows.where(~late & (copy != 2) & (month < "2000-01"))
+    held = uploads.first_upload(uploads.upload_rows(first, SEQ, 0), INV)
+    held = uploads.add_upload(held, uploads.upload_rows(rows.where(late), SEQ, 1), INV)
+    flags = [c.strip() for c in FLAGS.split(",")]
+    return tidy(held.series.select("stok_kodu", "donem", *NUMBERS.split(), *flags))
+
+
 # -- imputation -----------------------------------------------------------------
 @register(
     "im01_03_imx01_imx03_inventory_imputation",
