@@ -383,10 +383,10 @@ def csv_rows(spark, sf_dir):
     "src05_detected_pack", f"{DIRTY} SELECT '{INV.key}' AS pack, count(*) AS rows FROM typed"
 )
 def detected(spark, sf_dir):
-    """The report type of each panel, from its header, with the rows it applies to."""
-    rows = dirty_inventory(spark, sf_dir)
-    pack = detect_pack([c for c in rows.columns if c != SEQ])
-    return rows.agg(F.lit(pack.key).alias("pack"), F.count(F.lit(1)).alias("rows"))
+    """The report type of an export, from the header of its files, with the rows it applies to."""
+    scan = csv_scan.scan_csv(spark, write_export(spark, sf_dir))
+    pack = detect_pack(scan.headers)
+    return scan.rows.agg(F.lit(pack.key).alias("pack"), F.count(F.lit(1)).alias("rows"))
 
 
 ISSUE_SQL = f"""{IMPUTED}, issues AS (

@@ -497,19 +497,29 @@ def filtered_risks(spark, sf_dir):
     return results.risk_tables(result, severity="orta")["by_code"]
 
 
+def found_sql(chain: str, key: str) -> str:
+    return (
+        f"({chain} SELECT '{key}' AS key, (SELECT count(*) FROM entities) AS entities, count(*) AS findings, "
+        "count(DISTINCT code) AS rules_met FROM risks)"
+    )
+
+
 @register(
     "qry06_pack_catalogue",
-    "WITH cells AS (SELECT DISTINCT l_suppkey, strftime(l_shipdate, '%Y-%m') AS donem FROM lineitem) "
-    "SELECT key, title, risk_rule_count, metric_count, (SELECT count(*) FROM cells) AS rows FROM "
-    f"(VALUES ('{INV.key}', '{INV.title}', 10, 14), ('{CMP.key}', '{CMP.title}', 7, 12)) "
-    "t(key, title, risk_rule_count, metric_count)",
+    f"WITH found AS (SELECT * FROM {found_sql(aq.INV_RSK, INV.key)} UNION ALL SELECT * FROM {found_sql(aq.CMP_RSK, CMP.key)}) "
+    "SELECT key, title, risk_rule_count, metric_count, entities, findings, rules_met FROM "
+    "(VALUES ('inventory', 'Stok ve Satış Raporu', 10, 14), ('campaigns', 'Reklam Performans Raporu', 7, 12)) "
+    "t(key, title, risk_rule_count, metric_count) JOIN found USING (key)",
 )
 def catalogue(spark, sf_dir):
-    """The report types with the rows of the panel each of them describes."""
-    rows = inventory_panel(spark, sf_dir).agg(
-        F.lit(INV.key).alias("key"), F.count(F.lit(1)).alias("rows")
-    ).unionByName(
-        campaign_panel(spark, sf_dir).agg(F.lit(CMP.key).alias("key"), F.count(F.lit(1)).alias("rows"))
-    )
+    """The report types with what their rules find in the panel each of them describes."""
+    found = []
+    for pack in (INV, CMP):
+        rows, entities = aq.risks_of(pack, spark, sf_dir), aq.entities_of(pack, spark, sf_dir)
+        found.append(rows.agg(
+            F.lit(pack.key).alias("key"),
+            F.count(F.lit(1)).alias("findings"),
+            F.count_distinct("code").alias("rules_met"),
+        ).withColumn("entities", entities.agg(F.count(F.lit(1))).scalar()))
     shown = results.pack_catalogue(spark).select("key", "title", "risk_rule_count", "metric_count")
-    return shown.join(rows, "key")
+    return tidy(shown.join(found[0].unionByName(found[1]), "key"))
