@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 from pyspark.sql.functions import col
 
 from panelloom.functions.panel import Panel, c, safe_ratio, total
-from panelloom.functions.text import number, render
+from panelloom.functions.text import number
 from panelloom.pack import Condition, Fill, ReportPack, Stage, Wording, named_at, source_column
 from panelloom.packs import campaigns_texts as texts
 
