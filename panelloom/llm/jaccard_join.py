@@ -324,10 +324,15 @@ def in_mixed_grams(grams: DataFrame, comps: DataFrame) -> DataFrame:
     return store(rows.join(store(mains, "mixed_grams"), "gram"), "mixed_rows")
 
 
-def remaining_pairs(mixed_rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that share a prefix n-gram and pass all filters."""
+def remaining_pairs(mixed_rows: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that share a prefix n-gram and pass all filters.
+
+    The wide parities of the classes concerned come from `rows`, so that no others travel.
+    """
     t = percent / 100
-    full = mixed_rows.join(classes.select("cls", *PACKED, *WIDE), "cls")
+    concerned = rows.select("cls", *WIDE).join(mixed_rows.select("cls").distinct(), "cls", "left_semi")
+    wide = concerned.groupBy("cls").agg(*[F.max(c).alias(c) for c in WIDE])
+    full = mixed_rows.join(classes.select("cls", *PACKED), "cls").join(wide, "cls")
     columns = ("gram", "cls", "size", "place", "component", *PACKED, *WIDE)
     left = sided(full.where("component <> main"), "a", *columns, "main")
     right = sided(full, "b", *columns)
@@ -351,7 +356,7 @@ def linked_rows(texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     rows = prefixes(texts, n, percent)
     filled = rows.where("size > 0")
     repeated = not filled.groupBy("doc_id", "cls").count().where("count > 1").isEmpty()
-    of_class = filled.groupBy("cls", "size").agg(F.min("doc_id").alias("doc_id"), *[F.max(b).alias(b) for b in PACKED + WIDE])
+    of_class = filled.groupBy("cls", "size").agg(F.min("doc_id").alias("doc_id"), *[F.max(b).alias(b) for b in PACKED])
     classes = store(of_class, "classes")
 
     grams = filled.select("cls", "size", F.posexplode("prefix").alias("place", "gram"))
@@ -371,7 +376,7 @@ def linked_rows(texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
         if star:
             pairs = ordered_pairs(rows_left.where("component <> main"), "cls", "center")
         else:
-            pairs = remaining_pairs(rows_left, classes, percent)
+            pairs = remaining_pairs(rows_left, classes, filled, percent)
         more = corpus.linked(pairs)
         if not more.isEmpty():
             links = links.union(more)
