@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from checks import oracle_panels as sql
 from checks.dirty_rows import (
@@ -27,7 +29,7 @@ from panelloom.plans import uploads
 from panelloom.plans.ingest import ingest
 from panelloom.plans.results import quality_table
 from panelloom.sources import csv_scan
-from panelloom.sources.storage import new_path
+from panelloom.sources.storage import new_path, store
 
 INV, CMP = inventory.PACK, campaigns.PACK
 QUERIES: dict = {}
@@ -560,10 +562,15 @@ def encodings() -> dict[str, tuple[str, str]]:
 
 def write_encodings(spark, sf_dir, folder: str) -> str:
     """Three files of each kind; folder: where those of a kind go, below a new path."""
-    names, root = turkish_names(spark, sf_dir).repartition(3), new_path(spark, "encodings")
+    names, root = store(turkish_names(spark, sf_dir), "turkish_names"), new_path(spark, "encodings")
+
+    folders: dict[str, list] = {}
     for kind, (text, charset) in encodings().items():
-        shown = names.selectExpr(f"{text} AS ad", "donem").write.mode("append").option("header", True)
-        shown.option("encoding", charset).csv(f"{root}/{folder.format(kind=kind)}")
+        # every text as the Latin-1 characters of its bytes, so that one job writes a folder's files
+        written = text if charset == "ISO-8859-1" else f"decode(encode({text}, '{charset}'), 'ISO-8859-1')"
+        folders.setdefault(folder.format(kind=kind), []).append(names.repartition(3).selectExpr(f"{written} AS ad", "donem"))
+    for to, parts in folders.items():
+        reduce(DataFrame.union, parts).write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{root}/{to}")
     return root
 
 

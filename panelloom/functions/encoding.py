@@ -24,13 +24,26 @@ CP1254_UNDEFINED = "\x81\x8d\x8e\x8f\x90\x9d\x9e"
 # The six letters in which ISO-8859-9 and CP1254 differ from Latin-1.
 LATIN1_SIX, TURKISH_SIX = "ÐÝÞðýþ", "ĞİŞğış"
 
-PAIRS_PATTERN = "|".join(MOJIBAKE_PAIRS)
+
+def by_lead(pairs: tuple[str, ...]) -> str:
+    """A pattern of the pairs that tries each lead letter once."""
+    leads = dict.fromkeys(p[0] for p in pairs)
+    return "|".join(f"{lead}[{''.join(p[1] for p in pairs if p[0] == lead)}]" for lead in leads)
+
+
+PAIRS_PATTERN = by_lead(MOJIBAKE_PAIRS)
 
 
 def has_mojibake(x: str) -> str:
     return f"{x} RLIKE {quoted(PAIRS_PATTERN)}"
 
 
+def has_legacy_mojibake(latin: str) -> str:
+    """has_mojibake of turkish_from_latin1: the pairs as they look in text read as Latin-1."""
+    back = str.maketrans(TURKISH_SIX + CP1252_CHARS, LATIN1_SIX + CONTROLS)
+    return f"{latin} RLIKE {quoted(by_lead(tuple(p.translate(back) for p in MOJIBAKE_PAIRS)))}"
+
+
 def turkish_score(x: str) -> str:
     """SQL: Turkish letters minus twice the telltale pairs minus the lead letters."""
     return (
@@ -43,13 +56,14 @@ def undo_cp1252(x: str) -> str:
     """SQL: encode as CP1252, decode as UTF-8; null where either step fails.
 
     CP1252 bytes are reached through Latin-1: the characters CP1252 has of its
-    own are first moved to the code points of their bytes.
+    own are first moved to the code points of their bytes. Plain ASCII stays as it is.
     """
-    outside = f"[^\\u0000-\\u007F\\u00A0-\\u00FF{CP1252_CHARS}]"
+    # ASCII characters fall out of both ranges before the long list is asked
+    outside = f"[\\u0080-\\u009F[\\u0100-\\x{{10FFFF}}&&[^{CP1252_CHARS}]]]"
     as_latin = f"translate({x}, {quoted(CP1252_CHARS)}, {quoted(CONTROLS)})"
     as_bytes = f"encode({as_latin}, 'ISO-8859-1')"
     return (
-        f"CASE WHEN {x} RLIKE {quoted(outside)} THEN NULL "
+        f"CASE WHEN NOT {x} RLIKE '[^\\\\u0000-\\\\u007F]' THEN {x} WHEN {x} RLIKE {quoted(outside)} THEN NULL "
         f"ELSE try_validate_utf8(cast({as_bytes} AS string)) END"
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelloom.functions import encoding as enc
 from panelloom.functions.text import quoted
 from panelloom.model import EmptyDatasetError, IngestionError, SchemaMismatchError
-from panelloom.sources.records import cells_of, header_names, records
+from panelloom.sources.records import cells_of, first_records, header_names, records
 from panelloom.sources.storage import store
 
 SEQ = "__seq"  # position of a row in the input: (file, block, row)
@@ -32,7 +32,6 @@ def audit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("file")
     )
     latin = "decode(cast(value AS binary), 'ISO-8859-1')"
-    legacy = enc.turkish_from_latin1(latin)
     fixed = enc.undo_cp1252("value")
     # the round trip of plain ASCII is the text itself; skip the work
     lines = lines.selectExpr(
@@ -44,7 +43,7 @@ def audit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "value RLIKE '[^\\\\x00-\\\\x7F]' AS wide",
         "replace(value, '\"\"', '') AS unescaped",
         f"is_valid_utf8(value) AND {enc.has_mojibake('value')} AS broken",
-        f"NOT is_valid_utf8(value) AND {enc.has_mojibake(legacy)} AS broken_legacy",
+        f"NOT is_valid_utf8(value) AND {enc.has_legacy_mojibake(latin)} AS broken_legacy",
     ).withColumn(
         # a cell whose quote is not closed on its line, or a mark that looks like one
         "open",
@@ -62,7 +61,7 @@ def audit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.bool_or("broken_legacy").alias("broken_legacy"),
         F.count_if("broken").alias("broken_lines"),
         F.expr("bool_and(CASE WHEN wide THEN fixed IS NOT NULL ELSE true END)").alias("reversible"),
-        F.expr(f"sum(CASE WHEN wide AND utf8 THEN {gain} ELSE 0 END)").alias("gain"),
+        F.expr(f"sum(CASE WHEN fixed IS NOT NULL THEN {gain} ELSE 0 END)").alias("gain"),
         F.bool_or("open").alias("quoted_breaks"),
         F.bool_or("bom").alias("bom"),
     )
@@ -187,15 +186,21 @@ def read_mixed(
     The verdicts, one row per file, are joined to the records by the hash of the file's path.
     """
     verdicts = audit.select(F.xxhash64("file").alias("key"), "file", "encoding", "verdict")
-    found = records(spark, path, quoted_breaks).join(verdicts, "key")
     text = (
         "CASE encoding WHEN 'utf-8-sig' THEN cast(encode(text, 'ISO-8859-1') AS string) "
         f"WHEN 'cp1254' THEN {enc.turkish_from_latin1('text')} "
         f"ELSE {enc.turkish_from_latin1('text', True)} END"
     )
-    found = found.withColumn("text", F.expr(text)).withColumn("is_header", F.expr("block = 0 AND row = 0"))
+
+    def decoded(found: DataFrame) -> DataFrame:
+        return found.join(verdicts, "key").withColumn("text", F.expr(text))
+
+    found = records(spark, path, quoted_breaks)
+    is_header = F.expr("block = 0 AND row = 0")
+    heads = decoded(found.where(is_header) if quoted_breaks else first_records(spark, path))
+    found = decoded(found.where(~is_header))
     mended = f"CASE WHEN verdict = 'repaired' THEN coalesce({enc.undo_cp1252('text')}, text) ELSE text END"
-    headers = found.where("is_header").select(F.ltrim(F.expr(mended), F.lit(BOM)).alias("text")).distinct()
+    headers = heads.select(F.ltrim(F.expr(mended), F.lit(BOM)).alias("text")).distinct()
     first = [r["text"] for r in headers.limit(2).collect()]
     if not first or not header_names(first[0]):
         raise EmptyDatasetError("the input has no header")
@@ -203,16 +208,20 @@ def read_mixed(
         raise SchemaMismatchError("the files of the input differ in their header")
     names = header_names(first[0])
     seq = F.struct("file", "block", "row").alias(SEQ)
-    rows = found.where("NOT is_header").select(
+    rows = found.select(
         cells_of(F.col("text"), len(names)).alias("cells"), "verdict", seq
     )
 
     def repaired(cell: str) -> str:
         return f"CASE WHEN verdict = 'repaired' THEN coalesce({enc.undo_cp1252(cell)}, {cell}) ELSE {cell} END"
 
+    places = range(len(names))
     cells = {name: f"cells.c{i}" for i, name in enumerate(names)}
     before = rows.where("verdict = 'repaired'").select(*[F.col(x).alias(n) for n, x in cells.items()], SEQ)
-    return rows.select(*[F.expr(repaired(x)).alias(n) for n, x in cells.items()], SEQ), before
+    # the array binds the cells to a name: a filter on them does not work them out again
+    whole = F.array(F.struct(*[F.expr(repaired(f"cells.c{i}")).alias(f"c{i}") for i in places]))
+    rows = rows.select(F.explode(whole).alias("cells"), SEQ)
+    return rows.select(*[F.col(x).alias(n) for n, x in cells.items()], SEQ), before
 
 
 def repair_all(rows: DataFrame) -> DataFrame:

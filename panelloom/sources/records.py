@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from panelloom.sources.storage import store
@@ -31,6 +32,7 @@ OPENS = re.compile(rf"{_CELLS}\Z", re.DOTALL)
 STAYS = re.compile(rf'{_QUOTED}(?:\Z|"[^,]*+,{_CELLS}\Z)', re.DOTALL)
 
 WHOLE, BEGIN, MIDDLE, END = range(4)
+RECORD = "key long, block long, row long, part int, text string"
 
 
 def inside_after(line: str, inside: bool) -> bool:
@@ -50,15 +52,44 @@ def latin_lines(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list]]:
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Array]]:
     """(key, block, lines) of consecutive lines of one block; a block may come in several runs."""
     for batch in batches:
         key, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         new = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1
-        lines = batch.column(2).to_pylist()
-        for a, b in zip([0, *new], [*new, len(lines)]):
+        for a, b in zip([0, *new], [*new, batch.num_rows]):
             if a < b:
-                yield int(key[a]), int(block[a]), lines[a:b]
+                yield int(key[a]), int(block[a]), batch.column(2)[a:b]
+
+
+def first_records(spark: SparkSession, path) -> DataFrame:
+    """key, block, row, text of the first record of every file, where no cell holds a line break.
+
+    Only the files' first blocks are looked at, and their lines no further than to the first
+    that is not blank.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.diff(key) != 0) + 1
+            for a, b in zip([0, *new], [*new, len(key)]):
+                if a < b and int(key[a]) not in done:
+                    lines = (line.as_py() for line in batch.column(2)[a:b])
+                    if first := next((x for x in lines if x.strip()), None):
+                        done.add(int(key[a]))
+                        yield records_of(int(key[a]), 0, 0, pa.array([first]))
+
+    lines = latin_lines(spark, path).where("block = 0").mapInArrow(found, RECORD)
+    return lines.select("key", "block", "row", "text")
+
+
+def records_of(key: int, block: int, row: int, texts: pa.Array) -> pa.RecordBatch:
+    """Whole records of a block, numbered from `row`."""
+    n = len(texts)
+    columns = np.full(n, key), np.full(n, block), np.arange(row, row + n), np.full(n, WHOLE, dtype=np.int32)
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), texts], names=["key", "block", "row", "part", "text"])
 
 
 def block_ends(lines: DataFrame) -> DataFrame:
@@ -71,9 +102,8 @@ def block_ends(lines: DataFrame) -> DataFrame:
                 if at:
                     yield row(at, states)
                 at, states = (key, block), (False, True)
-            for line in own:
-                if line is not None:
-                    states = tuple(inside_after(line, s) for s in states)
+            for line in pc.drop_null(own).to_pylist():
+                states = tuple(inside_after(line, s) for s in states)
         if at:
             yield row(at, states)
 
@@ -125,7 +155,16 @@ def cut(lines: DataFrame, inside: list[tuple[int, int]]) -> DataFrame:
                 end_of_block()
                 at, piece, row = (key, block), [], 0
                 state = headless = at in open_blocks.value
-            for line in own:
+            lines = own.to_pylist()
+            if not state and not piece and not pc.any(pc.match_substring(own, QUOTE)).as_py():
+                # without a quote every line is a record
+                filled = [bool(line.strip()) for line in lines]
+                texts = own if all(filled) else own.filter(pa.array(filled))
+                if len(texts):
+                    yield records_of(key, block, row, texts)
+                row += len(texts)
+                continue
+            for line in lines:
                 if not state and not piece and not line.strip():
                     continue
                 piece.append(line)
@@ -145,7 +184,7 @@ def cut(lines: DataFrame, inside: list[tuple[int, int]]) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return lines.mapInArrow(made, "key long, block long, row long, part int, text string")
+    return lines.mapInArrow(made, RECORD)
 
 
 def stitched(pieces: DataFrame) -> DataFrame:

@@ -138,3 +138,36 @@ def test_line_break_inside_quotes(spark, write_csv):
     assert [r["urun_adi"] for r in scan.rows.select(F.col("urun_adi")).collect()] == [
         'two\nlines, "quoted"'
     ]
+
+
+def test_pairs_in_legacy_files_are_found_without_decoding_them(spark):
+    shown = [chr(i) + chr(j) for i in (0xC3, 0xC4, 0xC5, 0xD0) for j in range(0x80, 0x100)]
+    rows = spark.createDataFrame([(x,) for x in shown], "t string")
+    found = rows.selectExpr(
+        f"{enc.has_legacy_mojibake('t')} AS quick", f"{enc.has_mojibake(enc.turkish_from_latin1('t'))} AS whole"
+    ).collect()
+    assert all(r["quick"] == r["whole"] for r in found) and sum(r["quick"] for r in found) == len(enc.MOJIBAKE_PAIRS)
+
+
+def test_round_trip_fails_outside_of_cp1252_only(spark):
+    points = [*range(1, 0x180), *(ord(c) for c in enc.CP1252_CHARS), 0x3042, 0x1F600]
+    rows = spark.createDataFrame([(f"x{chr(p)}", p) for p in points], "t string, p int")
+
+    def expected(text):
+        try:
+            return text.encode("cp1252").decode("utf-8")
+        except UnicodeError:
+            return None
+
+    for r in rows.selectExpr("t", f"{enc.undo_cp1252('t')} AS f").collect():
+        assert r["f"] == expected(r["t"]), r
+
+
+def test_a_mixed_folder_parses_each_record_once(spark, tmp_path):
+    for name, encoding in (("a", "utf-8"), ("b", "cp1254")):
+        (tmp_path / f"{name}.csv").write_bytes("ad,donem\n\n \t\nÇağrı,2026-01\n ,\n".encode(encoding))
+    (tmp_path / "c.csv").write_bytes(("\n\nad,donem\n" + broken("Çağrı") + ',"2026-01"\n').encode())
+    scan = scan_csv(spark, str(tmp_path))
+    assert scan.headers == ("ad", "donem") and scan.repaired
+    assert [tuple(r)[:2] for r in scan.rows.collect()] == [("Çağrı", "2026-01")] * 3
+    assert scan.rows._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
