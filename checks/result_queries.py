@@ -16,7 +16,7 @@ from panelloom.plans import results
 from panelloom.plans.analyze import analyze
 from panelloom.plans.ingest import ingest
 from panelloom.sources import ledger
-from panelloom.sources.storage import new_path
+from panelloom.sources.storage import new_path, store
 
 INV, CMP = inventory.PACK, campaigns.PACK
 QUERIES: dict = {}
@@ -103,7 +103,7 @@ judged AS (
 
 def checked_claims(spark, sf_dir):
     result = analyze(inventory_panel(spark, sf_dir), INV)
-    claims = claims_of(result)
+    claims = store(claims_of(result), "claims")
     return grounding.verify(claims, grounding.written_facts(result, claims))
 
 
@@ -159,9 +159,10 @@ def claim_documents(claims):
 def document_reports(spark, sf_dir):
     """Documents with evidence in their parts, each with its own report."""
     result = analyze(inventory_panel(spark, sf_dir), INV)
-    claims = claims_of(result)
+    claims = store(claims_of(result), "claims")
     facts = grounding.written_facts(result, claims)
-    reports = grounding.document_reports(claim_documents(claims), "doc", "payload", facts)
+    documents = store(claim_documents(claims), "claim_documents")
+    reports = grounding.document_reports(documents, "doc", "payload", facts)
     issues = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["metric"], i["reason"])), "; ")
     return tidy(reports.withColumn("issues", issues))
 

@@ -16,7 +16,8 @@ def fold_name(name: Column) -> Column:
     folded = F.lower(F.translate(name, TURKISH_LETTERS, ASCII_LETTERS))
     folded = F.replace(folded, F.lit("ß"), F.lit("ss"))
     folded = F.replace(folded, F.lit("ς"), F.lit("σ"))
-    return strip(folded)
+    # plain ASCII, as most keys are, has none of these letters
+    return strip(F.when(F.rlike(name, F.lit(r"[^\x00-\x7F]")), folded).otherwise(F.lower(name)))
 
 
 # The characters with the Unicode White_Space property.

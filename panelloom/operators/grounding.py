@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from panelloom.functions.text import fold_name
 from panelloom.model import severity_rank
 from panelloom.pack import ReportPack
 from panelloom.plans.analyze import AnalysisResult
+from panelloom.sources.storage import store
 
 # Tolerances and texts of the verification.
 RELATIVE_TOLERANCE = 0.02
@@ -23,7 +24,7 @@ ACCEPTABLE_RATIO = 0.8
 NOT_FOUND = "Metrik hesaplanmış tablolarda bulunamadı."
 DEVIATES = "Değer hesaplanan sayıdan sapıyor."
 
-SALTS = 16  # portfolio-wide facts are few, but every claim may ask for them
+SALTS = 16  # claims without an entity share one key for each metric and period
 
 _NONE = "CAST(NULL AS STRING)"
 
@@ -136,15 +137,20 @@ def written_facts(result: AnalysisResult, claims: DataFrame | None = None) -> Da
     keys once a period, are reduced here; series and entity rows are unique up to
     spelling and are by far the most, so they are not sorted again.
 
-    With `claims`, only entities some claim names are unpivoted.
+    With `claims`, only entities some claim names are unpivoted, and only figures whose
+    metric some claim names go on.
     """
     pack = result.pack
     series, entities = result.series_rows, result.entity_rows
+    metrics = None
     if claims is not None:
         named = claims.select(fold_name(F.col("entity")).alias("__named")).distinct()
         same = fold_name(F.col(pack.entity)) == F.col("__named")
         series = series.join(named, same, "left_semi")
         entities = entities.join(named, same, "left_semi")
+        known = F.col("metric").isin(sorted({*_numbers(series), *_numbers(entities)}))
+        # at most as many rows as the tables have columns
+        metrics = F.broadcast(claims.filter(known).select(F.col("metric").alias("__metric")).distinct())
     summaries = [
         *period_facts(result),
         *dimension_facts(result),
@@ -153,6 +159,8 @@ def written_facts(result: AnalysisResult, claims: DataFrame | None = None) -> Da
         *risk_facts(result),
     ]
     rows = [*series_facts(series, pack), *entity_facts(entities, pack)]
+    if metrics is not None:
+        rows = [r.join(metrics, F.col("metric") == F.col("__metric"), "left_semi") for r in rows]
     return last_written(keyed(summaries)).unionByName(keyed(rows))
 
 
@@ -167,64 +175,38 @@ def fact_index(result: AnalysisResult, claims: DataFrame | None = None) -> DataF
     return last_written(written_facts(result, claims))
 
 
-def rungs() -> Column:
-    """The keys to try for a claim, most specific first, without repeats.
-
-    The period is dropped before the entity: an entity's own figure is closer
-    than the portfolio's.
-    """
-    def rung(no: int, entity: str, period: str) -> str:
-        return f"struct({no} AS rung, {entity} AS entity, {period} AS period)"
-
-    return F.expr(
-        "array_compact(array("
-        f"{rung(1, '__e', 'period')}, "
-        f"CASE WHEN period IS NOT NULL THEN {rung(2, '__e', _NONE)} END, "
-        f"CASE WHEN __e IS NOT NULL THEN {rung(3, _NONE, 'period')} END, "
-        f"CASE WHEN __e IS NOT NULL AND period IS NOT NULL THEN {rung(4, _NONE, _NONE)} END))"
-    )
-
-
 def look_up(claims: DataFrame, facts: DataFrame) -> DataFrame:
     """Add `expected`: the value of the first key of the ladder that has one.
 
-    `facts` may hold a key more than once; the one written last counts.
-    Keys without an entity are shared by many claims, so their few facts are
-    repeated over salts and the claims spread over them. Equal claims are looked up
-    once and all returned.
+    The ladder tries (entity, period), the entity, the period, and the portfolio: the period
+    is dropped before the entity, because an entity's own figure is closer than the
+    portfolio's. `facts` may hold a key more than once; the one written last counts, so every
+    claim meets at most one fact a rung. Facts without an entity, one for each metric and
+    period, are sent to the claims; claims without an entity have no figure of an entity to
+    find and are only spread over salts.
     """
     columns = claims.columns
-    claims = claims.groupBy(*columns).agg(F.count("*").alias("__copies"))
-    salt = F.when(F.col("key.entity").isNull(), F.pmod(F.xxhash64("claim_id"), F.lit(SALTS)))
-    tried = (
-        claims.withColumn("__e", fold_name(F.col("entity")))
-        .withColumn("key", F.explode(rungs()))
-        .withColumn("salt", F.coalesce(salt, F.lit(0)).cast("int"))
-    )
-    copies = F.when(F.col("entity").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    spread = facts.select(
-        F.col("metric").alias("f_metric"),
-        F.col("entity").alias("f_entity"),
-        F.col("period").alias("f_period"),
-        F.col("value").alias("f_value"),
-        F.col("written").alias("f_written"),
-        F.explode(F.coalesce(copies, F.array(F.lit(0)))).alias("f_salt"),
-    )
-    hit = (
-        (F.col("metric") == F.col("f_metric"))
-        & F.col("key.entity").eqNullSafe(F.col("f_entity"))
-        & F.col("key.period").eqNullSafe(F.col("f_period"))
-        & (F.col("salt") == F.col("f_salt"))
-    )
-    best = F.struct((-F.col("key.rung")).alias("near"), F.col("f_written").alias("written"))
-    ranked = F.when(F.col("f_value").isNotNull(), best)
-    found = (
-        tried.join(spread, hit, "left")
-        .groupBy(*claims.columns)
-        .agg(F.max_by("f_value", ranked).alias("expected"))
+    last = F.max_by("value", F.struct("written"))
+    facts = store(
+        facts.filter(F.col("value").isNotNull()).groupBy("metric", "entity", "period").agg(last.alias("value")), "facts"
     )
-    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
-    return found.select(*columns, "expected", every).drop("__copy")
+    claims = claims.withColumn("__entity", fold_name(F.col("entity")))
+    salt = F.when(F.col("__entity").isNull(), F.pmod(F.xxhash64("claim_id"), F.lit(SALTS)))
+    claims = claims.withColumn("__salt", F.coalesce(salt, F.lit(0)).cast("int"))
+    for rung, (entity, period) in enumerate(((True, True), (True, False), (False, True), (False, False))):
+        own = facts.filter(F.col("entity").isNotNull() if entity else F.col("entity").isNull())
+        own = own if period else own.filter(F.col("period").isNull())
+        own = own.select(
+            F.col("metric").alias("f_metric"), F.col("entity").alias("f_entity"), F.col("period").alias("f_period"),
+            F.col("value").alias(f"__value{rung}"), F.lit(0).alias("f_salt"),
+        )
+        same = F.col("metric") == F.col("f_metric")
+        if entity:
+            same &= (F.col("__entity") == F.col("f_entity")) & (F.col("__salt") == F.col("f_salt"))
+        if period:
+            same &= F.col("period").eqNullSafe(F.col("f_period"))
+        claims = claims.join(own if entity else F.broadcast(own), same, "left").drop(*[c for c in own.columns if c[0] == "f"])
+    return claims.select(*columns, F.coalesce(*[f"__value{rung}" for rung in range(4)]).alias("expected"))
 
 
 def verify(claims: DataFrame, facts: DataFrame) -> DataFrame:
@@ -313,7 +295,7 @@ def document_reports(
     named = documents.select(F.col(doc_id).cast("string").alias("doc"), F.col(payload).alias("payload"))
     items = collect_evidence(named, "doc", "payload")
     claim = F.concat_ws("#", F.coalesce("doc", F.lit("")), F.lpad("pos", 6, "0"))
-    judged = verify(items.withColumn("claim_id", claim), facts)
+    judged = store(verify(items.withColumn("claim_id", claim), facts), "judged_evidence")
     totals = judged.groupBy("doc").agg(
         F.count(F.lit(1)).alias("total"), F.count_if("verified").alias("verified")
     )

@@ -62,6 +62,32 @@ def test_restricting_to_claimed_entities_changes_nothing(spark):
     assert sorted(narrow) == sorted(full)
 
 
+def test_only_figures_of_claimed_metrics_go_on(spark):
+    result = analyze(spark.createDataFrame(ROWS, PACK.schema), PACK)
+    claims = spark.createDataFrame(
+        [("a", "son_stok", "DEAD", None, 500.0), ("b", "cikis_miktar", "DEAD", "2026-01", 1.0), ("c", None, "DEAD", None, 1.0)],
+        CLAIM,
+    )
+    written = grounding.written_facts(result, claims).filter("written.source IN (2, 4)")
+    assert {r["metric"] for r in written.select("metric").distinct().collect()} == {"son_stok", "cikis_miktar"}
+
+
+def test_ladder_with_repeated_facts_and_missing_parts(spark):
+    rows = [
+        ("m", "e", "p", 1.0, 1), ("m", "e", "p", 2.0, 2), ("m", "e", "p", None, 3), ("m", "e", None, 3.0, 1),
+        ("m", None, "p", 4.0, 1), ("m", None, None, 5.0, 1), ("n", None, "p", 6.0, 1), (None, "e", "p", 7.0, 1),
+    ]
+    facts = spark.createDataFrame(rows, "metric string, entity string, period string, value double, written int")
+    claims = [
+        ("m", "E ", "p", 2.0), ("m", "e", "q", 3.0), ("m", "e", None, 3.0), ("m", "x", "p", 4.0), ("m", "x", "q", 5.0),
+        ("m", None, "p", 4.0), ("m", None, "q", 5.0), ("m", None, None, 5.0), ("n", "x", "q", None), ("n", "x", "p", 6.0),
+        ("n", None, None, None), (None, "e", "p", None),
+    ]
+    named = [(str(i), m, e, p, 0.0) for i, (m, e, p, _) in enumerate(claims)]
+    got = grounding.look_up(spark.createDataFrame(named, CLAIM), facts).collect()
+    assert {r["claim_id"]: r["expected"] for r in got} == {str(i): c[3] for i, c in enumerate(claims)}
+
+
 def test_repeated_claims_all_count(spark, facts):
     row = ("a", "son_stok", "DEAD", None, 500.0)
     claims = spark.createDataFrame([row] * 3 + [("a", "magic", None, None, 1.0)] * 2, CLAIM)
