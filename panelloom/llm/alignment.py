@@ -234,6 +234,12 @@ class Chunks:
         return same.tolist()
 
 
+@lru_cache(maxsize=1)
+def chunks_of(file_a: str, file_b: str, most: int) -> Chunks:
+    """A worker's alignments, also for its later tasks."""
+    return Chunks(file_a, file_b, most)
+
+
 class Block:
     """Documents and their distinct pairs, until there are enough for a block."""
 
@@ -310,7 +316,7 @@ def aligned_blocks(
     """Rows of documents (pairs is null) and of blocks' dictionaries."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, open_ = Chunks(file_a, file_b, cached), Block()
+        known, open_ = chunks_of(file_a, file_b, cached), Block()
         number = TaskContext.get().partitionId() << 32
         for batch in text_slices(batches, SLICE):
             open_.add(batch.column(0).to_pylist(), batch.column(1).to_pylist(), known)

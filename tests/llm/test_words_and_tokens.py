@@ -247,3 +247,10 @@ def test_groups_slice_both_lists():
 
 def test_vocabulary_paths():
     assert path_of("/x/y.json") == "/x/y.json" and path_of("byte_bpe_50k.json").endswith("/byte_bpe_50k.json")
+
+
+def test_alignments_are_kept_for_later_tasks():
+    files = alignment.BYTE_LEVEL, alignment.PIECES
+    first = alignment.chunks_of(*files, 100)
+    [chunk] = first.of(["Wörter"])
+    assert alignment.chunks_of(*files, 100) is first and first.of(["Wörter"])[0] is chunk
