@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -236,11 +235,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
         return docs.withColumn(score, F.lit(0.0))
     weights, bias = model.weights, model.bias
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lookup = FeatureLookup(weights)
-        for texts in batches:
-            sums = [bias + sum(weights[f] for f in sorted(lookup.of(t))) for t in texts]
-            yield pd.Series(sigmoid(np.array(sums, dtype=np.float64)))
+        for texts in batches:  # one text at a time leaves Arrow's memory
+            sums = [bias + sum(weights[f] for f in sorted(lookup.of(t.as_py()))) for t in texts]
+            yield pa.array(sigmoid(np.array(sums, dtype=np.float64)))
 
     return docs.withColumn(score, scores(F.coalesce(F.col(text), F.lit(""))))

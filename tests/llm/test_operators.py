@@ -145,6 +145,14 @@ def test_toxicity_learns_stems(documents, spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs, empty).collect()} == {0.0}
 
 
+def test_scoring_takes_texts_from_arrow(documents):
+    model = toxicity.ToxicityModel({"=bad": 4.0}, -2.0, 0.1)
+    scored = toxicity.score_toxicity(documents((1, "a bad one"), (2, None), (3, "fine")), model)
+    assert {r["doc_id"]: r["score"] > 0.5 for r in scored.collect()} == {1: True, 2: False, 3: False}
+    assert "ArrowEvalPython" in scored._jdf.queryExecution().executedPlan().toString()
+    assert not hasattr(toxicity, "pd")
+
+
 def test_shards_move_only_to_the_new_one(documents):
     docs = documents(*[(i, "t") for i in range(500)], *[(7, "t")] * 200, (None, None))
     placed = sharding.shard(sharding.shard(docs, [1.0] * 6), [1.0] * 7, name="grown").select("doc_id", "shard", "grown")
