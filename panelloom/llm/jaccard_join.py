@@ -8,7 +8,8 @@ links.
 
 1. One pass over the texts counts n-grams in the sketch, summed as streams of chunks.
 2. A second pass writes each document's set size, class, histogram and prefix.
-3. For each prefix n-gram held by several classes, all of them are paired with one class
+3. A prefix n-gram is kept for the classes that have a neighbour by size within the length and
+   positional filters. For each, all of them are paired with one class
    that has it earliest: a star instead of all pairs of a group. Edited copies have rare
    n-grams of their own in front, their original has none, so originals become centers.
    Which of equals is taken does not change the result. Pairs that pass the length and
@@ -17,12 +18,13 @@ links.
    components, members outside its largest one are paired with that one's earliest member.
 5. Where an n-gram still meets several components, members outside its largest one are
    joined with everything of another component through the length, positional and suffix
-   filters, and verified once. Pairs inside a component cannot change it, so groups of
+   filters (256 parities here), and verified once. Pairs inside a component cannot change it, so groups of
    copies stay linear and no link between components is missed.
 
 The suffix filter compares two summaries of the sets, both lower bounds of the symmetric
 difference: a histogram over fixed ranges of the hash (sum of differences) and the parities
-of 256 cells of the hash (cells that differ); the last join compares 1,024 cells too. Pairs that pass are filtered again by
+of 256 cells of the hash (cells that differ); distinct pairs of the last join are compared by
+1,024 cells too. Pairs that pass are filtered again by
 histograms whose number of ranges follows the set's size, which tells long texts apart
 too, so that whole sets travel for hardly more pairs than are links. Sets for verification are made again from the texts of the classes
 concerned only.
@@ -60,7 +62,7 @@ CELLS = 256
 HISTOGRAM = ("bins0", "bins1", "bins2", "bins3")
 PARITIES = ("bits0", "bits1", "bits2", "bits3")
 PACKED = (*HISTOGRAM, *PARITIES)
-#: Parities of more cells, for the last join: they tell sets of a thousand n-grams apart.
+#: Parities of more cells, for pairs of the last join: they tell sets of a thousand n-grams apart.
 WIDE_CELLS = 1024
 WIDE = tuple(f"wide{i}" for i in range(WIDE_CELLS // 64))
 
@@ -174,10 +176,17 @@ def finely_similar(a: str, b: str, a_size: str, b_size: str, percent: int) -> Co
     return apart * (100 + percent) <= (100 - percent) * (F.col(a_size) + F.col(b_size))
 
 
-def maybe_similar(a: str, b: str, percent: int, cells: tuple[str, ...] = PARITIES) -> Column:
+def in_reach(size: str, left: str, other: str, percent: int) -> Column:
+    """The positional filter: whether `left` n-grams of the set of `size`, from the first common one on, suffice."""
+    return F.col(left) * (100 + percent) >= percent * (F.col(size) + F.col(other))
+
+
+def maybe_similar(
+    a: str, b: str, percent: int, cells: tuple[str, ...] = PARITIES, bins: tuple[str, ...] = HISTOGRAM
+) -> Column:
     """The length and suffix filters for sides whose columns are prefixed a_ and b_.
 
-    cells: the parities that are compared after the histogram.
+    cells, bins: the columns of parities and of the histogram that are compared.
     """
 
     def bin_of(column: str, i: int) -> Column:
@@ -185,7 +194,8 @@ def maybe_similar(a: str, b: str, percent: int, cells: tuple[str, ...] = PARITIE
 
     sizes = F.col(f"{a}_size"), F.col(f"{b}_size")
     in_bins = sum(
-        F.abs(bin_of(f"{a}_{c}", i) - bin_of(f"{b}_{c}", i)) for c in HISTOGRAM for i in range(BINS // len(HISTOGRAM))
+        (F.abs(bin_of(f"{a}_{c}", i) - bin_of(f"{b}_{c}", i)) for c in bins for i in range(BINS // len(HISTOGRAM))),
+        F.lit(0),
     )
     in_cells = sum(F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in cells)
     # |x - y| + |y - x| <= (1 - t) / (1 + t) * (|x| + |y|), in whole numbers
@@ -305,11 +315,26 @@ def ordered_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct()
 
 
+def with_partners(grams: DataFrame, percent: int) -> DataFrame:
+    """One row for each n-gram and class (cls, size, place), of those that may be linked over that n-gram.
+
+    A link's first common n-gram has no other common one before it on either side, so what is
+    `left` of both sets from there holds all of them. The next class by size stands for all
+    larger ones, the one before for all smaller ones.
+    """
+    once = grams.groupBy("gram", "cls", "size", "place", "center").agg(F.count("*").alias("n")).drop("n")
+    by_size = W.partitionBy("gram").orderBy("size", "cls")
+    beside = once.withColumn("left", F.col("size") - F.col("place")).select(
+        "*", F.lag("size").over(by_size).alias("before"), F.lead("size").over(by_size).alias("after")
+    )
+    is_near = (F.col("before") * 100 >= F.col("size") * percent) | in_reach("size", "left", "after", percent)
+    return beside.where(is_near).drop("before", "after")
+
+
 def in_mixed_grams(grams: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of n-grams that meet several components: with their component and the gram's largest."""
-    rows = grams.groupBy("gram", "cls", "size", "place").agg(F.count("*").alias("n")).drop("n")
     rows = store(
-        rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+        grams.drop("center").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
             "component", F.coalesce("component", "cls")
         ),
         "grams_of_components",
@@ -327,28 +352,28 @@ def in_mixed_grams(grams: DataFrame, comps: DataFrame) -> DataFrame:
 def remaining_pairs(mixed_rows: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components that share a prefix n-gram and pass all filters.
 
-    The wide parities of the classes concerned come from `rows`, so that no others travel.
+    An n-gram's rows carry the narrow parities only. The wide ones come from `rows`, once for
+    each class of a pair that is left.
     """
-    t = percent / 100
-    concerned = rows.select("cls", *WIDE).join(mixed_rows.select("cls").distinct(), "cls", "left_semi")
-    wide = concerned.groupBy("cls").agg(*[F.max(c).alias(c) for c in WIDE])
-    full = mixed_rows.join(classes.select("cls", *PACKED), "cls").join(wide, "cls")
-    columns = ("gram", "cls", "size", "place", "component", *PACKED, *WIDE)
+    full = mixed_rows.join(classes.select("cls", *PARITIES), "cls")
+    columns = ("gram", "cls", "size", "left", "component", *PARITIES)
     left = sided(full.where("component <> main"), "a", *columns, "main")
     right = sided(full, "b", *columns)
-    must = F.ceil(F.lit(t / (1 + t)) * (F.col("a_size") + F.col("b_size")) - 1e-6)
-    reach = F.least("a_place", "b_place") + 1 + F.least(
-        F.col("a_size") - F.col("a_place") - 1, F.col("b_size") - F.col("b_place") - 1
-    )
     condition = (
         (F.col("a_gram") == F.col("b_gram"))
         & (F.col("a_component") != F.col("b_component"))
         & ((F.col("b_component") == F.col("a_main")) | (F.col("a_cls") < F.col("b_cls")))
-        & (reach >= must)
-        & maybe_similar("a", "b", percent)
-        & maybe_similar("a", "b", percent, WIDE)
+        & in_reach("a_size", "a_left", "b_size", percent)
+        & in_reach("b_size", "b_left", "a_size", percent)
+        & maybe_similar("a", "b", percent, bins=())
     )
-    return ordered_pairs(left.join(right, condition), "a_cls", "b_cls")
+    pairs = store(ordered_pairs(left.join(right, condition), "a_cls", "b_cls"), "near_pairs")
+    members = store(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "near_classes")
+    concerned = rows.select("cls", "size", *WIDE).join(side_of_join(members), "cls", "left_semi")
+    wide = store(concerned.groupBy("cls").agg(*[F.max(c).alias(c) for c in ("size", *WIDE)]), "wide_parities")
+    for side in "xy":
+        pairs = pairs.join(sided(wide, side, "cls", "size", *WIDE).withColumnRenamed(f"{side}_cls", side), side)
+    return pairs.where(maybe_similar("x", "y", percent, WIDE, bins=())).select("x", "y")
 
 
 def linked_rows(texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -366,7 +391,7 @@ def linked_rows(texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
         .where("low <> high")
         .drop("low", "high")
     )
-    grams = store(grams.join(store(shared, "shared_grams"), "gram"), "grams")
+    grams = store(with_partners(grams.join(store(shared, "shared_grams"), "gram"), percent), "grams")
 
     corpus = Corpus(texts, rows, classes, repeated, n, percent)
     links = corpus.linked(ordered_pairs(grams, "cls", "center"))

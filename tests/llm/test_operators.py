@@ -306,6 +306,23 @@ def test_components_as_brute_force(documents, n, percent):
     assert sorted(rows_of(jaccard_join.near_duplicates(docs, n, percent))) == brute_components(rows, n, percent)
 
 
+def test_shared_grams_travel_for_possible_links_only(documents, monkeypatch):
+    stored, store = {}, jaccard_join.store
+    monkeypatch.setattr(jaccard_join, "store", lambda frame, name: stored.setdefault(name, []).append(store(frame, name)) or stored[name][-1])
+    words = [f"w{i}" for i in range(47)]
+    rows = [(i, " ".join(words[a:b])) for i, (a, b) in enumerate([(0, 2), (2, 7), (7, 18), (18, 41), (0, 47)], 1)]
+    assert sorted(rows_of(jaccard_join.near_duplicates(documents(*rows), 1, 50))) == brute_components(rows, 1, 50)
+    assert stored["shared_grams"][0].count() > 0 and stored["grams"][0].count() == 0
+
+
+@pytest.mark.parametrize(("n", "percent"), [(2, 60)])
+def test_chance_sharing_as_brute_force(documents, n, percent):
+    draw = random.Random(n)
+    rows = [(i + 1, " ".join(draw.choices("abcdefg"[: 9 - 2 * n], k=draw.randrange(1, 40)))) for i in range(90)]
+    rows += [(200 + i, text) for i, (_, text) in enumerate(rows[:9])]
+    assert sorted(rows_of(jaccard_join.near_duplicates(documents(*rows), n, percent))) == brute_components(rows, n, percent)
+
+
 def test_one_of_each_stays(documents):
     text = prose(60, 1)
     docs = documents((3, text), (2, text + " end"), (2, text + " end"), (5, prose(60, 2)), (6, None), (7, ""), (None, prose(50, 3)))
